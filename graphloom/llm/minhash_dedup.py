@@ -59,8 +59,9 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     try:
         ids = list(map(_words.__getitem__, words))
     except KeyError:
-        for w in set(words) - _words.keys():
-            _words[w] = xxhash.xxh3_64_intdigest(w)
+        for w in words:
+            if w not in _words:
+                _words[w] = xxhash.xxh3_64_intdigest(w)
         ids = list(map(_words.__getitem__, words))
     h = np.array(ids, dtype=np.uint64)
     k = min(width, len(h))
