@@ -4,20 +4,95 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_dedup
+from . import fingerprints, language_id, license_scan, minhash_dedup, mixing, packing, rabitq, toxicity, url_templates, warc
 from .common import table
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_rabitq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of embeddings for each vec_id divisible by 20."""
+    return rabitq.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op3_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    out = mixing.taken_counts(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op4_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a machine fitted outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.scored(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of documents by sets of 4-word shingles."""
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op6_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op7_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
+
+
+def op8_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by prototypes learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.predicted(docs, language_id.trained(docs))
+
+
+def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and rules in every document."""
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
+def op10_url_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return url_templates.judged(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
-    "op5_minhash_dedup": op5_minhash_dedup,
-}
+    f.__name__: f
+    for f in (
+        op1_rabitq_search, op2_warc_round_trip, op3_pivotal_mixing, op4_toxicity_fm, op5_minhash_dedup,
+        op6_residual_packing, op7_prefix_fingerprints, op8_hyperdimensional_language, op9_license_rules, op10_url_template_tree,
+    )
+}
 
 ORACLES = {
+    "op1_rabitq_search": r"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE list_bool_or([x <> 0 FOR x IN embedding])),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_sum([z[1] * z[2] FOR z IN list_zip(q.e, v.e)]) AS score
+  FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored)
+WHERE rank <= 20
+""",
+    "op2_warc_round_trip": r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+""",
     "op5_minhash_dedup": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
