@@ -76,14 +76,13 @@ _STEP = """
                             'out', concat(acc.out, array(named_struct('doc_id', x.doc_id, 'size', x.size, 'one', 1)))) end
       end), 1)), 1) end
 """
-# The root: e is how many words are taken too many (or, below 0, too few) so far.
+# Documents in list l change over while that brings e (words taken too many, or below 0
+# too few) nearer to 0.
 _SETTLED = """
-  if(c is null, out, aggregate(out,
-    named_struct('e', c.size * (if(c.p >= 0.5, 1, 0) - c.p), 'out', array(named_struct('doc_id', c.doc_id, 'size', c.size, 'one', if(c.p >= 0.5, 1, 0)))),
+  aggregate(l, named_struct('e', cast(e as double), 'out', cast(array() as {done})),
     (a, x) -> if(abs(a.e - x.size * (2 * x.one - 1)) < abs(a.e),
       named_struct('e', a.e - x.size * (2 * x.one - 1), 'out', concat(a.out, array(named_struct('doc_id', x.doc_id, 'size', x.size, 'one', 1 - x.one)))),
-      named_struct('e', a.e, 'out', concat(a.out, array(x)))),
-    a -> a.out))
+      named_struct('e', a.e, 'out', concat(a.out, array(x)))))
 """
 _ITEM = "struct<doc_id:bigint,size:bigint,p:double>"
 _DONE = "array<struct<doc_id:bigint,size:bigint,one:int>>"
@@ -112,7 +111,15 @@ def rounded(items: DataFrame, fan_in: int = 48) -> DataFrame:
         most = -(-most // fan_in)
         up = levels[-1].where("c is not null").select("source", (F.floor(F.col("bucket") / fan_in)).alias("bucket"), "c.*")
         levels.append(written(_folded(up), "mix"))
-    levels[-1] = levels[-1].select("source", F.expr(_SETTLED).alias("out"))
+    settled = F.expr(_SETTLED.format(done=_DONE))
+    near = "if(c.p >= 0.5, 1, 0)"
+    last = f"if(c is null, array(), array(named_struct('doc_id', c.doc_id, 'size', c.size, 'one', {near})))"
+    root = levels[-1].select("source", F.expr(f"concat(out, {last})").alias("l"), F.expr(f"coalesce(c.size * ({near} - c.p), 0d)").alias("e"))
+    levels[-1] = written(root.select("source", settled.alias("s")).select("source", "s.*"), "mix")
+    if len(levels) > 1:  # and once more in one of the source's first buckets
+        e = levels[-1].select(F.col("source").alias("s"), "e")
+        first = levels[0].join(e, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == 0), "left").select("source", F.col("out").alias("l"), F.coalesce("e", F.lit(0.0)).alias("e"))
+        levels[0] = first.select("source", settled["out"].alias("out"))
     out = None
     for x in levels:
         done = x.select("source", F.explode("out").alias("o")).select("source", "o.doc_id", "o.size", "o.one")
