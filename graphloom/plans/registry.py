@@ -1,6 +1,435 @@
-"""Queries by name and their DuckDB twins."""
+"""Queries over the star-schema and text tables, and their DuckDB twins."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.functions import paths
+from graphloom.operators import community, derive, linker, search, sequence, traverse, upsert, views
+from graphloom.plans import cypher, testgraph
+from graphloom.plans.testgraph import CTE, table
+from graphloom.sources import documents as docs_source
+from graphloom.sources import files as file_source
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return testgraph.nodes(spark, sf), testgraph.edges(spark, sf)
+
+
+def _ids(spark: SparkSession, *ids: str) -> DataFrame:
+    return spark.createDataFrame([(i,) for i in ids], "id string")
+
+
+def _reach(seeds: str, direction: str, depth: int) -> str:
+    """SQL: reach(id, distance) from seeds, as the tail of WITH RECURSIVE."""
+    step = {
+        "downstream": "SELECT e.dst, w.d + 1 FROM walk w JOIN edges e ON e.src = w.id",
+        "upstream": "SELECT e.src, w.d + 1 FROM walk w JOIN edges e ON e.dst = w.id",
+        "both": "SELECT e.b, w.d + 1 FROM walk w JOIN (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges) e ON e.a = w.id",
+    }[direction]
+    return f"WITH RECURSIVE {CTE}, walk(id, d) AS (SELECT id, 0 FROM ({seeds}) UNION {step} WHERE w.d < {depth}), reach AS (SELECT id, min(d)::INT AS distance FROM walk GROUP BY id)"
+
+
+# Overview
+
+@query(f"WITH {CTE} SELECT CASE WHEN grouping(label) = 1 THEN 'stack' ELSE 'label' END AS axis, CASE WHEN grouping(label) = 1 THEN stack ELSE label END AS value, count(*)::BIGINT AS n FROM nodes GROUP BY GROUPING SETS ((label), (stack))")
+def overview_nodes_by_label(spark, sf):
+    return views.counts_by_label(testgraph.nodes(spark, sf))
+
+
+@query(f"WITH {CTE} SELECT type, count(*)::BIGINT AS n FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes) GROUP BY type")
+def overview_edges_by_type(spark, sf):
+    return views.edges_by_type(*_graph(spark, sf))
+
+
+# Traversal
+
+def _impact(spark, sf, start, direction, depth):
+    return traverse.impact(*_graph(spark, sf), start, direction, depth, types=None)
+
+
+@query(_reach("SELECT 'nation:7' AS id", "upstream", 3) + " SELECT r.id, n.label, n.name, r.distance FROM reach r JOIN nodes n ON n.id = r.id")
+def impact_upstream(spark, sf):
+    return _impact(spark, sf, "nation:7", "upstream", 3)[0].select("id", "label", "name", "distance")
+
+
+@query(_reach("SELECT 'order:1' AS id", "downstream", 6) + " SELECT r.id, n.label, n.name, r.distance FROM reach r JOIN nodes n ON n.id = r.id")
+def impact_downstream(spark, sf):
+    return _impact(spark, sf, "order:1", "downstream", 6)[0].select("id", "label", "name", "distance")
+
+
+@query(_reach("SELECT 'customer:5' AS id", "both", 2) + " SELECT r.id, n.label, n.name, r.distance FROM reach r JOIN nodes n ON n.id = r.id")
+def impact_both(spark, sf):
+    return _impact(spark, sf, "customer:5", "both", 2)[0].select("id", "label", "name", "distance")
+
+
+@query(_reach("SELECT 'nation:7' AS id", "upstream", 2) + " SELECT e.src, e.type, e.dst FROM edges e JOIN reach r ON r.id = e.dst AND r.distance <= 1")
+def impact_edges(spark, sf):
+    return _impact(spark, sf, "nation:7", "upstream", 2)[1]
+
+
+_BLAST = "SELECT 'supplier:3' AS id UNION ALL SELECT 'supplier:4' UNION ALL SELECT 'part:9'"
+
+
+def _blast(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    seeds = traverse.resolve_seeds(nodes, ["supplier:3", "part:9", "none:0"], cypher.run(spark, nodes, edges, "MATCH (s:supplier) WHERE s.id = 'supplier:4' RETURN s.id AS id"))
+    return traverse.blast_radius(nodes, edges, seeds, 3, types=None, members="SUPPLIED_BY", structural=("part",), entries=("order",))
+
+
+@query(_reach(_BLAST, "upstream", 3) + f" SELECT r.id, n.label, n.name, r.distance FROM reach r JOIN nodes n ON n.id = r.id WHERE n.label = 'order' AND r.id NOT IN (SELECT id FROM ({_BLAST}))")
+def blast_radius_entry_points(spark, sf):
+    return traverse.entry_points(_blast(spark, sf)).select("id", "label", "name", "distance")
+
+
+@query(_reach(_BLAST, "upstream", 3) + f" SELECT n.label, count(*)::BIGINT AS n FROM reach r JOIN nodes n ON n.id = r.id WHERE n.label <> 'part' AND r.id NOT IN (SELECT id FROM ({_BLAST})) GROUP BY n.label")
+def blast_radius_by_label(spark, sf):
+    return traverse.affected_by_label(_blast(spark, sf))
+
+
+@query(_reach("SELECT 'customer:5' AS id", "both", 2) + " SELECT r.id, n.label, r.distance FROM reach r JOIN nodes n ON n.id = r.id WHERE n.label IN ('order', 'part', 'nation') OR r.distance = 0")
+def neighborhood(spark, sf):
+    return traverse.neighbourhood(*_graph(spark, sf), "customer:5", 2, types=None, labels=("order", "part", "nation"))[0].select("id", "label", "distance")
+
+
+@query(_reach("SELECT 'customer:5' AS id", "both", 2) + " SELECT id, distance FROM (SELECT id, distance, row_number() OVER (ORDER BY distance, id) AS k FROM reach) WHERE k <= 40")
+def neighborhood_limited(spark, sf):
+    return traverse.neighbourhood(*_graph(spark, sf), "customer:5", 2, types=None, limit=40)[0].select("id", "distance")
+
+
+# Views
+
+@query(f"WITH {CTE}, n AS (SELECT id FROM nodes WHERE label IN ('customer', 'nation', 'region')) SELECT src, type, dst FROM edges WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)")
+def view_induced(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    return traverse.induced(edges, nodes.where(F.col("label").isin("customer", "nation", "region")))
+
+
+@query(f"WITH {CTE} SELECT id, label FROM nodes n WHERE label = 'customer' AND EXISTS (SELECT 1 FROM edges e WHERE e.type = 'PLACED_BY' AND e.dst = n.id)")
+def view_process_connected(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    return views.connected_only(nodes.where("label = 'customer'"), edges.where("type = 'PLACED_BY'")).select("id", "label")
+
+
+@query(f"WITH {CTE}, n AS (SELECT id FROM nodes WHERE label = 'supplier' ORDER BY id LIMIT 30) SELECT e.src, e.type, e.dst FROM edges e JOIN n ON n.id = e.src")
+def view_capped(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    return edges.join(views.capped(nodes.where("label = 'supplier'"), 30).select(F.col("id").alias("src")), "src", "left_semi")
+
+
+@query(f"""WITH {CTE}, own AS (SELECT dst AS owner, src AS method FROM edges WHERE type = 'PLACED_BY'), call AS (SELECT src AS method, dst AS other FROM edges WHERE type = 'CONTAINS'),
+  made AS (SELECT src AS method, dst AS made FROM edges WHERE type = 'SUPPLIED_BY')
+SELECT DISTINCT o.owner AS src, 'CONTAINS' AS type, c.other AS dst FROM own o JOIN call c USING (method)""")
+def collapse_hops(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    owns = edges.where("type = 'PLACED_BY'").select(F.col("dst").alias("src"), F.lit("DECLARES").alias("type"), F.col("src").alias("dst"))
+    all_ = owns.unionByName(edges.where("type = 'CONTAINS'"))
+    return views.collapse_hops(nodes, all_, edges, calls="NONE", makes="CONTAINS").select("src", "type", "dst")
+
+
+@query(f"""WITH {CTE} SELECT x.direction, x.type, x.other, n.label, n.name FROM (
+  SELECT 'out' AS direction, type, dst AS other FROM edges WHERE src = 'nation:3' UNION ALL SELECT 'in', type, src FROM edges WHERE dst = 'nation:3') x JOIN nodes n ON n.id = x.other""")
+def node_detail(spark, sf):
+    return views.node_detail(*_graph(spark, sf), "nation:3")
+
+
+@query(f"""WITH {CTE} SELECT x.direction, x.type, count(*)::BIGINT AS n, min(x.other) AS first FROM (
+  SELECT 'out' AS direction, type, dst AS other FROM edges WHERE src = 'nation:3' UNION ALL SELECT 'in', type, src FROM edges WHERE dst = 'nation:3') x GROUP BY 1, 2""")
+def neighbours_grouped(spark, sf):
+    g = views.grouped_neighbours(views.node_detail(*_graph(spark, sf), "nation:3"))
+    return g.select("direction", "type", F.size("others").cast("long").alias("n"), F.col("others")[0].alias("first"))
+
+
+@query(f"""WITH {CTE} SELECT n.id, count(*)::BIGINT AS degree FROM nodes n JOIN (SELECT src AS id FROM edges WHERE type = 'IN_NATION' UNION ALL SELECT dst FROM edges WHERE type = 'IN_NATION') e ON e.id = n.id
+  WHERE n.label = 'nation' GROUP BY n.id ORDER BY degree DESC, n.id LIMIT 3""")
+def top_degree(spark, sf):
+    return views.top_degree(*_graph(spark, sf), "nation", ("IN_NATION",), 3).select("id", "degree")
+
+
+@query("SELECT page_id AS id, url FROM (SELECT page_id, url, row_number() OVER (ORDER BY CASE WHEN page_id % 3 = 0 THEN 1 WHEN page_id % 3 = 1 THEN 2 ELSE 3 END, strlen(url), page_id) AS k FROM pages WHERE ends_with(url, '/')) WHERE k = 1")
+def by_path_ranked(spark, sf):
+    label = F.when(F.col("page_id") % 3 == 0, "Controller").when(F.col("page_id") % 3 == 1, "Service").otherwise("Other")
+    n = table(spark, sf, "pages").select(F.col("page_id").alias("id"), label.alias("label"), F.col("url").alias("filePath"))
+    return views.by_path(n, "/", ("Controller", "Service")).select("id", F.col("filePath").alias("url"))
+
+
+# Links
+
+_VERBS = "CASE WHEN page_id % 7 = 0 THEN 'POST' ELSE 'GET' END"
+_FORM = r"""array_to_string([CASE WHEN contains(s, '{{') OR regexp_full_match(s, ':[A-Za-z_]\w*|\*') THEN '{{*}}' ELSE lower(s) END FOR s IN string_split(
+  CASE WHEN {p} = '/' THEN '/' ELSE rtrim({p}, '/') END, '/')], '/')"""
+_BARE = "regexp_replace(CASE WHEN starts_with({b}, '/') THEN {b} ELSE '/' || {b} END, '/+', '/', 'g')"
+
+
+def _sql_normalize(url: str) -> str:
+    bare = _BARE.format(b=f"string_split(regexp_replace(trim({url}), '^[a-z]+://[^/]+', ''), '?')[1]")
+    return _FORM.format(p=f"({bare})")
+
+
+# Fixed rows: calls and endpoints that try every tier.
+_CALLS = (("c1", "GET", "/api/orders/5"), ("c2", "GET", "/en/{id}"), ("c3", "get", "/a/b/c"), ("c4", "GET", "/x/:y"), ("c5", "DELETE", "/api/orders/5"), ("c6", "GET", "/"), ("c7", "GET", ""), ("c8", "GET", "/any/1"))
+_ENDPOINTS = (("e1", "GET", "/api/orders/{id}"), ("e2", "GET", "/a/{x}/{y}"), ("e3", "ANY", "/any/{z}"), ("e4", "GET", "/{a}/{b}"))
+
+
+def _link_tables(spark, sf):
+    pages = table(spark, sf, "pages")
+    calls = pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.when(F.col("page_id") % 7 == 0, "POST").otherwise("GET").alias("httpMethod"), F.regexp_replace("url", "#.*$", "").alias("path"))
+    calls = calls.unionByName(spark.createDataFrame(_CALLS, "id string, httpMethod string, path string"))
+    langs = table(spark, sf, "documents").select("lang").where("lang is not null").distinct().select(F.concat(F.lit("l"), "lang").alias("id"), F.lit("GET").alias("httpMethod"), F.concat(F.lit("/"), "lang", F.lit("/{n}")).alias("path"))
+    some = pages.where("page_id % 10 = 0").select(F.concat(F.lit("q"), F.col("page_id").cast("string")).alias("id"), F.lit("GET").alias("httpMethod"), F.regexp_replace("url", "#.*$", "").alias("path"))
+    return calls, langs.unionByName(some).unionByName(spark.createDataFrame(_ENDPOINTS, "id string, httpMethod string, path string"))
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
+
+
+_LINK_CTE = f"""WITH calls0 AS (
+  SELECT 'p' || page_id AS id, {_VERBS} AS verb, regexp_replace(url, '#.*$', '') AS path FROM pages UNION ALL SELECT * FROM (VALUES {_values(_CALLS)})),
+ends0 AS (
+  SELECT 'l' || lang AS id, 'GET' AS verb, '/' || lang || '/{{n}}' AS path FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) UNION ALL
+  SELECT 'q' || page_id, 'GET', regexp_replace(url, '#.*$', '') FROM pages WHERE page_id % 10 = 0 UNION ALL SELECT * FROM (VALUES {_values(_ENDPOINTS)})),
+calls AS (SELECT id AS call, upper(verb) AS verb, p AS path, string_split(p, '/')[2:] AS segs FROM (SELECT *, CASE WHEN trim(path) = '' THEN '' ELSE {_sql_normalize('path')} END AS p FROM calls0) WHERE p NOT IN ('', '/')),
+ends AS (SELECT id AS endpoint, upper(verb) AS verb, p AS path, string_split(p, '/')[2:] AS segs FROM (SELECT *, {_sql_normalize('path')} AS p FROM ends0)),
+exact AS (SELECT call, min(endpoint) AS endpoint, 1e0 AS confidence, 'exact' AS tier FROM calls JOIN ends USING (verb, path) GROUP BY call),
+pairs AS (SELECT c.call, e.endpoint, len(c.segs) AS n, [CASE WHEN z[1] = '{{*}}' OR z[2] = '{{*}}' THEN 0 WHEN z[1] = z[2] THEN 1 ELSE -1 END FOR z IN list_zip(c.segs, e.segs)] AS m
+  FROM calls c JOIN ends e ON c.verb = e.verb AND len(c.segs) = len(e.segs) WHERE c.call NOT IN (SELECT call FROM exact)),
+scored AS (SELECT call, endpoint, CASE WHEN list_contains(m, -1) THEN 0e0 WHEN NOT list_contains(m, 1) THEN 0.5e0 ELSE list_sum(m)::DOUBLE / n END AS score FROM pairs),
+pattern AS (SELECT call, endpoint, round(least(0.9e0, 0.5e0 + 0.4e0 * score), 3) AS confidence, 'pattern' AS tier FROM (
+  SELECT *, row_number() OVER (PARTITION BY call ORDER BY score DESC, endpoint) AS k FROM scored WHERE score >= 0.5e0) WHERE k = 1),
+links AS (SELECT * FROM exact UNION ALL SELECT * FROM pattern)
+"""
+
+
+@query(_LINK_CTE + "SELECT * FROM links")
+def links_best(spark, sf):
+    return linker.link(*_link_tables(spark, sf))
+
+
+@query(_LINK_CTE + "SELECT * FROM exact")
+def links_exact(spark, sf):
+    return linker.exact_links(*linker.prepared(*_link_tables(spark, sf)))
+
+
+@query(_LINK_CTE + "SELECT call, endpoint, score FROM scored WHERE score >= 0.5e0")
+def links_pattern(spark, sf):
+    c, e = linker.prepared(*_link_tables(spark, sf))
+    rest = c.join(linker.exact_links(c, e).select("call"), "call", "left_anti")
+    return linker.pattern_candidates(rest, e)
+
+
+@query(_LINK_CTE + "SELECT id FROM ends0 WHERE id NOT IN (SELECT endpoint FROM links)")
+def links_unmatched(spark, sf):
+    calls, ends = _link_tables(spark, sf)
+    return linker.unmatched(ends, linker.link(calls, ends), "endpoint").select("id")
+
+
+@query(_LINK_CTE + """SELECT (SELECT count(*) FROM calls0)::BIGINT AS "apiCalls", (SELECT count(*) FROM ends0)::BIGINT AS endpoints, count(*)::BIGINT AS linked, count(*) FILTER (tier = 'exact')::BIGINT AS exact,
+  count(*) FILTER (tier = 'pattern')::BIGINT AS pattern, (SELECT count(*) FROM calls0)::BIGINT - count(*)::BIGINT AS unmatched FROM links""")
+def links_stats(spark, sf):
+    calls, ends = _link_tables(spark, sf)
+    return linker.link_stats(calls, ends, linker.link(calls, ends))
+
+
+@query(f"SELECT page_id, {_sql_normalize('url')} AS path FROM pages")
+def url_normalize(spark, sf):
+    return table(spark, sf, "pages").select("page_id", paths.normalize(F.col("url")).alias("path"))
+
+
+# Upserts
+
+def _versions(spark, sf):
+    d = table(spark, sf, "documents")
+    old = d.where("doc_id % 7 <> 0").select(F.lit("p").alias("project"), F.col("doc_id").cast("string").alias("id"), F.sha2("text", 256).alias("hash"))
+    new = d.where("doc_id % 5 <> 0").select(F.lit("p").alias("project"), F.col("doc_id").cast("string").alias("id"), F.sha2(F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("hash"))
+    return old, new
+
+
+_VERSIONS = """WITH old AS (SELECT doc_id::VARCHAR AS id, sha256(text) AS h0 FROM documents WHERE doc_id % 7 <> 0),
+new AS (SELECT doc_id::VARCHAR AS id, sha256(CASE WHEN doc_id % 4 = 0 THEN text || '!' ELSE text END) AS h1 FROM documents WHERE doc_id % 5 <> 0) """
+
+
+@query(_VERSIONS + "SELECT coalesce(old.id, new.id) AS id, CASE WHEN h0 IS NULL THEN 'insert' WHEN h1 IS NULL THEN 'stale' WHEN h0 = h1 THEN 'unchanged' ELSE 'changed' END AS state FROM old FULL JOIN new USING (id)")
+def upsert_hash_diff(spark, sf):
+    return upsert.hash_states(*_versions(spark, sf))
+
+
+@query(_VERSIONS + "SELECT id FROM old WHERE id NOT IN (SELECT id FROM new)")
+def stale_nodes(spark, sf):
+    old, new = _versions(spark, sf)
+    return upsert.stale(old.withColumn("stack", F.lit("java")), new, "p", "java").select("id")
+
+
+@query(f"WITH {CTE}, some AS (SELECT id FROM nodes WHERE label <> 'supplier' OR id LIKE '%1') SELECT src, type, dst FROM edges WHERE type = 'IN_REGION' OR src NOT IN (SELECT id FROM some) OR dst NOT IN (SELECT id FROM some)")
+def dangling_edges(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    some = nodes.where((F.col("label") != "supplier") | F.col("id").endswith("1"))
+    return upsert.dangling(edges, some, ("IN_NATION", "PLACED_BY", "CONTAINS", "SUPPLIED_BY"))[1]
+
+
+# Derived joins
+
+_HOST = "regexp_extract(url, '://([^/?#]+)', 1)"
+
+
+@query(f"""WITH h AS (SELECT DISTINCT array_to_string(list_reverse(string_split({_HOST}, '.')), '.') AS name FROM pages),
+g AS (SELECT DISTINCT array_to_string(string_split(name, '.')[1:2], '.') AS g FROM h UNION SELECT DISTINCT array_to_string(string_split(name, '.')[1:3], '.') FROM h WHERE strlen(name) % 2 = 0 UNION SELECT 'com')
+SELECT name, g AS "group" FROM (SELECT name, g, rank() OVER (PARTITION BY name ORDER BY strlen(g) DESC) AS k FROM h JOIN g ON name = g OR starts_with(name, g || '.')) WHERE k = 1""")
+def longest_prefix(spark, sf):
+    names = table(spark, sf, "pages").select(F.array_join(F.reverse(F.split(F.regexp_extract("url", "://([^/?#]+)", 1), r"\.")), ".").alias("name")).distinct()
+    parts = F.split("name", r"\.")
+    g = names.select(F.array_join(F.slice(parts, 1, 2), ".").alias("group")).unionByName(names.where(F.length("name") % 2 == 0).select(F.array_join(F.slice(parts, 1, 3), ".").alias("group"))).unionByName(spark.createDataFrame([("com",)], "group string"))
+    return derive.longest_prefix(names, g)
+
+
+@query("""SELECT DISTINCT 'part:' || p_partkey AS src, 'supplier:' || s_suppkey AS dst FROM part JOIN supplier ON contains(lower(s_name), lower(p_brand)) OR s_name = p_name OR contains(s_suppkey::VARCHAR, (p_size + 40)::VARCHAR)
+  WHERE p_partkey % 40 = 0""")
+def or_join(spark, sf):
+    p = table(spark, sf, "part").where("p_partkey % 40 = 0").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("vendor"), F.col("p_name").alias("host"), (F.col("p_size") + 40).cast("string").alias("port"))
+    s = table(spark, sf, "supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), F.col("s_name").alias("image"), F.array(F.col("s_suppkey").cast("string")).alias("ports"))
+    return derive.provided_by(p, s)
+
+
+@query("SELECT c_custkey AS src, r_regionkey AS dst FROM customer CROSS JOIN region WHERE c_custkey <= 50 AND r_name IS NOT NULL")
+def hosts_cross(spark, sf):
+    ds = table(spark, sf, "customer").where("c_custkey <= 50").select(F.lit("p").alias("project"), F.col("c_custkey").alias("id"))
+    t = table(spark, sf, "region").where("r_name is not null").select(F.lit("p").alias("project"), F.col("r_regionkey").alias("id"), F.lit("Table").alias("label"))
+    return derive.hosts(ds, t)
+
+
+# Scenarios
+
+@query("""SELECT r_regionkey, count(DISTINCT n_nationkey)::BIGINT AS nations, count(DISTINCT c_custkey)::BIGINT AS customers, count(DISTINCT o_orderkey)::BIGINT AS orders
+FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY r_regionkey""")
+def scenario_trace(spark, sf):
+    r, n, c, o = (table(spark, sf, t) for t in ("region", "nation", "customer", "orders"))
+    j = r.join(n, n["n_regionkey"] == r["r_regionkey"], "left").join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    # orders are counted by customer first: a leg is reduced before it multiplies the others
+    per = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count_distinct("o_orderkey").alias("k"))
+    return j.join(per, "c_custkey", "left").groupBy("r_regionkey").agg(F.count_distinct("n_nationkey").alias("nations"), F.count_distinct("c_custkey").alias("customers"), F.coalesce(F.sum("k"), F.lit(0)).alias("orders"))
+
+
+@query(f"WITH {CTE} SELECT src AS scenario, count(*)::BIGINT AS covered FROM edges WHERE type = 'CONTAINS' GROUP BY src ORDER BY covered DESC, src LIMIT 3")
+def scenario_coverage_top3(spark, sf):
+    from graphloom.operators.scenarios import top_scenarios
+
+    return top_scenarios(testgraph.edges(spark, sf).where("type = 'CONTAINS'"), 3)
+
+
+# Search and source text
+
+
+@query("""WITH t AS (SELECT DISTINCT doc_id AS id, 'text' AS field, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS token FROM documents UNION SELECT DISTINCT doc_id, 'source', unnest(regexp_split_to_array(lower(source), '[^a-z0-9]+')) FROM documents),
+h AS (SELECT DISTINCT id, field, term FROM t JOIN (VALUES ('ther'), ('src1')) q(term) ON starts_with(token, term))
+SELECT id, score FROM (SELECT id, count(DISTINCT term) AS terms, count(*)::BIGINT AS score FROM h GROUP BY id) WHERE terms = 2 ORDER BY score DESC, id LIMIT 25""")
+def search_prefix_and(spark, sf):
+    n = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    return search.search(n, "ther SRC1", 25, fields=("text", "source"))
+
+
+@query("SELECT p_partkey AS id, 1e0 AS score FROM part WHERE contains(lower(p_name), 'ar') OR contains(lower(p_type), 'ar') ORDER BY p_partkey LIMIT 25")
+def search_fallback(spark, sf):
+    n = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("fqn"))
+    return search.search_fallback(n, "AR")
+
+
+@query("SELECT doc_id AS id, left(array_to_string(string_split(text, chr(10))[2:4], chr(10)), 200) AS source FROM documents WHERE doc_id % 3 = 0")
+def source_slice(spark, sf):
+    d = table(spark, sf, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("filePath"), "text")
+    return docs_source.source_slice(d.select("filePath", "text"), d.select("id", "filePath", F.lit(3).alias("startLine"), F.lit(3).alias("endLine")), context=1, most=200)
+
+
+@query("SELECT page_id, h AS href FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS h FROM pages)")
+def href_edges(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("href")).distinct()
+
+
+@query("SELECT event_type, count(*)::BIGINT AS n, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS k FROM events GROUP BY event_type")
+def event_props(spark, sf):
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"))
+
+
+# Components, communities, sequences, layout
+
+@query(f"""WITH RECURSIVE {CTE}, e AS (SELECT src AS a, dst AS b FROM edges WHERE type = 'PLACED_BY' OR (type = 'SUPPLIED_BY' AND src LIKE '%7')), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+walk(id, r) AS (SELECT a, a FROM both_ways UNION SELECT w.id, x.b FROM walk w JOIN both_ways x ON x.a = w.r) SELECT id, min(r) AS component FROM walk GROUP BY id""")
+def components(spark, sf):
+    e = testgraph.edges(spark, sf).where("type = 'PLACED_BY' or (type = 'SUPPLIED_BY' and src like '%7')")
+    return community.components(e.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
+@query()
+def communities(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    return community.communities(community.projection(nodes, edges, ("region", "nation", "customer", "supplier"), None))
+
+
+@query()
+def sequence_preorder(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    calls = edges.withColumn("props", F.create_map(F.lit("line"), F.substring_index("dst", ":", -1))).withColumn("type", F.lit("CALLS"))
+    roots = nodes.where("label = 'order' and id like '%77'").select(F.col("id").alias("root"))
+    return sequence.sequence(nodes, calls, roots)
+
+
+@query()
+def layered_layout(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    small = nodes.where(F.col("label").isin("region", "nation", "supplier"))
+    return views.layered_layout(small, traverse.induced(edges, small), "label")
+
+
+# The query language on the graph
+
+def _cypher(name: str, text: str, sql: str | None, **params):
+    def run(spark, sf):
+        return cypher.run(spark, *_graph(spark, sf), text, **params)
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_cypher("cypher_filter_order", "MATCH (n:nation) WHERE n.name CONTAINS 'A' AND NOT n.id ENDS WITH '1' RETURN n.id AS id, toLower(n.name) AS name ORDER BY name, id SKIP 1 LIMIT 5",
+        f"WITH {CTE} SELECT id, lower(name) AS name FROM nodes WHERE label = 'nation' AND contains(name, 'A') AND NOT ends_with(id, '1') ORDER BY lower(name), id OFFSET 1 LIMIT 5")
+_cypher("cypher_count_hops", "MATCH (c:customer)-[:IN_NATION]->(n:nation)-[:IN_REGION]->(r:region {name: $r}) RETURN n.name AS nation, count(*) AS customers", 
+        f"WITH {CTE} SELECT n.name AS nation, count(*)::BIGINT AS customers FROM edges a JOIN nodes n ON n.id = a.dst AND n.label = 'nation' JOIN edges b ON b.src = n.id AND b.type = 'IN_REGION' JOIN nodes r ON r.id = b.dst WHERE a.type = 'IN_NATION' AND starts_with(a.src, 'customer') AND r.name = 'ASIA' GROUP BY n.name", r="ASIA")
+_cypher("cypher_optional_coalesce", "MATCH (c:customer) OPTIONAL MATCH (o:order)-[:PLACED_BY]->(c) WHERE o.name = 'F' RETURN c.id AS id, count(o) AS orders, CASE WHEN count(o) > 10 THEN 'many' ELSE 'few' END AS size",
+        f"WITH {CTE} SELECT c.id, count(o.id)::BIGINT AS orders, CASE WHEN count(o.id) > 10 THEN 'many' ELSE 'few' END AS size FROM nodes c LEFT JOIN (SELECT o.id, e.dst FROM nodes o JOIN edges e ON e.src = o.id AND e.type = 'PLACED_BY' WHERE o.name = 'F') o ON o.dst = c.id WHERE c.label = 'customer' GROUP BY c.id")
+_cypher("cypher_var_length", "MATCH (r:region {id: 'region:1'})<-[:IN_REGION|IN_NATION*1..2]-(x) RETURN x.label AS label, count(DISTINCT x.id) AS n",
+        f"WITH {CTE}, w AS (SELECT src FROM edges WHERE dst = 'region:1' UNION SELECT b.src FROM edges a JOIN edges b ON b.dst = a.src AND b.type = 'IN_NATION' WHERE a.dst = 'region:1') SELECT n.label, count(*)::BIGINT AS n FROM w JOIN nodes n ON n.id = w.src GROUP BY n.label")
+_cypher("cypher_not_exists", "MATCH (c:customer) WHERE NOT (:order)-[:PLACED_BY]->(c) RETURN c.id AS id",
+        f"WITH {CTE} SELECT id FROM nodes c WHERE label = 'customer' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.type = 'PLACED_BY' AND e.dst = c.id)")
+_cypher("cypher_with_unwind", "MATCH (s:supplier)-[:IN_NATION]->(n) WITH n, collect(DISTINCT s.id) AS ids, count(*) AS k WHERE k >= 2 UNWIND ids AS id RETURN n.name AS nation, id, k",
+        f"WITH {CTE}, g AS (SELECT n.name, list(DISTINCT e.src) AS ids, count(*)::BIGINT AS k FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.type = 'IN_NATION' AND starts_with(e.src, 'supplier') GROUP BY n.id, n.name HAVING count(*) >= 2) SELECT name AS nation, unnest(ids) AS id, k FROM g")
+_cypher("cypher_union", "MATCH (n:nation) WHERE n.name STARTS WITH 'A' RETURN n.name AS x UNION MATCH (r:region) RETURN r.name AS x",
+        f"WITH {CTE} SELECT name AS x FROM nodes WHERE label = 'nation' AND starts_with(name, 'A') UNION SELECT name FROM nodes WHERE label = 'region'")
+_cypher("cypher_undirected", "MATCH (n:nation {id: 'nation:4'})-[r]-(m) RETURN type(r) AS t, m.label AS label, count(*) AS k",
+        f"WITH {CTE} SELECT t, n.label, count(*)::BIGINT AS k FROM (SELECT type AS t, dst AS m FROM edges WHERE src = 'nation:4' UNION ALL SELECT type, src FROM edges WHERE dst = 'nation:4') JOIN nodes n ON n.id = m GROUP BY t, n.label")
+_cypher("cypher_aggregates", "MATCH (n) RETURN n.label AS label, min(n.id) AS first, max(size(n.name)) AS longest, avg(size(n.name)) AS mean",
+        f"WITH {CTE} SELECT label, min(id) AS first, max(length(name))::INT AS longest, avg(length(name)) AS mean FROM nodes GROUP BY label")
+_cypher("cypher_list_ops", "UNWIND [1, 2, 3, 4] AS x WITH x WHERE x % 2 = 0 OR x IN [3] RETURN x, [y IN [x, x + 1, x * 2] WHERE y > 2 | y * 10][0] AS first, reduce(s = 0, y IN [x, x] | s + y) AS twice",
+        "SELECT x, CASE WHEN x > 2 THEN x * 10 WHEN x + 1 > 2 THEN (x + 1) * 10 END AS first, 2 * x AS twice FROM (VALUES (2), (3), (4)) v(x)")
+
+
+# Sources on the text tables
+
+@query()
+def maven_dependencies(spark, sf):
+    pom = "<project><dependencyManagement><dependencies><dependency><groupId>m</groupId><artifactId>x</artifactId></dependency></dependencies></dependencyManagement><dependencies><dependency><groupId>org.a</groupId><artifactId>b</artifactId><scope>test</scope></dependency></dependencies></project>"
+    return file_source.pom_dependencies(spark.createDataFrame([("pom.xml", pom)], "filePath string, text string"))
