@@ -197,18 +197,18 @@ def components(links: DataFrame) -> DataFrame:
     and small stars; each round is written to the shared folder. Ids without a link
     don't occur. No round needs a component in one task: stars are summed by id."""
     e = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = written(e, "links")
+    before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        new = written(small, "links")
-        x, y = (d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first() for d in (e, new))
-        e = new
-        if (x["n"], x["h"]) == (y["n"], y["h"]):
+        e = written(small, "links")
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == before:
             break
+        before = now
     ids = e.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "id")
     return ids.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()).groupBy("id").agg(F.min("label").alias("label"))
 
