@@ -71,7 +71,7 @@ class ArchiveWriter:
     def __init__(self, uri: str, level: int = 3):
         store, path = fs.FileSystem.from_uri(uri)
         store.create_dir(path.rpartition("/")[0], recursive=True)
-        self.out, self.level, self.held, self.size, self.n, self.zip = store.open_output_stream(path), level, [], 0, 0, None
+        self.out, self.level, self.held, self.size, self.n, self.zip = store.open_output_stream(path, compression=None), level, [], 0, 0, None
 
     def add(self, raw: bytes) -> None:
         self.n += 1
@@ -225,7 +225,7 @@ def _records(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.Re
         for uri, want in zip(b.column("archive").to_pylist(), b.column("records").to_pylist(), strict=True):
             store, path = fs.FileSystem.from_uri(uri)
             rows, n, size = [], 0, 0
-            with store.open_input_stream(path) as stream:
+            with store.open_input_stream(path, compression=None) as stream:
                 for raw in frames(stream):
                     rows.append(parsed(raw) | {"archive": uri})
                     n, size = n + 1, size + (len(raw) if payload else 0)
