@@ -45,7 +45,7 @@ def upsert_nodes(existing: DataFrame, new: DataFrame, strict: bool = False) -> D
         elif c == "labels":
             out.append(F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.array_union(a, b)).alias(c))
         elif c in ("props", "arr_props"):
-            laid = F.map_concat(F.map_filter(a, lambda k, _, b=b: ~F.map_contains_key(b, k)), b)
+            laid = F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
             out.append((F.when(F.col("is_new"), b).otherwise(a) if strict else F.when(a.isNull(), b).when(b.isNull(), a).otherwise(laid)).alias(c))
         else:
             out.append(F.coalesce(b, a).alias(c))

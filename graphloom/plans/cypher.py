@@ -464,7 +464,7 @@ class Engine:
         local, given, schema = local or {}, given or {}, df.schema
         if repr(e) in given:
             return given[repr(e)]
-        go = lambda x, **more: self.col(x, df, local | more, given)
+        go = lambda x, more=None: self.col(x, df, local | (more or {}), given)
         op = e[0]
         if op == "lit":
             return F.lit(e[1])
@@ -547,7 +547,7 @@ class Engine:
             var, src, cond = (e[1], e[2], e[3]) if op == "comp" else (e[2], e[3], e[4])
             k = self.kind(src, schema, local)
             item = k.elementType if isinstance(k, T.ArrayType) else None
-            inner = lambda x: (lambda v: go(x, **{var: (v, item)}))
+            inner = lambda x: (lambda v: go(x, {var: (v, item)}))
             if op == "quant":
                 test = {"any": F.exists, "all": F.forall, "none": lambda a, f: ~F.exists(a, f), "single": lambda a, f: F.size(F.filter(a, f)) == 1}[e[1]]
                 return test(go(src), inner(cond))
@@ -558,7 +558,7 @@ class Engine:
             first = go(start)
             first = first.cast("long") if isinstance(self.kind(start, schema, local), T.IntegralType) else first
             k = self.kind(start, schema, local)
-            return F.aggregate(go(src), first, lambda a, v: go(body, **{acc: (a, k), var: (v, None)}).cast("long") if isinstance(k, T.IntegralType) else go(body, **{acc: (a, k), var: (v, None)}))
+            return F.aggregate(go(src), first, lambda a, v: go(body, {acc: (a, k), var: (v, None)}).cast("long") if isinstance(k, T.IntegralType) else go(body, {acc: (a, k), var: (v, None)}))
         if op == "call":
             return self.function(e, go, schema, local)
         raise CypherError(f"{op} can't stand here")
