@@ -30,10 +30,17 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """df as a Parquet table in the shared folder, read again; deleted when Python ends."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, deleted when Python ends."""
     path = f"{work_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
     atexit.register(_delete, spark, path)
+    return path
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cuts the lineage: df as a Parquet table in the shared folder, read again.
+
+    Survives lost executors, since its files belong to none of them."""
+    path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
