@@ -2,73 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.plans.scratch import scratch_path, work_dir, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, on a local
-    master without that setting (tests), a temporary folder set for the session."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return jsc.getCheckpointDir().get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
-    return jsc.getCheckpointDir().get().rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has gone; the folder is scratch space
-        pass
-
+__all__ = ["crc_mod", "scratch_path", "shuffle_partitions", "table", "work_dir", "written"]
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, deleted when Python ends."""
-    path = f"{work_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    return path
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, read again.
-
-    Survives lost executors, since its files belong to none of them.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def dealt(df: DataFrame, n: int | None = None, *by: str) -> DataFrame:
-    """df over n partitions, at random or by key; n: the session's number."""
-    return df.repartition(n or shuffle_partitions(df.sparkSession), *by)
-
-
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(doc_id.cast("string")) % n
-
-
-def uniform(*cols: Column) -> Column:
-    """A number in [0, 1) that depends on the values alone, so that reruns agree."""
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / float(1 << 30)

@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.community import components
+
 from .common import written
 
 POSITIONS = 64
@@ -192,25 +194,9 @@ def _compare(cell: pa.Table, width: int, percent: int) -> pa.Table:
     return pa.table([pa.array([keys[i][0] for i, _ in out], pa.int64()), pa.array([keys[j][0] for _, j in out], pa.int64())], names=["a", "b"])
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, label): the least id reachable over links (a, b), by alternating large
-    and small stars; each round is written to the shared folder. Ids without a link
-    don't occur. No round needs a component in one task: stars are summed by id."""
-    e = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    before = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        e = written(small, "links")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    ids = e.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "id")
-    return ids.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()).groupBy("id").agg(F.min("label").alias("label"))
+def _labels(links: DataFrame) -> DataFrame:
+    """(id, label): the least id reachable over links (a, b); ids without a link don't occur."""
+    return written(components(links).withColumnRenamed("component", "label"), "labels")
 
 
 def _relabelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -282,7 +268,7 @@ def near_duplicates(
         pivots = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
         keep = ["rid", "label", "node", "block", "side"]
         found = found.unionByName(_compared(docs, whole.select(keep).unionByName(pivots.select(keep)), width, percent))
-        labels = written(components(found), "labels")
+        labels = _labels(found)
         if wide.isEmpty():
             continue
         # members of wide nodes that are still apart from the node's main class meet every block
@@ -296,7 +282,7 @@ def near_duplicates(
         hosts = wide.join(parts, "node").withColumn("part", F.explode("parts")).withColumn("other", F.pmod(F.xxhash64("rid", F.lit(3)), F.col("blocks")).cast("int"))
         hosts = hosts.withColumn("block", cell).withColumn("side", F.lit(1))
         found = found.unionByName(_compared(docs, meet.select(keep).unionByName(hosts.select(keep)), width, percent))
-        labels = written(components(found), "labels")
+        labels = _labels(found)
     named = _relabelled(sets.select("lo", "hi", "rid"), labels).select("lo", "hi", "label")
     out = all_rows.drop("sig").join(named, ["lo", "hi"], "left").withColumn("component_id", F.coalesce("label", "doc_id"))
     lone = F.col("doc_id").isNull()
