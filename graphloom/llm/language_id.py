@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, written
 
 SYMBOLS = 64
 DIMENSIONS = 512
 FIT_ROWS = 3_000
 """Documents of each language (about so many at most) that its prototype bundles."""
+LANGS_SENT = 100_000
+"""Most distinct languages (some 30 bytes each) whose counts are sent to every executor."""
 UNKNOWN = "und"
 _CHARS = 600_000
 
@@ -132,9 +134,10 @@ def trained(docs: DataFrame, *, folds: int = 4, held: int = 2, fit_rows: int = F
     language brings `dimensions` numbers to the driver, whatever the number of rows."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     d = d.where("lang is not null and doc_id is not null and text is not null").where(crc_mod(F.col("doc_id"), folds) != held)
-    n = d.groupBy("lang").agg(F.count("*").alias("n"))
+    n = written(d.groupBy("lang").agg(F.count("*").alias("n")), "langs")
+    few = n.limit(LANGS_SENT + 1).count() <= LANGS_SENT  # else they meet the documents by a join
     draw = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30))
-    part = d.join(n, "lang").where(draw * F.col("n") < F.lit(fit_rows * (1 << 30)))
+    part = d.join(F.broadcast(n) if few else n, "lang").where(draw * F.col("n") < F.lit(fit_rows * (1 << 30)))
     sums = part.select("lang", "text").mapInArrow(lambda it: _bundles(it, dimensions), "lang string, i int, v double")
     got = sums.groupBy("lang", "i").agg(F.sum("v").alias("v")).orderBy("lang", "i").toArrow()
     v = got.column("v").to_numpy().reshape(-1, dimensions)
