@@ -218,5 +218,5 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     extra = F.broadcast(spark.createDataFrame(follows, "block int, least long"))
     from_ = d.drop("block").join(extra, d["doc_id"].eqNullSafe(extra["least"])).select("block", F.lit(True).alias("extra"), "doc_id", "text")
     rows = d.select("block", F.lit(False).alias("extra"), "doc_id", "text").unionByName(from_)
-    rows = rows.repartition(n, "block").sortWithinPartitions("block", "extra", F.col("doc_id").asc_nulls_last(), "text")
+    rows = rows.repartitionById(len(cuts) + 2, F.col("block")).sortWithinPartitions("block", "extra", F.col("doc_id").asc_nulls_last(), "text")
     return rows.mapInArrow(_rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
