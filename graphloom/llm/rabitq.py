@@ -105,7 +105,7 @@ def _cell(queries: pa.Table, rows: pa.Table, k: int, epsilon: float) -> pa.Table
     return pa.table([pa.array(c) for c in out], names=["query_id", "vec_id", "score"])
 
 
-def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, epsilon: float = 4.0, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, epsilon: float = 5.0, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of vectors (vec_id, embedding) whose
     vec_id is divisible by every, its k nearest other rows (all, if fewer), nearest first.
 
@@ -114,8 +114,8 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, epsilon: float
     part, nor do rows without vec_id; of rows that repeat a vec_id the least vector
     counts; vectors of different lengths don't meet. Every query block meets every row
     block in a task of its own, both of bounded size and dealt by a hash of the id, so
-    that equal vectors gather nowhere. epsilon scales the error bound of the codes: at 4
-    standard deviations about one neighbour in 30,000 is missed.
+    that equal vectors gather nowhere. epsilon scales the error bound of the codes: at 5
+    standard deviations about one neighbour in 3,000,000 is missed.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
     bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))

@@ -55,6 +55,26 @@ def test_codes_estimate_without_bias():
     assert (np.abs(off) <= error).mean() > 0.999 and abs(off.mean()) < 0.5 * np.abs(off).mean()
 
 
+def test_search_reaches_beyond_four_deviations(spark):
+    r, dim = np.random.default_rng(4), 128
+    turn = rabitq.rotation(dim)
+    o = r.normal(size=dim)
+    o /= np.linalg.norm(o)
+    c = np.sign(o) / np.sqrt(dim)
+    e = (o - (o @ c) * c) / np.linalg.norm(o - (o @ c) * c)  # what the code leaves out
+    f = r.normal(size=dim)
+    f -= (f @ c) * c + (f @ e) * e
+    q, x = turn @ (0.58 * e + np.sqrt(1 - 0.58**2) * f / np.linalg.norm(f)), turn @ o
+    codes, true = rabitq.Codes(x[None], turn), float(x @ q)
+    (at,), (four,) = codes.bounds(q, turn, 4.0)
+    five = codes.bounds(q, turn, 5.0)[1][0]
+    assert at + four < true < at + five
+    other = q * (at + four + true) / 2 / (q @ q)  # less than x, more than the bound at four
+    rows = [(20, q.tolist()), (1, x.tolist())] + [(i, other.tolist()) for i in range(2, 14)]
+    got = rabitq.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=1).where("query_id = 20").collect()
+    assert [(g.vec_id, g.score) for g in got] == [(1, pytest.approx(true))]
+
+
 def test_warc_round_trip(spark, tmp_path):
     big, small = "ä<p>" + "z" * 200, "tiny"
     rows = [(5, "http://a/ü b\r\nX: 1", big), (2, None, big), (9, "u", big), (3, "u", small), (4, "u", small), (6, "u", None), (7, "u", ""), (None, "u", big), (2, "u", big)]
