@@ -295,6 +295,51 @@ def test_license_rules(spark):
     assert [x.labels for x in got] == list(cases.values())
 
 
+def sample(r, nodes):
+    """A random text that an expression matches."""
+    out = ""
+    for op, x in nodes:
+        kind = str(op)
+        if kind == "LITERAL":
+            out += chr(x)
+        elif kind == "IN":
+            out += chr(r.choice(x)[1]) if str(x[0][0]) == "LITERAL" else "4"
+        elif kind == "BRANCH":
+            out += sample(r, r.choice(x[1]))
+        elif kind == "SUBPATTERN":
+            out += sample(r, x[3])
+        elif kind == "MAX_REPEAT":
+            out += "".join(sample(r, x[2]) for _ in range(r.randint(x[0], x[1])))
+        else:
+            assert kind in ("ASSERT",), kind
+    return out
+
+
+def test_license_keywords_are_implied(spark):
+    r, texts = random.Random(5), []
+    for label, key, rx, tier, _ in license_scan.rules():
+        parsed = re._parser.parse(rx)
+        for k in range(30):
+            t = " ".join(sample(r, parsed[1:-1]).split())
+            assert key in t and re.search(license_scan.GATE, f" {t} "), (label, t)
+            if k == 0 and (m := re.search(rx, f" {t} ")) and m.group() == t:
+                texts.append((t, tier))
+    assert len(texts) > 300
+    got = license_scan.scanned(docs_of(spark, [(i, t, None, None) for i, (t, _) in enumerate(texts)])).collect()
+    for x in got:
+        t, tier = texts[x.doc_id]
+        assert any(d.lo <= 1 and d.hi > len(t) and d.tier <= tier for d in x.detections), t
+
+
+def test_license_without_license_words(spark):
+    cases = {
+        "This program is distributed under the GPL v3": "gpl-3", "available under Apache 2.0": "apache-2", "released under MPL 2.0": "mpl-2", "provided under the PSF license": "psf-2",
+        "GNU General Public License as published by the Free Software Foundation; either version 2": "gpl-2", "under the terms of the GNU Lesser General Public License": "lgpl",
+    }
+    got = license_scan.licenses(docs_of(spark, [(i, t, None, None) for i, t in enumerate(cases)])).orderBy("doc_id").collect()
+    assert [label in x.labels.split(",") for x, label in zip(got, cases.values(), strict=True)] == [True] * len(cases), got
+
+
 def test_url_rules(spark):
     cases = {
         "https://a.COM/en/1": ("a.com", "/en/1", "com/en/", "block"), "http://x.example.com/en/77?q": ("x.example.com", "/en/77", "example.com/en/7", "allow"), "http://notexample.com/en/7": ("notexample.com", "/en/7", "com/en/", "block"),
