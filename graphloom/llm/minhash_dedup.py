@@ -10,14 +10,18 @@ levels. What is still large then (copies that stay alike all the way) is compare
 blocks that share a pivot; if that leaves members apart, these meet every block of
 their node. So no pair of a node is skipped but pairs that are linked already.
 
-Chance of missing a link of similarity 0.8: a level keeps such a pair with
-probability 0.75 * 0.8 + 0.25 * 0.96 = 0.84, two levels with 0.7, so that ten trees
-miss it with less than 1e-5.
+Chance of missing a link of similarity 0.8: if 0.8 of the signature agree, a level keeps
+such a pair with probability 0.75 * 0.8 + 0.25 * 0.96 = 0.84, four levels with 0.5. What
+of the 64 positions agrees scatters from pair to pair, and all trees share it; taken over
+that, trees are grown until the chance is below 1e-5 at the deepest level they reached
+(12 trees of two levels, 18 of three, 26 of four). That holds for sets that fill most of
+the signature; the borrowed positions of sets of few shingles scatter more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,10 @@ from .common import written
 
 POSITIONS = 64
 """Length of the minwise signature."""
+MISS = 1e-5
+"""Chance at most of missing a pair at the threshold."""
+RANGES = 128
+"""Ranges of hashes by which the common part of two sets is bounded."""
 BROADCAST_ROWS = 1_000_000
 """Most rows (of about 40 bytes) that are sent to every executor."""
 
@@ -132,11 +140,26 @@ def _children(df: DataFrame, level: int) -> DataFrame:
     )
 
 
+def _miss(levels: list[int], percent: int) -> float:
+    """Chance that trees of so many levels each all miss a pair at the threshold."""
+    out, likeness = 0.0, percent / 100
+    for m in range(POSITIONS + 1):
+        j = m / POSITIONS
+        kept = 0.75 * j + 0.25 * (1 - (1 - j) ** 2)
+        chance = comb(POSITIONS, m) * likeness**m * (1 - likeness) ** (POSITIONS - m)
+        for level in levels:
+            chance *= 1 - kept**level
+        out += chance
+    return out
+
+
 class _Sets:
     """Union-find over the members of one node, with exact comparisons of full sets."""
 
-    def __init__(self, labels: list[int], sets: list[np.ndarray], sigs: np.ndarray, percent: int):
-        self.sets, self.sigs, self.percent = sets, sigs, percent
+    def __init__(self, labels: list[int], sets: list[np.ndarray], percent: int):
+        self.sets, self.percent = sets, percent
+        shift = np.uint64(65 - RANGES.bit_length())
+        self.spread = np.array([np.bincount((s >> shift).astype(np.int64), minlength=RANGES) for s in sets], dtype=np.int32)
         self.size = np.array([len(s) for s in sets])
         first: dict[int, int] = {}
         self.up = [first.setdefault(x, i) for i, x in enumerate(labels)]
@@ -159,10 +182,12 @@ class _Sets:
         out, right_at = [], np.array(right)
         tops = np.array([self.top(j) for j in right])
         for i in left:
-            alike = (self.sigs[right_at] == self.sigs[i]).mean(axis=1)
             s, t = self.size[i], self.size[right_at]
-            might = (alike >= self.percent / 100 - 0.28) & (100 * np.minimum(s, t) >= self.percent * np.maximum(s, t)) & (tops != self.top(i))
-            for k in np.flatnonzero(might)[np.argsort(-alike[might], kind="stable")]:
+            might = np.flatnonzero((100 * np.minimum(s, t) >= self.percent * np.maximum(s, t)) & (tops != self.top(i)))
+            # two sets share no more in a range of hashes than the smaller has there
+            both = np.minimum(self.spread[right_at[might]], self.spread[i]).sum(axis=1)
+            enough = 100 * both >= self.percent * (s + t[might] - both)
+            for k in might[enough][np.argsort(-both[enough], kind="stable")]:
                 j = right[k]
                 if self.top(i) != self.top(j) and self.linked(i, j):
                     out.append((i, j))
@@ -188,7 +213,7 @@ def _compare(cell: pa.Table, width: int, percent: int) -> pa.Table:
     out: list[tuple[int, int]] = []
     if len(set(labels)) > 1:
         sets = [seen[k][2] for k in keys]
-        group = _Sets(labels, sets, np.array([signature(s) for s in sets]), percent)
+        group = _Sets(labels, sets, percent)
         left = [i for i, k in enumerate(keys) if seen[k][1] == 0]
         out = group.compare(left, list(range(len(keys))))
     return pa.table([pa.array([keys[i][0] for i, _ in out], pa.int64()), pa.array([keys[j][0] for _, j in out], pa.int64())], names=["a", "b"])
@@ -227,8 +252,9 @@ def near_duplicates(
 
     Links documents whose sets have 100 * intersection >= percent * union;
     component_id is the least doc_id reachable (its own without a link), kept marks
-    doc_id = component_id. trees: how many are grown in each pass; a pass leaves out
-    nodes whose members the ones before have joined. Null or empty texts and texts
+    doc_id = component_id. trees: how many are grown in each of the first passes; more
+    passes follow until the chance of missing a pair is at most MISS at the deepest level
+    reached. A pass leaves out nodes whose members the ones before have joined. Null or empty texts and texts
     without words have no shingles and no links; rows without doc_id have
     component_id null, kept true and link nothing; rows that repeat a doc_id with
     different texts link what each text links. Other columns are not read.
@@ -242,10 +268,11 @@ def near_duplicates(
     again = all_rows.join(ties, "doc_id", "left_semi").select("doc_id", "lo", "hi").join(sets.select("lo", "hi", "rid"), ["lo", "hi"])
     found = written(again.select(F.col("doc_id").alias("a"), F.col("rid").alias("b")), "again")
     labels = None
-    grown = 0
-    for n in trees:
-        names = [F.lit(f"tree {grown + i}") for i in range(n)]
-        grown += n
+    grown: list[int] = []  # levels of each tree
+    passes = list(trees)
+    while passes or _miss(grown, percent) > MISS:
+        n = passes.pop(0) if passes else next(n for n in range(1, 10_000) if _miss(grown + [max(grown, default=1)] * n, percent) <= MISS)
+        names = [F.lit(f"tree {len(grown) + i}") for i in range(n)]
         at = _children(sets.select("rid", F.explode(F.array(*[F.xxhash64(x) for x in names])).alias("node"), "sig"), 0)
         leaves = []
         for level in range(1, depth + 1):
@@ -258,6 +285,7 @@ def near_duplicates(
             if last or open_.where(F.col("size") > small).isEmpty():
                 break
             at = _children(open_.where(F.col("size") > small).select("rid", "node").join(sets.select("rid", "sig"), "rid"), level)
+        grown += [level] * n
         leaf = leaves[0]
         for x in leaves[1:]:
             leaf = leaf.unionByName(x)

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+
+from graphloom.llm import minhash_dedup
 from graphloom.llm.minhash_dedup import deduplicated, near_duplicates
 
 SCHEMA = "doc_id long, text string, lang string, label string"
@@ -69,3 +72,23 @@ def test_nulls_ties_empty(spark):
     assert kept.columns == df.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "5", "None"]
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_no_pair_of_a_leaf_is_skipped():
+    same = [k + (r << 58) for r in (0, 1) for k in range(1000, 1400, 100)]  # 8 of 10 in common, in two ranges
+    a, b = (np.array(sorted([*same, x]), np.uint64) for x in (300, 300 + (1 << 58)))
+    assert (minhash_dedup.signature(a) == minhash_dedup.signature(b)).mean() < 0.52
+    cell = minhash_dedup._Sets([0, 1], [a, b], 80)
+    assert cell.compare([0, 1], [0, 1]) == [(0, 1)]
+
+
+def test_trees_grow_with_depth(spark, monkeypatch):
+    assert minhash_dedup._miss([4] * 10, 80) > 1e-3 and minhash_dedup._miss([4] * 26, 80) <= minhash_dedup.MISS
+    r = random.Random(2)
+    base = [f"b{k}" for k in range(400)]
+    rows = [(i, " ".join([*base, *(f"w{r.randrange(10**6)}" for _ in range(200))])) for i in range(60)]  # alike, but below the threshold
+    seen, chance = [], minhash_dedup._miss
+    monkeypatch.setattr(minhash_dedup, "_miss", lambda levels, percent: seen.append((len(levels), chance(levels, percent))) or seen[-1][1])
+    df = spark.createDataFrame([(i, t, "en", "x") for i, t in rows], SCHEMA)
+    assert all(x.kept for x in near_duplicates(df, width=4, small=4, block=16).collect())
+    assert seen[0][1] > minhash_dedup.MISS >= seen[-1][1] and seen[-1][0] > 17
