@@ -6,28 +6,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.plans.ontology import COMMUNITY_LABELS, COMMUNITY_TYPES
-from graphloom.plans.scratch import written
+from graphloom.plans.scratch import discard, written
+
+
+HUBS = 1_000
+"""Nodes with more than a 1/HUBS part of all ends (fewer than HUBS, then) are joined by a broadcast."""
+HUB_ENDS = 1_000
+"""Fewest ends of such a node."""
+
+
+def _with_least(pairs: DataFrame, most: int) -> DataFrame:
+    """pairs (u, v) with m, the least v of u. Rows of a hub, a node with more than `most`
+    pairs, stay where they are and get m by a broadcast of the hubs."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = least.where(F.col("n") > most).select("u", F.col("m").alias("hub_m"))
+    marked = pairs.join(F.broadcast(hubs), "u", "left")
+    light = marked.where("hub_m is null").join(least.where(F.col("n") <= most), "u").select("u", "v", "m")
+    return light.unionByName(marked.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id reachable over edges (a, b), by alternating stars.
 
     Each round every node sends its neighbours to its least one, which halves long chains;
-    a hub's neighbours are summed by id, never gathered."""
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    a hub's neighbours are summed by id, never gathered. A round's table replaces the one
+    before on disk."""
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
     loops = edges.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("component"))
-    before = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        e = written(small, "star")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
+    state = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+    now, before = state(e), None
+    while now != before:
+        most = max(HUB_ENDS, 2 * now[0] // HUBS)
+        both = _with_least(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), most)
+        large = both.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
+        small = _with_least(large, most).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        last, e = e, written(small, "star")
+        discard(last)
+        now, before = state(e), now
     out = e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
     return out.unionByName(loops).groupBy("id").agg(F.min("component").alias("component"))
 

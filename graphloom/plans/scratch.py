@@ -43,4 +43,13 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     Survives lost executors, since its files belong to none of them."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Deletes the table that written() made for df; nothing may read it any more."""
+    path = vars(df).get("_scratch") if df is not None else None
+    if path:
+        _delete(df.sparkSession, path)
