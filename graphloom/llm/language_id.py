@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, written
+from .common import crc_mod, released, written
 
 SYMBOLS = 64
 DIMENSIONS = 512
@@ -29,6 +29,8 @@ LANGS_SENT = 100_000
 """Most distinct languages (some 30 bytes each) whose counts are sent to every executor."""
 UNKNOWN = "und"
 _CHARS = 600_000
+_COUNTS = 2_000_000
+"""Most counts (texts by distinct trigrams, 12 bytes each) that are held at once."""
 
 
 @cache
@@ -65,15 +67,20 @@ def trigrams(text: str | None) -> np.ndarray:
 
 def profiles(texts: list[str | None], dimensions: int = DIMENSIONS) -> np.ndarray:
     """The bundled vector of each text, divided by its number of trigrams."""
-    grams = [trigrams(t) for t in texts]
+    return _bundled([trigrams(t) for t in texts], dimensions)
+
+
+def _bundled(grams: list[np.ndarray], dimensions: int) -> np.ndarray:
     size = np.array([len(g) for g in grams])
     flat = np.concatenate(grams) if grams else np.empty(0, np.int32)
     used = np.zeros(SYMBOLS**3, bool)
     used[flat] = True
     names = np.flatnonzero(used)
+    if len(grams) > 1 and len(grams) * len(names) > _COUNTS:  # texts of little in common: half of them at a time
+        return np.concatenate([_bundled(grams[: len(grams) // 2], dimensions), _bundled(grams[len(grams) // 2 :], dimensions)])
     at = np.zeros(SYMBOLS**3, np.int64)
     at[names] = np.arange(len(names))
-    counts = np.bincount(np.repeat(np.arange(len(texts)), size) * len(names) + at[flat], minlength=len(texts) * len(names)).reshape(len(texts), -1) if len(names) else np.zeros((len(texts), 0))
+    counts = np.bincount(np.repeat(np.arange(len(grams)), size) * len(names) + at[flat], minlength=len(grams) * len(names)).reshape(len(grams), -1) if len(names) else np.zeros((len(grams), 0))
     x, y, z = _letters(dimensions)
     bound = x[names // SYMBOLS**2] * y[names // SYMBOLS % SYMBOLS] * z[names % SYMBOLS]
     return counts.astype(np.float32) @ bound.astype(np.float32) / np.maximum(1, size)[:, None].astype(np.float32)
@@ -138,7 +145,7 @@ def trained(docs: DataFrame, *, folds: int = 4, held: int = 2, fit_rows: int = F
     few = n.limit(LANGS_SENT + 1).count() <= LANGS_SENT  # else they meet the documents by a join
     draw = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30))
     part = d.join(F.broadcast(n) if few else n, "lang").where(draw * F.col("n") < F.lit(fit_rows * (1 << 30)))
-    sums = part.select("lang", "text").mapInArrow(lambda it: _bundles(it, dimensions), "lang string, i int, v double")
+    sums = part.select("lang", "text").mapInArrow(lambda it: released(_bundles(it, dimensions)), "lang string, i int, v double")
     got = sums.groupBy("lang", "i").agg(F.sum("v").alias("v")).orderBy("lang", "i").toArrow()
     v = got.column("v").to_numpy().reshape(-1, dimensions)
     langs = got.column("lang").to_pylist()[::dimensions]
@@ -158,7 +165,7 @@ def predicted(docs: DataFrame, prototypes: Prototypes, *, folds: int = 4, held:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    out = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lambda it: released(run(it)), f"doc_id {kind}, lang_pred string, score double")
     return out.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
@@ -173,4 +180,4 @@ def recognised(docs: DataFrame, prototypes: Prototypes, least: float = 0.02) ->
             lang, score = prototypes.predict(b.column("text").to_pylist())
             yield b.filter(pa.array((np.array(lang, object) != UNKNOWN) & (score >= least)))
 
-    return rows.mapInArrow(keep, names)
+    return rows.mapInArrow(lambda it: released(keep(it)), names)

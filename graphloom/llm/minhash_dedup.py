@@ -1,26 +1,33 @@
 """Near duplicates by a chosen-path set similarity join.
 
 A document's set holds its distinct word shingles. Equal sets are folded first,
-so that any number of copies counts as one member. Each set gets a one-permutation
-minwise signature. In each of several independent trees a document walks down from
-the root: a node chooses one or two signature positions from its own id, and the
-minwise tokens there name the children. Nodes of at most `small` members are
-compared exhaustively on the full sets; larger ones branch further, down to `depth`
-levels. What is still large then (copies that stay alike all the way) is compared in
-blocks that share a pivot; if that leaves members apart, these meet every block of
-their node. So no pair of a node is skipped but pairs that are linked already.
-
-Chance of missing a link of similarity 0.8: if 0.8 of the signature agree, a level keeps
-such a pair with probability 0.75 * 0.8 + 0.25 * 0.96 = 0.84, four levels with 0.5. What
-of the 64 positions agrees scatters from pair to pair, and all trees share it; taken over
-that, trees are grown until the chance is below 1e-5 at the deepest level they reached
-(12 trees of two levels, 18 of three, 26 of four). That holds for sets that fill most of
-the signature; the borrowed positions of sets of few shingles scatter more.
+so that any number of copies counts as one member. Each set gets a signature of 64
+minwise tokens, each under a permutation of its own. In each of several independent trees
+a document walks down from the root: a node chooses one or two signature positions from
+its own id, and the minwise tokens there name the children. Nodes of at most `small`
+members are compared exhaustively; larger ones branch further, down to `depth` levels.
+What is still large then (copies that stay alike all the way) is compared in blocks that
+share a pivot; if that leaves members apart, these meet every block of their node. So no
+pair of a node is skipped but pairs that are linked already.
+
+A comparison has two steps, neither of which loses a link. First the members of a node
+bring the spread of their sets: how many hashes lie in each of 64 or more equal ranges.
+Two sets share no more in a range than the smaller count there, which bounds their
+similarity from above. Only members with a partner that this bound lets through are
+compared on the full sets, made anew from their texts.
+
+Chance of missing a link of similarity 0.8: each of the 64 tokens agrees with probability
+0.8, and all trees share them. If a share s agrees, a level keeps the pair together with
+probability 0.75 s + 0.25 (1 - (1 - s)^2). Taken over s, trees are grown until the
+chance is below 1e-5 at the deepest level they reached (12 trees of two levels, 18 of
+three, 26 of four).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 from math import comb
 
 import numpy as np
@@ -31,19 +38,15 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.community import components
 
-from .common import written
+from .common import discard, released, written
 
 POSITIONS = 64
 """Length of the minwise signature."""
 MISS = 1e-5
 """Chance at most of missing a pair at the threshold."""
-RANGES = 128
-"""Ranges of hashes by which the common part of two sets is bounded."""
-BROADCAST_ROWS = 1_000_000
-"""Most rows (of about 40 bytes) that are sent to every executor."""
+NODE_SHINGLES = 4_000_000
+"""Most shingles (of 8 bytes) of the members that one task compares at once."""
 
-_words: dict[bytes, int] = {}
-_WORDS_MOST = 600_000
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -53,77 +56,155 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of the whole text.
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_GAP = np.zeros(256, bool)
+_GAP[[9, 10, 11, 12, 13, 32]] = True
+_LETTER = np.random.default_rng(9).integers(0, 1 << 63, 257).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE, _LETTER = _LETTER[256], _LETTER[:256] ^ (_LETTER[:256] >> np.uint64(32))
+_LETTER[65:91] = _LETTER[97:123]
+_BLOCK = 1 << 18
+"""Bytes of text that are hashed at once (about 40 bytes of memory each)."""
+
+
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers up to n and their inverses, modulo 2^64."""
+    each = np.ones((2, n), np.uint64)
+    each[:, 1:] = np.array([[_BASE], [np.uint64(pow(int(_BASE), -1, 1 << 64))]], np.uint64)
+    return tuple(np.multiply.accumulate(each, axis=1))
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of data, A-Z lower-cased, and where they start: a word's
+    polynomial in its letters is a difference of prefix sums."""
+    x = np.frombuffer(data, np.uint8)
+    n = len(x)
+    gap = np.ones(n + 2, bool)
+    gap[1:-1] = _GAP[x]
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    powers, inverse = _powers(max(_BLOCK, 1 << n.bit_length()))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_LETTER[x] * powers[:n], out=sums[1:])
+    lo, hi = edge[::2], edge[1::2]
+    return _mix((sums[hi] - sums[lo]) * inverse[lo]), lo
+
+
+def _blocks(texts: list[bytes | None]) -> Iterator[tuple[bytes, list[int]]]:
+    """Blocks of texts: bytes with a space after each text, and where its texts end. A text
+    beyond _BLOCK comes in pieces, cut at white space; all but the last have no end."""
+    held: list[bytes] = []
+    size = 0
+    for t in texts:
+        t = t or b""
+        if held and size + len(t) > _BLOCK:
+            yield b" ".join([*held, b""]), np.cumsum([len(x) + 1 for x in held]).tolist()
+            held, size = [], 0
+        lo = 0
+        while len(t) - lo > _BLOCK and (cut := _SPACE.search(t, lo + _BLOCK)):
+            yield t[lo : cut.start()], []
+            lo = cut.start()
+        held.append(t[lo:])
+        size += len(t) - lo + 1
+    if held:
+        yield b" ".join([*held, b""]), np.cumsum([len(x) + 1 for x in held]).tolist()
+
+
+def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word shingles of each whole text (UTF-8).
 
     A-Z are lower-cased; words are separated by ASCII white space. A text of fewer
     words than width is one shingle; one without words has none.
     """
-    if not text:
-        return np.empty(0, np.uint64)
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(_words) > _WORDS_MOST:
-        _words.clear()
-    try:
-        ids = list(map(_words.__getitem__, words))
-    except KeyError:
-        for w in words:
-            if w not in _words:
-                _words[w] = xxhash.xxh3_64_intdigest(w)
-        ids = list(map(_words.__getitem__, words))
-    h = np.array(ids, dtype=np.uint64)
-    k = min(width, len(h))
-    out = np.full(len(h) - k + 1, k if len(h) < width else 0, np.uint64)
-    for i in range(k):
-        out = _mix(out * np.uint64(0x2545F4914F6CDD1D) + h[i : len(h) - k + 1 + i] * _MUL[i % 4])
-    return np.unique(out)
-
-
-_EDGES = (np.arange(POSITIONS, dtype=np.uint64) << np.uint64(58)).astype(np.uint64)
-_TRIES = np.random.default_rng(7).integers(0, POSITIONS, (POSITIONS, 512))
+    out: list[np.ndarray] = []
+    early: list[np.ndarray] = []  # words of the pieces of a long text
+    for data, ends in _blocks(texts):
+        h, starts = _word_hashes(data)
+        if not ends:
+            early.append(h)
+            continue
+        lo = 0
+        counts = np.diff(np.searchsorted(starts, ends), prepend=0).tolist()
+        if early:
+            counts[0] += sum(map(len, early))
+            h = np.concatenate([*early, h])
+            early = []
+        rolled = _rolled(h, width, 0) if len(h) >= width else h
+        for k in counts:
+            s = np.sort(rolled[lo : lo + k - width + 1]) if k >= width else _rolled(h[lo : lo + k], k, k) if k else np.empty(0, np.uint64)
+            if len(s) > 1:
+                new = np.empty(len(s), bool)
+                new[0] = True
+                np.not_equal(s[1:], s[:-1], out=new[1:])
+                s = s[new]
+            out.append(s)
+            lo += k
+    return out
+
+
+def _rolled(h: np.ndarray, width: int, start: int) -> np.ndarray:
+    """A hash of every width consecutive elements of h."""
+    m = len(h) - width + 1
+    out = np.full(m, start, np.uint64)
+    for i in range(width):
+        out = _mix(out * np.uint64(0x2545F4914F6CDD1D) + h[i : m + i] * _MUL[i % 4])
+    return out
+
+
+_TURN = np.random.default_rng(7).integers(0, 1 << 32, (2, POSITIONS, 1), dtype=np.uint32)
+_TURN[1] |= np.uint32(1)
 
 
 def signature(h: np.ndarray) -> np.ndarray:
-    """One-permutation minwise hashing of a sorted set: the least hash of each of 64
-    ranges; an empty range borrows from the first filled one in its own fixed order."""
-    at = np.searchsorted(h, _EDGES)
-    filled = np.append(at[1:], len(h)) > at
-    own = (h[np.minimum(at, len(h) - 1)] >> np.uint64(8)).astype(np.uint32)
-    if not filled.all():
-        hit = filled[_TRIES]
-        first = hit.argmax(axis=1)
-        lender = np.where(hit[np.arange(POSITIONS), first], _TRIES[np.arange(POSITIONS), first], filled.argmax())
-        own = np.where(filled, own, own[lender])
-    return own.view(np.int32)
+    """Minwise tokens of a set that isn't empty, 32 bits of an element each: position i
+    holds the element least under permutation i, which takes the upper half of an element
+    by an exclusive or and a product with an odd number."""
+    upper, token = (h >> np.uint64(32)).astype(np.uint32), h.astype("<u4")
+    for lo in range(0, len(h), 4096):
+        turned = (upper[lo : lo + 4096] ^ _TURN[0]) * _TURN[1]
+        at = turned.argmin(axis=1)
+        value = np.take_along_axis(turned, at[:, None], 1)[:, 0]
+        if lo:
+            out = np.where(value < least, token[lo + at], out)
+            least = np.minimum(value, least)
+        else:
+            least, out = value, token[at]
+    return out
+
+
+def spread(h: np.ndarray) -> np.ndarray:
+    """How many elements of a set lie in each of 64 or more (about a quarter of its size,
+    a power of two) equal ranges; one entry of 255 if a count doesn't fit a byte."""
+    bits = max(6, min(16, (len(h) // 4).bit_length()))
+    counts = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8) if counts.max(initial=0) < 255 else np.array([255], np.uint8)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, n, lo, hi, sig = b.column("doc_id"), [], [], [], []
-        for t in b.column("text"):
-            h = shingle_set(t.as_py(), width)
-            n.append(len(h))
-            if len(h):
-                d = xxhash.xxh3_128_intdigest(h.tobytes())
-                lo.append((d & (2**64 - 1)) - 2**63)
-                hi.append((d >> 64) - 2**63)
-                sig.append(signature(h).tolist())
-            else:
-                lo.append(None)
-                hi.append(None)
-                sig.append(None)
-        yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(sig, pa.list_(pa.int32()))],
-            ["doc_id", "n_shingles", "lo", "hi", "sig"],
-        )
+    for whole in batches:
+        for at in range(0, whole.num_rows, 64):
+            b = whole.slice(at, 64)
+            n, lo, hi, sig, wide = [], [], [], [], []
+            for h in shingle_sets(b.column("text").cast(pa.binary()).to_pylist(), width):
+                n.append(len(h))
+                if len(h):
+                    d = xxhash.xxh3_128_intdigest(h.tobytes())
+                    lo.append((d & (2**64 - 1)) - 2**63)
+                    hi.append((d >> 64) - 2**63)
+                    sig.append(signature(h).tobytes())
+                    wide.append(spread(h).tobytes())
+                else:
+                    for c in (lo, hi, sig, wide):
+                        c.append(None)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(sig, pa.binary()), pa.array(wide, pa.binary())],
+                ["doc_id", "n_shingles", "lo", "hi", "sig", "spread"],
+            )
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, lo, hi (128-bit name of the set), sig of every row."""
+    """doc_id, n_shingles, lo, hi (128-bit name of the set), sig, spread of every row."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        lambda it: _sketches(it, width), "doc_id long, n_shingles long, lo long, hi long, sig array<int>"
+        lambda it: released(_sketches(it, width)), "doc_id long, n_shingles long, lo long, hi long, sig binary, spread binary"
     )
 
 
@@ -134,9 +215,9 @@ def _chosen(node: str, level: int) -> str:
 
 
 def _children(df: DataFrame, level: int) -> DataFrame:
-    """Each row (rid, node, sig) moves on to the children of its node."""
+    """Each row (rid, n, node, sig) moves on to the children of its node."""
     return df.withColumn("at", F.explode(F.expr(_chosen("node", level)))).select(
-        "rid", F.expr(f"xxhash64(node, at, sig[at], {level})").alias("node"), "sig"
+        "rid", "n", F.expr(f"xxhash64(node, at, substring(sig, 4 * at + 1, 4), {level})").alias("node"), "sig"
     )
 
 
@@ -153,48 +234,64 @@ def _miss(levels: list[int], percent: int) -> float:
     return out
 
 
-class _Sets:
-    """Union-find over the members of one node, with exact comparisons of full sets."""
-
-    def __init__(self, labels: list[int], sets: list[np.ndarray], percent: int):
-        self.sets, self.percent = sets, percent
-        shift = np.uint64(65 - RANGES.bit_length())
-        self.spread = np.array([np.bincount((s >> shift).astype(np.int64), minlength=RANGES) for s in sets], dtype=np.int32)
-        self.size = np.array([len(s) for s in sets])
-        first: dict[int, int] = {}
-        self.up = [first.setdefault(x, i) for i, x in enumerate(labels)]
-
-    def top(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def linked(self, i: int, j: int) -> bool:
-        a, b = self.sets[i], self.sets[j]
-        if 100 * min(len(a), len(b)) < self.percent * max(len(a), len(b)):
-            return False
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return 100 * both >= self.percent * (len(a) + len(b) - both)
-
-    def compare(self, left: list[int], right: list[int]) -> list[tuple[int, int]]:
-        """Links found between members of left and of right that were apart."""
-        out, right_at = [], np.array(right)
-        tops = np.array([self.top(j) for j in right])
-        for i in left:
-            s, t = self.size[i], self.size[right_at]
-            might = np.flatnonzero((100 * np.minimum(s, t) >= self.percent * np.maximum(s, t)) & (tops != self.top(i)))
-            # two sets share no more in a range of hashes than the smaller has there
-            both = np.minimum(self.spread[right_at[might]], self.spread[i]).sum(axis=1)
-            enough = 100 * both >= self.percent * (s + t[might] - both)
-            for k in might[enough][np.argsort(-both[enough], kind="stable")]:
-                j = right[k]
-                if self.top(i) != self.top(j) and self.linked(i, j):
-                    out.append((i, j))
-                    a, b = self.top(i), self.top(j)
-                    self.up[b] = a
-                    tops[tops == b] = a
-        return out
+class Bound:
+    """An upper bound of the number of elements that two of some sets share."""
+
+    def __init__(self, size: np.ndarray, spreads: list[np.ndarray], percent: int):
+        self.size, self.percent = size, percent
+        self.order = np.argsort(size, kind="stable")
+        self.sorted = size[self.order]
+        self.spreads = [spreads[i] for i in self.order]
+        self.ranges = np.array([len(s) for s in self.spreads])
+        self.ready = (-1, 0, np.empty(0))  # ranges, first row, counts
+
+    def _counts(self, at: int, end: int) -> tuple[int, np.ndarray]:
+        """Counts of rows from a place on in as many ranges as row `at` has, and that place."""
+        r, lo, counts = self.ready
+        if r != self.ranges[at] or end > lo + len(counts):
+            r, lo = self.ranges[at], at
+            last = np.flatnonzero(self.ranges[at:] == r)[-1] + at  # far enough for all rows of so many ranges
+            end = max(end, int(np.searchsorted(self.sorted, 100 * self.sorted[last] // self.percent, "right")))
+            counts = np.array([s.reshape(r, -1).sum(axis=1, dtype=np.uint16) if r <= len(s) else np.full(r, 255, np.uint16) for s in self.spreads[at:end]])
+            self.ready = (r, lo, counts)
+        return lo, counts
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each set i: the sets j not smaller that come after it and may be similar
+        enough, and the bounds of what they share."""
+        ends = np.searchsorted(self.sorted, 100 * self.sorted // self.percent, "right")
+        for a in range(len(self.order) - 1):
+            end = int(ends[a])
+            if end <= a + 1:
+                continue
+            n, m = self.sorted[a], self.sorted[a + 1 : end]
+            if self.ranges[a] == 1:
+                both = np.full(len(m), n)
+            else:
+                lo, counts = self._counts(a, end)
+                both = np.minimum(counts[a + 1 - lo : end - lo], counts[a - lo]).sum(axis=1, dtype=np.int64)
+                both = np.where(self.ranges[a + 1 : end] == 1, n, both)
+            ok = np.flatnonzero(100 * both >= self.percent * (n + m - both))
+            if len(ok):
+                yield int(self.order[a]), self.order[a + 1 + ok], both[ok]
+
+
+def _close(cell: pa.Table, percent: int) -> pa.Table:
+    """The rows of a cell (rid, label, node, block, side, n, spread) with a partner apart
+    from them that the bound lets through."""
+    label, side = cell.column("label").to_numpy(), cell.column("side").to_numpy()
+    bound = Bound(cell.column("n").to_numpy(), [np.frombuffer(x, np.uint8) for x in cell.column("spread").to_pylist()], percent)
+    hit = np.zeros(len(label), bool)
+    for i, j, _ in bound.pairs():
+        j = j[(label[j] != label[i]) & ((side[j] == 0) | (side[i] == 0))]
+        if len(j):
+            hit[i] = hit[j] = True
+    return cell.select(["rid", "label", "node", "block", "side"]).filter(pa.array(hit))
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def _compare(cell: pa.Table, width: int, percent: int) -> pa.Table:
@@ -203,116 +300,132 @@ def _compare(cell: pa.Table, width: int, percent: int) -> pa.Table:
     side 0: compared with all; side 1: with side 0 only. A rid has several texts if
     rows repeat a doc_id."""
     seen: dict[tuple[int, bytes], tuple[int, int, np.ndarray]] = {}
-    for rid, label, side, text in zip(*(cell.column(c).to_pylist() for c in ("rid", "label", "side")), cell.column("text"), strict=True):
-        h = shingle_set(text.as_py(), width)
-        key = (rid, xxhash.xxh3_128_digest(h.tobytes()))
-        if len(h) and (key not in seen or side < seen[key][1]):
-            seen[key] = (label, side, h)
+    for at in range(0, cell.num_rows, 64):
+        b = cell.slice(at, 64)
+        sets = shingle_sets(b.column("text").cast(pa.binary()).to_pylist(), width)
+        for rid, label, side, h in zip(*(b.column(c).to_pylist() for c in ("rid", "label", "side")), sets, strict=True):
+            key = (rid, xxhash.xxh3_128_digest(h.tobytes()))
+            if len(h) and (key not in seen or side < seen[key][1]):
+                seen[key] = (label, side, h)
     keys = sorted(seen)
-    labels = [seen[k][0] for k in keys]
+    sets = [seen[k][2] for k in keys]
+    side = np.array([seen[k][1] for k in keys])
+    first: dict[int, int] = {}
+    top = np.array([first.setdefault(seen[k][0], i) for i, k in enumerate(keys)])  # of members joined so far
     out: list[tuple[int, int]] = []
-    if len(set(labels)) > 1:
-        sets = [seen[k][2] for k in keys]
-        group = _Sets(labels, sets, percent)
-        left = [i for i, k in enumerate(keys) if seen[k][1] == 0]
-        out = group.compare(left, list(range(len(keys))))
+    for i, near, both in Bound(np.array([len(s) for s in sets]), [spread(s) for s in sets], percent).pairs():
+        apart = top[near] != top[i]
+        for j in near[apart][np.argsort(-both[apart], kind="stable")].tolist():
+            if top[i] != top[j] and not (side[i] and side[j]) and _linked(sets[i], sets[j], percent):
+                out.append((i, j))
+                top[top == top[j]] = top[i]
     return pa.table([pa.array([keys[i][0] for i, _ in out], pa.int64()), pa.array([keys[j][0] for _, j in out], pa.int64())], names=["a", "b"])
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    """(id, label): the least id reachable over links (a, b); ids without a link don't occur."""
-    return written(components(links).withColumnRenamed("component", "label"), "labels")
-
-
 def _relabelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return members.withColumn("label", F.col("rid"))
     return members.join(labels.withColumnRenamed("id", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
 
 
-def _with_texts(docs: DataFrame, cells: DataFrame) -> DataFrame:
-    """cells (rid, ...) with the texts of their documents; few cells go to every
-    executor, more meet the documents by a shuffle."""
-    few = cells.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(cells) if few else cells, docs["doc_id"] == cells["rid"]).drop("doc_id")
-
-
-def _compared(docs: DataFrame, cells: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links of members apart, for cells (rid, label, node, block, side)."""
-    packed = written(cells.groupBy("rid", "label").agg(F.collect_list(F.struct("node", "block", "side")).alias("at")), "cells")
-    rows = _with_texts(docs, packed).select("rid", "label", "text", F.explode("at").alias("at")).select("rid", "label", "text", "at.*")
-    found = rows.groupBy("node", "block").applyInArrow(lambda cell: _compare(cell, width, percent), "a long, b long")
-    return written(found, "found")
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, label) after links (a, b) between ids: the least id reachable; ids without a
+    link don't occur. Only the classes that links join are walked again."""
+    if labels is None:
+        return written(components(links).withColumnRenamed("component", "label"), "labels")
+    a = _relabelled(links.select(F.col("a").alias("rid"), "b"), labels).select("b", F.col("label").alias("a"))
+    ends = _relabelled(a.withColumnRenamed("b", "rid"), labels).select("a", F.col("label").alias("b"))
+    fresh = written(components(ends), "fresh")
+    old = labels.join(fresh.select(F.col("id").alias("label"), "component"), "label", "left").select("id", F.coalesce("component", "label").alias("label"))
+    return written(old.unionByName(fresh.join(labels, "id", "left_anti").withColumnRenamed("component", "label")), "labels")
+
+
+def _compared(docs: DataFrame, sets: DataFrame, cells: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) of members apart, for cells (rid, label, node, block, side)."""
+    sketched = cells.join(sets.select("rid", "n", "spread"), "rid").select(*cells.columns, "n", "spread")
+    close = sketched.groupBy("node", "block").applyInArrow(lambda cell: _close(cell, percent), "rid long, label long, node long, block int, side int")
+    packed = written(close.groupBy("rid", "label").agg(F.collect_list(F.struct("node", "block", "side")).alias("at")), "cells")
+    # Spark broadcasts packed if its table is small (spark.sql.autoBroadcastJoinThreshold), else both sides meet by a shuffle
+    rows = docs.join(packed, docs["doc_id"] == packed["rid"]).select("rid", "label", "text", F.explode("at").alias("at")).select("rid", "label", "text", "at.*")
+    found = written(rows.groupBy("node", "block").applyInArrow(lambda cell: _compare(cell, width, percent), "a long, b long"), "found")
+    discard(packed)
+    return found
 
 
 def near_duplicates(
-    docs: DataFrame, *, width: int = 5, percent: int = 80, trees: tuple[int, ...] = (2, 8), small: int = 192, depth: int = 4, block: int = 1024
+    docs: DataFrame, *, width: int = 5, percent: int = 80, trees: int = 2, small: int = 1024, depth: int = 4, block: int = 1024
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     Links documents whose sets have 100 * intersection >= percent * union;
     component_id is the least doc_id reachable (its own without a link), kept marks
-    doc_id = component_id. trees: how many are grown in each of the first passes; more
-    passes follow until the chance of missing a pair is at most MISS at the deepest level
-    reached. A pass leaves out nodes whose members the ones before have joined. Null or empty texts and texts
-    without words have no shingles and no links; rows without doc_id have
+    doc_id = component_id. trees: how many are grown in the first pass; others follow
+    until the chance of missing a pair is at most MISS at the deepest level reached. A
+    pass leaves out nodes whose members the ones before have joined. Null or empty texts
+    and texts without words have no shingles and no links; rows without doc_id have
     component_id null, kept true and link nothing; rows that repeat a doc_id with
-    different texts link what each text links. Other columns are not read.
+    different texts link what each text links. Very long texts count whole: a task
+    compares members of at most NODE_SHINGLES shingles, or two texts. Other columns are
+    not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_rows = written(sketches(docs, width), "sketches")
-    sets = all_rows.where("doc_id is not null and n_shingles > 0").groupBy("lo", "hi").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("rid"))
-    sets = written(sets, "sets")
+    one = F.min_by(F.struct("sig", "spread", F.col("n_shingles").alias("n")), "doc_id").alias("one")
+    sets = written(all_rows.where("doc_id is not null and n_shingles > 0").groupBy("lo", "hi").agg(one, F.min("doc_id").alias("rid")).select("lo", "hi", "rid", "one.*"), "sets")
     # rows that share a doc_id belong together, whatever their sets
     ties = all_rows.where("n_shingles > 0").groupBy("doc_id").agg(F.min("lo").alias("x"), F.max("lo").alias("y")).where("x <> y").select("doc_id")
     again = all_rows.join(ties, "doc_id", "left_semi").select("doc_id", "lo", "hi").join(sets.select("lo", "hi", "rid"), ["lo", "hi"])
-    found = written(again.select(F.col("doc_id").alias("a"), F.col("rid").alias("b")), "again")
+    again = again.select(F.col("doc_id").alias("a"), F.col("rid").alias("b"))
     labels = None
     grown: list[int] = []  # levels of each tree
-    passes = list(trees)
-    while passes or _miss(grown, percent) > MISS:
-        n = passes.pop(0) if passes else next(n for n in range(1, 10_000) if _miss(grown + [max(grown, default=1)] * n, percent) <= MISS)
+    large = (F.col("size") > small) | (F.col("length") > NODE_SHINGLES)
+    n = trees
+    while n:
         names = [F.lit(f"tree {len(grown) + i}") for i in range(n)]
-        at = _children(sets.select("rid", F.explode(F.array(*[F.xxhash64(x) for x in names])).alias("node"), "sig"), 0)
-        leaves = []
+        at = _children(sets.select("rid", "n", F.explode(F.array(*[F.xxhash64(x) for x in names])).alias("node"), "sig"), 0)
+        leaves, used = [], []
         for level in range(1, depth + 1):
-            slim = written(at.select("rid", "node"), "nodes")
+            slim = written(at.select("rid", "n", "node"), "nodes")
             named = _relabelled(slim, labels)
-            nodes = named.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("node", "size")
+            nodes = named.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y"), F.sum("n").alias("length")).where("x <> y").select("node", "size", "length")
             open_ = written(named.join(nodes, "node"), "open")
+            discard(slim)
+            used.append(open_)
             last = level == depth
-            leaves.append(open_ if last else open_.where(F.col("size") <= small))
-            if last or open_.where(F.col("size") > small).isEmpty():
+            leaves.append(open_ if last else open_.where(~large))
+            if last or open_.where(large).isEmpty():
                 break
-            at = _children(open_.where(F.col("size") > small).select("rid", "node").join(sets.select("rid", "sig"), "rid"), level)
+            at = _children(open_.where(large).select("rid", "n", "node").join(sets.select("rid", "sig"), "rid"), level)
         grown += [level] * n
         leaf = leaves[0]
         for x in leaves[1:]:
             leaf = leaf.unionByName(x)
-        leaf = leaf.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+        blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("length") / NODE_SHINGLES))
+        leaf = leaf.withColumn("blocks", blocks.cast("int"))
         whole = leaf.withColumn("block", F.pmod(F.xxhash64("rid", F.lit(3)), F.col("blocks")).cast("int")).withColumn("side", F.lit(0))
-        wide = leaf.where("blocks > 1")
+        wide = written(leaf.where("blocks > 1"), "wide")
         pivots = wide.groupBy("node", "blocks").agg(F.min_by("label", "rid").alias("label"), F.min("rid").alias("rid"))
         pivots = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
         keep = ["rid", "label", "node", "block", "side"]
-        found = found.unionByName(_compared(docs, whole.select(keep).unionByName(pivots.select(keep)), width, percent))
-        labels = _labels(found)
-        if wide.isEmpty():
-            continue
-        # members of wide nodes that are still apart from the node's main class meet every block
-        wide = written(_relabelled(wide.drop("label"), labels), "wide")
-        main = wide.groupBy("node", "label").count().groupBy("node").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
-        wide = wide.join(main, "node")
-        apart = wide.where("label <> main").withColumn("part", F.pmod(F.xxhash64("rid", F.lit(5)), F.col("blocks")).cast("int"))
-        parts = apart.groupBy("node").agg(F.collect_set("part").alias("parts"))
-        cell = F.col("part") * F.col("blocks") + F.col("other")
-        meet = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block", cell).withColumn("side", F.lit(0))
-        hosts = wide.join(parts, "node").withColumn("part", F.explode("parts")).withColumn("other", F.pmod(F.xxhash64("rid", F.lit(3)), F.col("blocks")).cast("int"))
-        hosts = hosts.withColumn("block", cell).withColumn("side", F.lit(1))
-        found = found.unionByName(_compared(docs, meet.select(keep).unionByName(hosts.select(keep)), width, percent))
-        labels = _labels(found)
+        found = _compared(docs, sets, whole.select(keep).unionByName(pivots.select(keep)), width, percent)
+        labels = _merged(labels, found.unionByName(again) if labels is None else found)
+        for x in used:
+            discard(x)
+        if not wide.isEmpty():
+            # members of wide nodes that are still apart from the node's main class meet every block
+            wide = written(_relabelled(wide.drop("label"), labels), "wide")
+            main = wide.groupBy("node", "label").count().groupBy("node").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
+            wide = wide.join(main, "node")
+            apart = wide.where("label <> main").withColumn("part", F.pmod(F.xxhash64("rid", F.lit(5)), F.col("blocks")).cast("int"))
+            parts = apart.groupBy("node").agg(F.collect_set("part").alias("parts"))
+            cell = F.col("part") * F.col("blocks") + F.col("other")
+            meet = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block", cell).withColumn("side", F.lit(0))
+            hosts = wide.join(parts, "node").withColumn("part", F.explode("parts")).withColumn("other", F.pmod(F.xxhash64("rid", F.lit(3)), F.col("blocks")).cast("int"))
+            hosts = hosts.withColumn("block", cell).withColumn("side", F.lit(1))
+            labels = _merged(labels, _compared(docs, sets, meet.select(keep).unionByName(hosts.select(keep)), width, percent))
+        n = next(k for k in range(10_000) if _miss(grown + [max(grown)] * k, percent) <= MISS)
     named = _relabelled(sets.select("lo", "hi", "rid"), labels).select("lo", "hi", "label")
-    out = all_rows.drop("sig").join(named, ["lo", "hi"], "left").withColumn("component_id", F.coalesce("label", "doc_id"))
+    out = all_rows.drop("sig", "spread").join(named, ["lo", "hi"], "left").withColumn("component_id", F.coalesce("label", "doc_id"))
     lone = F.col("doc_id").isNull()
     return out.select("doc_id", "n_shingles", F.when(~lone, F.col("component_id")).alias("component_id"), (lone | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
 

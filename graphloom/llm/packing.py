@@ -8,80 +8,83 @@ partition has packed all that remained, or when a round no longer joins bins.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
+from unicodedata import is_normalized
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import written
+from .common import Kept, released, written
 
 CAPACITY = 2048
-_tokenizers: dict = {}
-_ids: dict[bytes, bytes] = {}
-_IDS_MOST = 450_000
 _PAD = "<|startoftext|>"
 
 
+@lru_cache(1)
 def _tokenizer(path: str):
-    if path not in _tokenizers:
-        import os
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    return t
 
-        _tokenizers.clear()
-        _ids.clear()
-        t = _tokenizers[path] = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-    return _tokenizers[path]
+
+def chunk_ids(path: str) -> Kept:
+    """Token ids, as little-endian unsigned 32-bit numbers, of chunks without white space."""
+    t = _tokenizer(path)
+    pad = t.token_to_id(_PAD)
+
+    def of(chunks: list[bytes]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(chunks), 256):
+            part = chunks[i : i + 256]
+            ids = np.array(t.encode(_PAD.join(w.decode("utf-8") for w in part), add_special_tokens=False).ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == pad).tolist()
+            raw = ids.tobytes()
+            out += [raw[4 * lo : 4 * hi] for lo, hi in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
+        return out
+
+    return Kept(of, 64 << 20)
 
 
-def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
+def _composed(x: str) -> bool:
+    """Whether A-Z may be lower-cased before the tokenizer composes letters and marks."""
+    return x.isascii() or (is_normalized("NFC", x) and is_normalized("NFC", x.lower()))
+
+
+def token_bytes(texts: list[str | None], path: str, kept: Kept) -> list[bytes]:
     """Each text's token ids as little-endian unsigned 32-bit numbers.
 
     The vocabulary's tokens never cross white space, so that a text is the sum of its
-    chunks between ASCII white space; each distinct chunk is tokenized once and kept.
+    chunks between ASCII white space; a distinct chunk is tokenized once while it is kept.
     Texts with the mark of special tokens are tokenized whole.
     """
-    t = _tokenizer(path)
-    chunked: list[list[bytes] | None] = []
-    new: set[bytes] = set()
-    for x in texts:
-        b = (x or "").encode("utf-8", "surrogatepass")
-        words = None if b"<|" in b or b"|>" in b else b.lower().split()
-        chunked.append(words)
-        if words:
-            new.update(words)
-    if len(_ids) + len(new) > _IDS_MOST:
-        _ids.clear()
-    missing = [w for w in new if w not in _ids]
-    for i in range(0, len(missing), 256):
-        part = missing[i : i + 256]
-        ids = np.array(t.encode(_PAD.join(w.decode("utf-8") for w in part), add_special_tokens=False).ids, dtype="<u4")
-        cuts = np.flatnonzero(ids == t.token_to_id(_PAD))
-        lo, raw = 0, ids.tobytes()
-        for w, hi in zip(part, [*cuts.tolist(), len(ids)], strict=True):
-            _ids[w] = raw[4 * lo : 4 * hi]
-            lo = hi + 1
+    whole = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
+    chunks = [None if b"<|" in b or b"|>" in b else (b.lower() if _composed(x or "") else b).split() for x, b in zip(texts, whole, strict=True)]
+    ids = kept.all([w for c in chunks if c for w in c])
     return [
-        np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() if words is None else b"".join(map(_ids.__getitem__, words))
-        for x, words in zip(texts, chunked, strict=True)
+        np.array(_tokenizer(path).encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() if c is None else b"".join(islice(ids, len(c)))
+        for x, c in zip(texts, chunks, strict=True)
     ]
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: int) -> Iterator[pa.RecordBatch]:
     last = np.array([end], dtype="<u4").tobytes()
+    kept = chunk_ids(path)
     for whole in batches:
         for lo in range(0, whole.num_rows, 256):
             b = whole.slice(lo, 256)
             cols: list[list] = [[], [], [], [], []]
-            for doc_id, raw in zip(b.column("doc_id").to_pylist(), token_bytes(b.column("text").to_pylist(), path), strict=True):
+            for doc_id, raw in zip(b.column("doc_id").to_pylist(), token_bytes(b.column("text").to_pylist(), path, kept), strict=True):
                 raw += last
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
@@ -94,7 +97,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     """doc_id, piece, start, length, ids_crc32: each text's ids and the end id, cut into
     pieces of capacity; only a document longer than that is cut."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        lambda it: _pieces(it, tokenizer, capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long"
+        lambda it: released(_pieces(it, tokenizer, capacity, end)), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
 

@@ -20,14 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import Kept, crc_mod, released
 
 BUCKETS = 1 << 18
 FIT_ROWS = 12_000
 """Most labelled rows (about so many, drawn by a hash of the id) that the machine is fitted on."""
 _LETTERS = re.compile(r"[^\W\d_]+")
-_terms: dict[bytes, bytes] = {}
-_TERMS_MOST = 400_000
 
 
 def _buckets(chunk: bytes) -> bytes:
@@ -38,20 +36,14 @@ def _buckets(chunk: bytes) -> bytes:
     return np.array(out, dtype="<u4").tobytes()
 
 
-def text_buckets(text: str | None, keep: dict[bytes, bytes] | None = None, of=_buckets) -> np.ndarray:
-    """The distinct buckets of the whole text."""
-    keep = _terms if keep is None else keep
+def text_buckets(text: str | None, kept: Kept) -> np.ndarray:
+    """The distinct buckets (or what kept gives for each word) of the whole text."""
     words = (text or "").encode("utf-8", "replace").lower().split()
-    try:
-        raw = b"".join(map(keep.__getitem__, words))
-    except KeyError:
-        if len(keep) > _TERMS_MOST:
-            keep.clear()
-        for w in words:
-            if w not in keep:
-                keep[w] = of(w)
-        raw = b"".join(map(keep.__getitem__, words))
-    return np.unique(np.frombuffer(raw, dtype="<u4"))
+    return np.unique(np.frombuffer(b"".join(kept.all(words)), dtype="<u4"))
+
+
+def word_buckets() -> Kept:
+    return Kept(lambda words: [_buckets(w) for w in words])
 
 
 @dataclass
@@ -128,7 +120,6 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, *, factors: int = 4, rounds
 
 
 def _scores(batches: Iterator[pa.RecordBatch], m: Machine) -> Iterator[pa.RecordBatch]:
-    keep: dict[bytes, bytes] = {}
     place = np.full(BUCKETS, -1)
     place[m.buckets] = np.arange(len(m.buckets))
 
@@ -136,16 +127,18 @@ def _scores(batches: Iterator[pa.RecordBatch], m: Machine) -> Iterator[pa.Record
         at = place[np.frombuffer(_buckets(chunk), dtype="<u4")]
         return at[at >= 0].astype("<u4").tobytes()
 
+    kept = Kept(lambda words: [known(w) for w in words])
     for b in batches:
-        found = [text_buckets(t.as_py(), keep, known) for t in b.column("text")]
+        found = [text_buckets(t.as_py(), kept) for t in b.column("text")]
         rows = np.repeat(np.arange(len(found)), [len(x) for x in found]) if found else np.empty(0, int)
         y, _ = m.raw(rows, np.concatenate(found).astype(int) if found else np.empty(0, int), len(found))
         yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns) if b.schema.names[i] != "text"), pa.array(_sigmoid(y))], [*(x for x in b.schema.names if x != "text"), "score"])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept = word_buckets()
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([text_buckets(t.as_py()).astype(np.int32) for t in b.column("text")], pa.list_(pa.int32()))], ["toxic", "buckets"])
+        yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([text_buckets(t.as_py(), kept).astype(np.int32) for t in b.column("text")], pa.list_(pa.int32()))], ["toxic", "buckets"])
 
 
 def trained(docs: DataFrame, labels: DataFrame, *, folds: int = 5, fit_rows: int = FIT_ROWS, **how) -> Machine:
@@ -159,7 +152,7 @@ def trained(docs: DataFrame, labels: DataFrame, *, folds: int = 5, fit_rows: int
         known = known.where(F.pmod(F.xxhash64("d", F.lit("fit")), F.lit(1 << 30)) < int(fit_rows / n * (1 << 30)))
     # at most about fit_rows rows of 12 bytes
     rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "d")
-    got = rows.select("toxic", "text").mapInArrow(_features, "toxic int, buckets array<int>").toArrow()
+    got = rows.select("toxic", "text").mapInArrow(lambda it: released(_features(it)), "toxic int, buckets array<int>").toArrow()
     return fit([np.asarray(x.values, dtype=np.int64) for x in got.column("buckets")], got.column("toxic").to_numpy(), **how)
 
 
@@ -169,7 +162,7 @@ def scored(docs: DataFrame, machine: Machine, folds: int = 5) -> DataFrame:
     doc_id is not held out. Other columns are not read."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(lambda it: _scores(it, machine), f"doc_id {kind}, score double")
+    out = rows.mapInArrow(lambda it: released(_scores(it, machine)), f"doc_id {kind}, score double")
     return out.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), folds) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -179,8 +172,14 @@ def clean(docs: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFram
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = next(_scores(iter([b.select(["text"])]), machine)).column("score").to_numpy()
-            yield b.filter(pa.array(s < threshold))
+        held: list[pa.RecordBatch] = []
+
+        def texts() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                held.append(b)
+                yield b.select(["text"])
+
+        for s in _scores(texts(), machine):
+            yield held.pop().filter(pa.array(s.column("score").to_numpy() < threshold))
 
-    return rows.mapInArrow(keep, names)
+    return rows.mapInArrow(lambda it: released(keep(it)), names)

@@ -74,12 +74,39 @@ def test_nulls_ties_empty(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
-def test_no_pair_of_a_leaf_is_skipped():
-    same = [k + (r << 58) for r in (0, 1) for k in range(1000, 1400, 100)]  # 8 of 10 in common, in two ranges
-    a, b = (np.array(sorted([*same, x]), np.uint64) for x in (300, 300 + (1 << 58)))
-    assert (minhash_dedup.signature(a) == minhash_dedup.signature(b)).mean() < 0.52
-    cell = minhash_dedup._Sets([0, 1], [a, b], 80)
-    assert cell.compare([0, 1], [0, 1]) == [(0, 1)]
+def test_bound_loses_no_pair():
+    r = np.random.default_rng(3)
+    pool = r.integers(0, 1 << 63, 6000).astype(np.uint64) * np.uint64(2)
+    sets = []
+    for n in (1, 2, 4, 5, 9, 60, 300, 2000):
+        base = r.choice(pool, n, replace=False)
+        for cut in (0, n // 10, n // 5, n // 2):
+            sets.append(np.unique(np.concatenate([base[: n - cut], r.choice(pool, cut // 3 + 1)])))
+    sets.append(np.unique(np.concatenate([np.arange(400, dtype=np.uint64), sets[-4]])))  # more in a range than a byte holds
+    assert len(minhash_dedup.spread(sets[-1])) == 1
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if minhash_dedup._linked(sets[i], sets[j], 80)}
+    found = {(max(i, j), min(i, j)) for i, near, both in minhash_dedup.Bound(np.array([len(s) for s in sets]), [minhash_dedup.spread(s) for s in sets], 80).pairs() for j, b in zip(near.tolist(), both) if b >= len(np.intersect1d(sets[i], sets[j]))}
+    assert len(want) > 5 and want <= found and len(found) < len(sets) ** 2 / 4
+
+
+def test_small_sets(spark):
+    r = random.Random(4)
+    rows = []
+    for i in range(0, 3000, 2):  # pairs at a similarity of exactly 0.8: 4 and 5 shingles
+        t = [f"w{r.randrange(10**9)}" for _ in range(8)]
+        rows += [(i, " ".join(t)), (i + 1, " ".join(t[:7]))]
+    got = near_duplicates(spark.createDataFrame([(i, t, "en", "x") for i, t in rows], SCHEMA), width=4).collect()
+    assert all(x.component_id == x.doc_id // 2 * 2 for x in got) and len(got) == 3000
+
+
+def test_long_texts_and_a_frequent_passage(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "NODE_SHINGLES", 3000)
+    r = random.Random(5)
+    passage = [f"p{k}" for k in range(120)]
+    rows = [(i, " ".join([*passage, *(f"w{r.randrange(10**6)}" for _ in range(r.choice([4, 20, 60, 3000])))])) for i in range(120)]
+    df = spark.createDataFrame([(i, t, "en", "x") for i, t in rows], SCHEMA)
+    got = {x.doc_id: x.component_id for x in near_duplicates(df, width=4).collect()}
+    assert got == brute(rows, 4)
 
 
 def test_trees_grow_with_depth(spark, monkeypatch):

@@ -201,7 +201,7 @@ def test_packing(spark):
 
     t = Tokenizer.from_file(tokenizer_path())
     r = random.Random(7)
-    words = ["Hello", "wörld's", "x9", "I'LL", "...", "naïve", "ＡＢ", "é", " b", "<|endoftext|>", "İz", "don't", "😀", "\x1cq"]
+    words = ["Hello", "wörld's", "x9", "I'LL", "...", "naïve", "ＡＢ", "é", " b", "<|endoftext|>", "İz", "don't", "😀", "\x1cq", "H\u0331J\u030cx", "T\u0308"]
     rows = [(i, prose(r, words, r.choice([0, 1, 5, 40, 400])), "en", "s") for i in range(300)] + [(900, None, None, None), (901, "", None, None), (902, "long words " * 5000, "en", None), (903, "a" * 30_000, "en", None), (None, "x", None, None), (5, "again", None, None)]
     df = docs_of(spark, rows)
     got = packing.packed_documents(df, tokenizer_path()).collect()
