@@ -18,9 +18,9 @@ compared on the full sets, made anew from their texts.
 
 Chance of missing a link of similarity 0.8: each of the 64 tokens agrees with probability
 0.8, and all trees share them. If a share s agrees, a level keeps the pair together with
-probability 0.75 s + 0.25 (1 - (1 - s)^2). Taken over s, trees are grown until the
-chance is below 1e-5 at the deepest level they reached (12 trees of two levels, 18 of
-three, 26 of four).
+probability 0.75 s + 0.25 (1 - (1 - s)^2). Taken over s, as many trees are grown as keep
+the chance below 1e-5 even for pairs that walk down all `depth` levels: 18 for three. The
+number doesn't depend on the data, so that work grows with the rows.
 """
 
 from __future__ import annotations
@@ -312,14 +312,14 @@ def _compare(cell: pa.Table, width: int, percent: int) -> pa.Table:
     side = np.array([seen[k][1] for k in keys])
     first: dict[int, int] = {}
     top = np.array([first.setdefault(seen[k][0], i) for i, k in enumerate(keys)])  # of members joined so far
-    out: list[tuple[int, int]] = []
+    before = top.copy()
     for i, near, both in Bound(np.array([len(s) for s in sets]), [spread(s) for s in sets], percent).pairs():
         apart = top[near] != top[i]
         for j in near[apart][np.argsort(-both[apart], kind="stable")].tolist():
             if top[i] != top[j] and not (side[i] and side[j]) and _linked(sets[i], sets[j], percent):
-                out.append((i, j))
                 top[top == top[j]] = top[i]
-    return pa.table([pa.array([keys[i][0] for i, _ in out], pa.int64()), pa.array([keys[j][0] for _, j in out], pa.int64())], names=["a", "b"])
+    moved = np.flatnonzero(top != before)  # a star for each class
+    return pa.table([pa.array([keys[i][0] for i in moved], pa.int64()), pa.array([keys[top[i]][0] for i in moved], pa.int64())], names=["a", "b"])
 
 
 def _relabelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -353,15 +353,14 @@ def _compared(docs: DataFrame, sets: DataFrame, cells: DataFrame, width: int, pe
 
 
 def near_duplicates(
-    docs: DataFrame, *, width: int = 5, percent: int = 80, trees: int = 2, small: int = 1024, depth: int = 4, block: int = 1024
+    docs: DataFrame, *, width: int = 5, percent: int = 80, trees: int = 2, small: int = 1024, depth: int = 3, block: int = 512
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     Links documents whose sets have 100 * intersection >= percent * union;
     component_id is the least doc_id reachable (its own without a link), kept marks
-    doc_id = component_id. trees: how many are grown in the first pass; others follow
-    until the chance of missing a pair is at most MISS at the deepest level reached. A
-    pass leaves out nodes whose members the ones before have joined. Null or empty texts
+    doc_id = component_id. trees: how many are grown in a first pass; the others follow in
+    a second one, which leaves out nodes whose members the first has joined. Null or empty texts
     and texts without words have no shingles and no links; rows without doc_id have
     component_id null, kept true and link nothing; rows that repeat a doc_id with
     different texts link what each text links. Very long texts count whole: a task
@@ -377,11 +376,10 @@ def near_duplicates(
     again = all_rows.join(ties, "doc_id", "left_semi").select("doc_id", "lo", "hi").join(sets.select("lo", "hi", "rid"), ["lo", "hi"])
     again = again.select(F.col("doc_id").alias("a"), F.col("rid").alias("b"))
     labels = None
-    grown: list[int] = []  # levels of each tree
+    enough = next(k for k in range(trees, 10_000) if _miss([depth] * k, percent) <= MISS)
     large = (F.col("size") > small) | (F.col("length") > NODE_SHINGLES)
-    n = trees
-    while n:
-        names = [F.lit(f"tree {len(grown) + i}") for i in range(n)]
+    for first, end in ((0, trees), (trees, enough)):
+        names = [F.lit(f"tree {i}") for i in range(first, end)]
         at = _children(sets.select("rid", "n", F.explode(F.array(*[F.xxhash64(x) for x in names])).alias("node"), "sig"), 0)
         leaves, used = [], []
         for level in range(1, depth + 1):
@@ -396,7 +394,6 @@ def near_duplicates(
             if last or open_.where(large).isEmpty():
                 break
             at = _children(open_.where(large).select("rid", "n", "node").join(sets.select("rid", "sig"), "rid"), level)
-        grown += [level] * n
         leaf = leaves[0]
         for x in leaves[1:]:
             leaf = leaf.unionByName(x)
@@ -423,7 +420,6 @@ def near_duplicates(
             hosts = wide.join(parts, "node").withColumn("part", F.explode("parts")).withColumn("other", F.pmod(F.xxhash64("rid", F.lit(3)), F.col("blocks")).cast("int"))
             hosts = hosts.withColumn("block", cell).withColumn("side", F.lit(1))
             labels = _merged(labels, _compared(docs, sets, meet.select(keep).unionByName(hosts.select(keep)), width, percent))
-        n = next(k for k in range(10_000) if _miss(grown + [max(grown)] * k, percent) <= MISS)
     named = _relabelled(sets.select("lo", "hi", "rid"), labels).select("lo", "hi", "label")
     out = all_rows.drop("sig", "spread").join(named, ["lo", "hi"], "left").withColumn("component_id", F.coalesce("label", "doc_id"))
     lone = F.col("doc_id").isNull()

@@ -72,16 +72,17 @@ def _sigmoid(y: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[np.ndarray], labels: np.ndarray, *, factors: int = 4, rounds: int = 40, least: int = 3, chi2: float = 11.0, rate: float = 0.2, ridge: float = 1e-4, seed: int = 5) -> Machine:
-    """A machine for the buckets of texts and labels 0 or 1, by AdaGrad on small batches.
+    """A machine for texts (the distinct buckets of each) and labels 0 or 1, by AdaGrad on
+    small batches. Only buckets that pass the test are gathered in one place.
 
     With one class only the score is constant; without rows it is near 0."""
     labels = np.asarray(labels, float)
     n, pos = len(labels), labels.sum()
     bias = np.log((pos + 0.05) / (n - pos + 1.0))
-    rows = np.repeat(np.arange(n), [len(t) for t in texts]) if n else np.empty(0, int)
-    cols = np.concatenate(texts) if n else np.empty(0, int)
-    with_ = np.bincount(cols, minlength=BUCKETS).astype(float)
-    a = np.bincount(cols, labels[rows], BUCKETS)
+    with_, a = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for t, label in zip(texts, labels, strict=True):
+        with_[t] += 1
+        a[t] += label
     b, c, d = with_ - a, pos - a, n - pos - (with_ - a)
     gap = np.maximum(0, np.abs(a * d - b * c) - n / 2)
     stat = n * gap**2 / np.maximum(1e-9, (a + b) * (c + d) * (a + c) * (b + d))
@@ -92,9 +93,9 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, *, factors: int = 4, rounds
         return m
     place = np.full(BUCKETS, -1)
     place[kept] = np.arange(len(kept))
-    use = place[cols] >= 0
-    rows, cols = rows[use], place[cols[use]]
-    start = np.searchsorted(rows, np.arange(n + 1))
+    found = [x[x >= 0] for x in (place[t] for t in texts)]
+    start = np.cumsum([0, *map(len, found)])
+    cols = np.concatenate(found)
     gw, gv, gb = np.full(len(kept), 1e-6), np.full((len(kept), factors), 1e-6), 1e-6
     for _ in range(rounds):
         order = rng.permutation(n)
@@ -153,7 +154,11 @@ def trained(docs: DataFrame, labels: DataFrame, *, folds: int = 5, fit_rows: int
     # at most about fit_rows rows of 12 bytes
     rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "d")
     got = rows.select("toxic", "text").mapInArrow(lambda it: released(_features(it)), "toxic int, buckets array<int>").toArrow()
-    return fit([np.asarray(x.values, dtype=np.int64) for x in got.column("buckets")], got.column("toxic").to_numpy(), **how)
+    lists = (c.slice(i, 1).flatten().to_numpy() for c in got.column("buckets").chunks for i in range(len(c)))
+    machine = fit(list(lists), got.column("toxic").to_numpy(), **how)
+    del got, lists
+    pa.default_memory_pool().release_unused()
+    return machine
 
 
 def scored(docs: DataFrame, machine: Machine, folds: int = 5) -> DataFrame:
