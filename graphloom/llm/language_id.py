@@ -25,8 +25,8 @@ SYMBOLS = 64
 DIMENSIONS = 512
 FIT_ROWS = 3_000
 """Documents of each language (about so many at most) that its prototype bundles."""
-LANGS_SENT = 100_000
-"""Most distinct languages (some 30 bytes each) whose counts are sent to every executor."""
+MOST_LANGS = 10_000
+"""Most languages of a model (40 MB of prototypes)."""
 UNKNOWN = "und"
 _CHARS = 600_000
 _COUNTS = 2_000_000
@@ -66,7 +66,8 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 def profiles(texts: list[str | None], dimensions: int = DIMENSIONS) -> np.ndarray:
-    """The bundled vector of each text, divided by its number of trigrams."""
+    """The bundled vector of each text, divided by its number of trigrams. Very long texts
+    count whole; only their distinct trigrams (at most SYMBOLS ** 3) are held as counts."""
     return _bundled([trigrams(t) for t in texts], dimensions)
 
 
@@ -102,12 +103,14 @@ class Prototypes:
     langs: list[str]
     vectors: np.ndarray
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and cosine (0 if negative) of each text."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, cosine (0 if negative) and number of trigrams of each text."""
         names: list[str] = []
-        score = np.zeros(len(texts))
+        score, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         for part in _blocks(texts):
-            p = profiles(texts[part], self.vectors.shape[1] if self.langs else DIMENSIONS).astype(float)
+            grams = [trigrams(t) for t in texts[part]]
+            size[part] = [len(g) for g in grams]
+            p = _bundled(grams, self.vectors.shape[1] if self.langs else DIMENSIONS).astype(float)
             norm = np.sqrt((p * p).sum(axis=1))
             if not self.langs:
                 names += [UNKNOWN] * len(p)
@@ -116,7 +119,7 @@ class Prototypes:
             best = cos.argmax(axis=1)
             names += [self.langs[k] if x > 0 else UNKNOWN for k, x in zip(best, norm, strict=True)]
             score[part] = np.where(norm > 0, np.clip(cos[np.arange(len(best)), best], 0, 1), 0)
-        return names, score
+        return names, score, size
 
 
 def _bundles(batches: Iterator[pa.RecordBatch], dimensions: int) -> Iterator[pa.RecordBatch]:
@@ -138,13 +141,15 @@ def trained(docs: DataFrame, *, folds: int = 4, held: int = 2, fit_rows: int = F
     (crc32 of the id modulo folds is held). Of a language with more than fit_rows
     documents, about so many are bundled, drawn by a hash of the id. Rows without lang or
     doc_id teach nothing; languages whose texts have no letter are not learned. A
-    language brings `dimensions` numbers to the driver, whatever the number of rows."""
+    language brings `dimensions` numbers to the driver, whatever the number of rows, and
+    every worker holds all prototypes: more than MOST_LANGS languages are an error."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     d = d.where("lang is not null and doc_id is not null and text is not null").where(crc_mod(F.col("doc_id"), folds) != held)
     n = written(d.groupBy("lang").agg(F.count("*").alias("n")), "langs")
-    few = n.limit(LANGS_SENT + 1).count() <= LANGS_SENT  # else they meet the documents by a join
+    if n.limit(MOST_LANGS + 1).count() > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     draw = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30))
-    part = d.join(F.broadcast(n) if few else n, "lang").where(draw * F.col("n") < F.lit(fit_rows * (1 << 30)))
+    part = d.join(F.broadcast(n), "lang").where(draw * F.col("n") < F.lit(fit_rows * (1 << 30)))
     sums = part.select("lang", "text").mapInArrow(lambda it: released(_bundles(it, dimensions)), "lang string, i int, v double")
     got = sums.groupBy("lang", "i").agg(F.sum("v").alias("v")).orderBy("lang", "i").toArrow()
     v = got.column("v").to_numpy().reshape(-1, dimensions)
@@ -161,7 +166,7 @@ def predicted(docs: DataFrame, prototypes: Prototypes, *, folds: int = 4, held:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, score = prototypes.predict(b.column("text").to_pylist())
+            names, score, _ = prototypes.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -169,15 +174,19 @@ def predicted(docs: DataFrame, prototypes: Prototypes, *, folds: int = 4, held:
     return out.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def recognised(docs: DataFrame, prototypes: Prototypes, least: float = 0.02) -> DataFrame:
-    """The rows of docs, with all their columns, whose text is in one of the languages:
-    it has letters and a cosine of at least `least` to a prototype."""
+def recognised(docs: DataFrame, prototypes: Prototypes, *, noise: float = 3.0, evidence: int = 50) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is in one of the languages.
+
+    Cosines of unrelated bundles scatter by 1 / sqrt(dimensions): a text is in no learned
+    language if it has no letter, or at least `evidence` trigrams and no cosine of `noise`
+    times that. Shorter texts are too short to tell and stay. Null texts go."""
     rows = docs.withColumn("text", F.col("text").cast("string"))
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    least = noise / np.sqrt(prototypes.vectors.shape[1]) if prototypes.langs else 1.0
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, score = prototypes.predict(b.column("text").to_pylist())
-            yield b.filter(pa.array((np.array(lang, object) != UNKNOWN) & (score >= least)))
+            lang, score, size = prototypes.predict(b.column("text").to_pylist())
+            yield b.filter(pa.array((np.array(lang, object) != UNKNOWN) & ((score >= least) | (size < evidence))))
 
     return rows.mapInArrow(lambda it: released(keep(it)), names)

@@ -37,7 +37,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     shared by weight among the others, until none is above. With capacities c and weights
     w, exactly the sources of least c / w stop: those whose c / w is at most what a unit
     of weight would get if only the sources before them had stopped. The windows here
-    hold one row per source.
+    hold one row of some 50 bytes per source in one task, which spills beyond its memory:
+    meant for sources such as crawls or collections, not for one per page.
     """
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
@@ -161,16 +162,25 @@ def taken_counts(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: fl
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix: every row of docs, with all its columns, as often as it is taken. Rows
-    that repeat (doc_id, source, size) get the copies of their group in turn."""
-    keys = {"doc_id": F.col("doc_id").cast("long"), "source": F.col("source").cast("string")}
-    counts = taken_counts(docs, **how).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("__high"), F.min("copies").alias("__low"), F.sum("copies").alias("__all"), F.count("*").alias("__n"))
-    d = docs.withColumn("__size", word_count(F.col("text").cast("string")))
-    on = keys["doc_id"].eqNullSafe(F.col("__d")) & keys["source"].eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z"))
-    both = d.join(counts.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), "__high", "__low", "__all", "__n"), on)
-    once = both.where("__n = 1").withColumn("__copies", F.col("__high"))
-    order = Window.partitionBy("__d", "__s", "__z").orderBy(F.xxhash64(*docs.columns))
-    many = both.where("__n > 1").withColumn("__i", F.row_number().over(order))
-    many = many.withColumn("__copies", F.when(F.col("__i") <= F.col("__all") - F.col("__low") * F.col("__n"), F.col("__low") + 1).otherwise(F.col("__low"))).drop("__i")
-    out = once.unionByName(many).where("__copies > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return out.select(*docs.columns)
+    """The mix: every row of docs, with all its columns, as often as it is taken.
+
+    Rows that share (doc_id, source, size) get the copies of their group in turn; equal
+    ones among them are counted first, so that any number of repeats makes no hot key.
+    Columns may have any names, those of taken_counts among them, but no map types.
+    """
+    counts = taken_counts(docs, **how).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("all"), F.min("copies").alias("low"), F.count("*").alias("n"))
+    counts = counts.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "all", "low", "n")
+    row = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    on = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
+    both = rows.join(counts.where("all > 0"), on).select("row", "d", "s", "z", "all", "low", "n")
+    once = both.where("n = 1").select("row", F.explode(F.sequence(F.lit(1), F.col("all").cast("int"))).alias("k")).select("row")
+    kinds = both.where("n > 1").groupBy("d", "s", "z", "all", "low", "n", "row").agg(F.count("*").alias("m"))
+    before = Window.partitionBy("d", "s", "z").orderBy(F.xxhash64("row"), "row").rowsBetween(Window.unboundedPreceding, -1)
+    extra = F.col("all") - F.col("low") * F.col("n")
+    kinds = kinds.withColumn("at", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    kinds = kinds.withColumn("copies", F.col("low") * F.col("m") + F.greatest(F.lit(0), F.least(F.col("m"), extra - F.col("at"))))
+    chunk = 4096
+    parts = kinds.where("copies > 0").select("row", "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / chunk))).alias("k"))
+    many = parts.repartition("copies", "k").select("row", F.explode(F.sequence(F.col("k") * chunk, F.least("copies", (F.col("k") + 1) * chunk) - 1)).alias("i"))
+    return once.unionByName(many.select("row")).select("row.*")

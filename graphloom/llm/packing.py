@@ -3,7 +3,10 @@
 Each partition packs its items best-fit, longest first, and emits the bins that are
 nearly full; the other bins go on as items of the next round, in fewer partitions, and so
 on up a tree. A round's partitions hold at most `rows` items; the rounds end when one
-partition has packed all that remained, or when a round no longer joins bins.
+partition has packed all that remained, or when a round joins less than 3 % of the bins.
+Bins are dealt anew in every round, so that those of different partitions meet. Best fit
+leaves at most one bin of a partition half empty; so whichever round is the last, there
+are fewer bins than twice the tokens by the capacity, and one more for each partition.
 """
 
 from __future__ import annotations

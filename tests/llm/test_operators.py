@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import fingerprints, language_id, license_scan, mixing, packing, rabitq, toxicity, url_templates, warc
 from graphloom.llm.queries import tokenizer_path
@@ -145,8 +146,15 @@ def test_mixing(spark):
     again = mixing.taken_counts(df.repartition(7)).collect()
     key = lambda rows: collections.Counter((x.doc_id, x.source, x.copies) for x in rows)
     assert key(again) == key(got)
+    odd = df.withColumn("__size", F.lit(7)).withColumn("a.b", F.lit(8)).withColumn("copies", F.lit(9)).withColumn("row", F.lit(10))
+    assert mixing.mixed(odd).columns == odd.columns and [tuple(r) for r in mixing.mixed(odd).select("__size", "`a.b`", "copies", "row").distinct().collect()] == [(7, 8, 9, 10)]
     mixed = mixing.mixed(df)
     assert mixed.columns == df.columns
+    per = collections.Counter(x.doc_id for x in mixed.collect())
+    want = collections.Counter()
+    for x in got:
+        want[x.doc_id] += x.copies
+    assert per == +want
     assert collections.Counter(x.source for x in mixed.collect()) == collections.Counter(s for x in got for s in [x.source] * x.copies)
     assert mixing.taken_counts(df.limit(0)).count() == 0 and mixing.mixed(df.limit(0)).count() == 0
 
@@ -192,6 +200,8 @@ def test_language(spark):
     assert got[None].lang_pred == "aa" and all(0 <= x.score <= 1 for x in got.values())
     kept = language_id.recognised(df, p)
     assert kept.columns == df.columns and kept.count() == 401
+    odd = [(1, prose(r, ["αβγδ", "εζηθι", "κλμνξ", "οπρσ"], 60), None, None), (2, prose(r, ["the", "tion", "ering"], 60), None, None), (3, "αβ", None, None)]
+    assert sorted(x.doc_id for x in language_id.recognised(docs_of(spark, odd), p).collect()) == [2, 3]
     none = language_id.trained(df.limit(0))
     assert {x.lang_pred for x in language_id.predicted(df, none).collect()} == {"und"} and language_id.recognised(df.limit(0), p).count() == 0
 
