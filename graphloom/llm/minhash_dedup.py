@@ -385,9 +385,12 @@ def near_duplicates(
         for level in range(1, depth + 1):
             slim = written(at.select("rid", "n", "node"), "nodes")
             named = _relabelled(slim, labels)
+            # as a table of its own, so that Spark sees when it is small enough to be broadcast
             nodes = named.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y"), F.sum("n").alias("length")).where("x <> y").select("node", "size", "length")
+            nodes = written(nodes, "sizes")
             open_ = written(named.join(nodes, "node"), "open")
             discard(slim)
+            discard(nodes)
             used.append(open_)
             last = level == depth
             leaves.append(open_ if last else open_.where(~large))
@@ -429,6 +432,9 @@ def near_duplicates(
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """The documents that near_duplicates keeps, with all their columns: one of each
     class (of rows that repeat a kept doc_id, one)."""
-    kept = near_duplicates(docs, **how).where("kept and doc_id is not null").select("doc_id").distinct()
-    first = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return first.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    kept = near_duplicates(docs, **how).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = written(kept.select(F.col("doc_id").alias("d"), "n"), "kept")
+    found = docs["doc_id"].cast("long") == kept["d"]
+    once = docs.join(kept.where("n = 1"), found, "left_semi")
+    again = docs.join(kept.where("n > 1"), found, "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(again).unionByName(docs.where("doc_id is null"))

@@ -371,3 +371,44 @@ def test_url_templates(spark):
     assert got["http://h.com/spam/250"].verdict == "block" and got["http://h.com/spam/250"].rule is None
     assert got["http://h.com/junk/250"].verdict == "block" and got["http://h.com/news/250"].verdict == "allow"
     assert got["http://h.com/u/nameaa/x"].template == "/u/*/x"
+
+
+def test_url_purity_is_shrunk(spark):
+    """The tree by plain loops: templates of a host, a domain, a top label, everywhere."""
+    r = random.Random(12)
+    hosts = ["a.x.com", "b.x.com", "c.y.com", "d.y.org", "e.z.net", "x.com", "", "lone"]
+    rows = [(i, f"http://{r.choice(hosts)}/{r.choice(['en', 'de', 'es'])}/{r.randrange(100, 999)}") for i in range(1500)]
+    rows += [(2000, "http://new.org/en/5"), (2001, "http://new.org/other/5"), (2002, None), (2003, "http://b.x.com/" + "s/" * 3000 + "5"), (2003, "http://b.x.com/" + "s/" * 3000 + "5")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    rules = (url_templates.Rule("block", "com", "/en/"), url_templates.Rule("allow", "x.com", "/de/"), url_templates.Rule("block", "y.org", "/es/"), url_templates.Rule("allow", "net", "/es/"))
+    got = url_templates.judged(df, rules, z=0.0).collect()  # z 0: only branches of equal shares merge
+    urls = dict(rows)
+    cells = collections.defaultdict(lambda: [0, 0])
+    places = lambda h: ("", h.split(".")[-1] if h else "", ".".join(h.split(".")[-2:]), h)
+    for x in got:
+        if x.rule:
+            for k, place in enumerate(places(x.host)):
+                cells[k, place, x.template][0] += (urls[x.page_id] or "").count("/en/") and x.verdict == "block" or x.verdict == "block"
+                cells[k, place, x.template][1] += 1
+    bad, known = (sum(v[c] for (k, *_), v in cells.items() if k == 0) for c in (0, 1))
+    for x in got:
+        p, level = (bad + 1) / (known + 2), "none"
+        for k, (name, place) in enumerate(zip(("everywhere", "top", "domain", "host"), places(x.host), strict=True)):
+            b, n = cells.get((k, place, x.template), (0, 0))
+            p, level = (b + 2 * p) / (n + 2), name if n else level
+        assert x.purity == pytest.approx(p) and x.decided_by == ("rule" if x.rule else level), x
+        assert x.rule or x.verdict == ("block" if p >= 0.8 else "allow")
+    assert {x.verdict for x in got if not x.rule} == {"block", "allow"} and sum(x.page_id == 2003 for x in got) == 2
+    assert next(x for x in got if x.page_id == 2000).decided_by in ("everywhere", "top")
+
+
+def test_url_branches_merge_upwards(spark):
+    rows, rules = [], []
+    for a in ("p", "q"):
+        for b in ("r", "s"):
+            rules.append(url_templates.Rule("block", "h.com", f"/{a}/{b}/1"))
+            rows += [f"http://h.com/{a}/{b}/{i}" for i in range(100, 130)]
+    rules.append(url_templates.Rule("allow", "h.com", "/keep/r/1"))
+    rows += [f"http://h.com/keep/r/{i}" for i in range(100, 130)]
+    got = url_templates.judged(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), tuple(rules)).collect()
+    assert {x.template for x in got} == {"/*/*/*", "/keep/r/*"}
