@@ -16,6 +16,9 @@ Two sets share no more in a range than the smaller count there, which bounds the
 similarity from above. Only members with a partner that this bound lets through are
 compared on the full sets, made anew from their texts.
 
+Nodes and sets grow with the documents: their joins ask for a shuffle at every size
+(hint "merge"), so that the plan on a small table is the plan on a large one.
+
 Chance of missing a link of similarity 0.8: each of the 64 tokens agrees with probability
 0.8, and all trees share them. If a share s agrees, a level keeps the pair together with
 probability 0.75 s + 0.25 (1 - (1 - s)^2). Taken over s, as many trees are grown as keep
@@ -342,7 +345,7 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def _compared(docs: DataFrame, sets: DataFrame, cells: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) of members apart, for cells (rid, label, node, block, side)."""
-    sketched = cells.join(sets.select("rid", "n", "spread"), "rid").select(*cells.columns, "n", "spread")
+    sketched = cells.join(sets.select("rid", "n", "spread").hint("merge"), "rid").select(*cells.columns, "n", "spread")
     close = sketched.groupBy("node", "block").applyInArrow(lambda cell: _close(cell, percent), "rid long, label long, node long, block int, side int")
     packed = written(close.groupBy("rid", "label").agg(F.collect_list(F.struct("node", "block", "side")).alias("at")), "cells")
     # Spark broadcasts packed if its table is small (spark.sql.autoBroadcastJoinThreshold), else both sides meet by a shuffle
@@ -385,18 +388,15 @@ def near_duplicates(
         for level in range(1, depth + 1):
             slim = written(at.select("rid", "n", "node"), "nodes")
             named = _relabelled(slim, labels)
-            # as a table of its own, so that Spark sees when it is small enough to be broadcast
             nodes = named.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y"), F.sum("n").alias("length")).where("x <> y").select("node", "size", "length")
-            nodes = written(nodes, "sizes")
-            open_ = written(named.join(nodes, "node"), "open")
+            open_ = written(named.join(nodes.hint("merge"), "node"), "open")
             discard(slim)
-            discard(nodes)
             used.append(open_)
             last = level == depth
             leaves.append(open_ if last else open_.where(~large))
             if last or open_.where(large).isEmpty():
                 break
-            at = _children(open_.where(large).select("rid", "n", "node").join(sets.select("rid", "sig"), "rid"), level)
+            at = _children(open_.where(large).select("rid", "n", "node").join(sets.select("rid", "sig").hint("merge"), "rid"), level)
         leaf = leaves[0]
         for x in leaves[1:]:
             leaf = leaf.unionByName(x)
