@@ -10,12 +10,12 @@ PARAMETER = r"^(\{[^}]*\}|:[A-Za-z_]\w*|\*)$"
 
 
 def _path(url: Column, cut: str, scheme: str) -> Column:
-    given = F.trim(F.coalesce(url, F.lit("")))
+    given = F.regexp_replace(F.coalesce(url, F.lit("")), r"^\s+|\s+$", "")
     bare = F.regexp_replace(given, scheme, "")
     bare = F.regexp_replace(bare, cut, "")
     bare = F.regexp_replace(F.concat(F.lit("/"), bare), "/{2,}", "/")
     bare = F.regexp_replace(bare, "/+$", "")
-    return F.when(given == "", "").when(bare == "", "/").otherwise(bare)
+    return F.when(F.coalesce(url, F.lit("")) == "", "").when(bare == "", "/").otherwise(bare)
 
 
 def _segments(path: Column, wild: str) -> Column:
@@ -25,7 +25,8 @@ def _segments(path: Column, wild: str) -> Column:
 
 def normalize(url: Column) -> Column:
     """The linker's form: without scheme, host and query, one slash between segments, no
-    trailing slash, parameters as {*}, lower case. Null and empty become empty. Idempotent."""
+    trailing slash, parameters as {*}, lower case. Null and empty become empty, white space
+    alone becomes /. Idempotent."""
     return _segments(_path(url, r"(?s)\?.*$", r"^[a-z]+://[^/]+"), PARAMETER)
 
 

@@ -58,10 +58,9 @@ def connected_only(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def architecture(nodes: DataFrame, edges: DataFrame, labels: tuple[str, ...] = ARCHITECTURE_LABELS, types: tuple[str, ...] | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes of some labels, the edges among them, and calls through their methods as collapsed edges."""
+    """Nodes of some labels and the edges among them (collapsed false)."""
     n = capped(nodes.where(F.col("label").isin(*labels)), limit)
-    e = induced(edges if types is None else edges.where(F.col("type").isin(*types)), n).select("src", "type", "dst", F.lit(False).alias("collapsed"))
-    return n, e.unionByName(collapse_hops(n, edges, e))
+    return n, induced(edges if types is None else edges.where(F.col("type").isin(*types)), n).select("src", "type", "dst", F.lit(False).alias("collapsed"))
 
 
 def collapse_hops(present: DataFrame, edges: DataFrame, existing: DataFrame, owns: str = "DECLARES", calls: str = "CALLS", makes: str = "MAKES_CALL") -> DataFrame:

@@ -586,7 +586,7 @@ class Engine:
             if f == "percentilecont":
                 return F.percentile(c, go(args[1]))
             if f in ("sum", "avg") and distinct:
-                return F.sum_distinct(c) if f == "sum" else F.avg(F.array_distinct(c))
+                return F.sum_distinct(c) if f == "sum" else F.try_divide(F.sum_distinct(c).cast("double"), F.count_distinct(c))
             return {"min": F.min, "max": F.max, "sum": lambda x: F.coalesce(F.sum(x), F.lit(0)), "avg": F.avg, "stdev": F.stddev_samp}[f](c)
         a = [go(x) for x in args]
         if f in ("size", "length"):

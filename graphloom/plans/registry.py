@@ -193,7 +193,7 @@ def _link_tables(spark, sf):
     calls = pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.when(F.col("page_id") % 7 == 0, "POST").otherwise("GET").alias("httpMethod"), F.regexp_replace("url", "#.*$", "").alias("path"))
     calls = calls.unionByName(spark.createDataFrame(_CALLS, "id string, httpMethod string, path string"))
     langs = table(spark, sf, "documents").select("lang").where("lang is not null").distinct().select(F.concat(F.lit("l"), "lang").alias("id"), F.lit("GET").alias("httpMethod"), F.concat(F.lit("/"), "lang", F.lit("/{n}")).alias("path"))
-    some = pages.where("page_id % 10 = 0").select(F.concat(F.lit("q"), F.col("page_id").cast("string")).alias("id"), F.lit("GET").alias("httpMethod"), F.regexp_replace("url", "#.*$", "").alias("path"))
+    some = pages.select(F.concat(F.lit("q"), F.col("page_id").cast("string")).alias("id"), F.lit("GET").alias("httpMethod"), F.regexp_replace("url", "#.*$", "").alias("path"))
     return calls, langs.unionByName(some).unionByName(spark.createDataFrame(_ENDPOINTS, "id string, httpMethod string, path string"))
 
 
@@ -205,7 +205,7 @@ _LINK_CTE = f"""WITH calls0 AS (
   SELECT 'p' || page_id AS id, {_VERBS} AS verb, regexp_replace(url, '#.*$', '') AS path FROM pages UNION ALL SELECT * FROM (VALUES {_values(_CALLS)})),
 ends0 AS (
   SELECT 'l' || lang AS id, 'GET' AS verb, '/' || lang || '/{{n}}' AS path FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) UNION ALL
-  SELECT 'q' || page_id, 'GET', regexp_replace(url, '#.*$', '') FROM pages WHERE page_id % 10 = 0 UNION ALL SELECT * FROM (VALUES {_values(_ENDPOINTS)})),
+  SELECT 'q' || page_id, 'GET', regexp_replace(url, '#.*$', '') FROM pages UNION ALL SELECT * FROM (VALUES {_values(_ENDPOINTS)})),
 calls AS (SELECT id AS call, upper(verb) AS verb, p AS path, string_split(p, '/')[2:] AS segs FROM (SELECT *, CASE WHEN trim(path) = '' THEN '' ELSE {_sql_normalize('path')} END AS p FROM calls0) WHERE p NOT IN ('', '/')),
 ends AS (SELECT id AS endpoint, upper(verb) AS verb, p AS path, string_split(p, '/')[2:] AS segs FROM (SELECT *, {_sql_normalize('path')} AS p FROM ends0)),
 exact AS (SELECT call, min(endpoint) AS endpoint, 1e0 AS confidence, 'exact' AS tier FROM calls JOIN ends USING (verb, path) GROUP BY call),
@@ -299,17 +299,16 @@ def longest_prefix(spark, sf):
     return derive.longest_prefix(names, g)
 
 
-@query("""SELECT DISTINCT 'part:' || p_partkey AS src, 'supplier:' || s_suppkey AS dst FROM part JOIN supplier ON contains(lower(s_name), lower(p_brand)) OR s_name = p_name OR contains(s_suppkey::VARCHAR, (p_size + 40)::VARCHAR)
-  WHERE p_partkey % 40 = 0""")
+@query("""SELECT DISTINCT 'part:' || p_partkey AS src, 'supplier:' || s_suppkey AS dst FROM part JOIN supplier ON contains(lower(s_name), lower(p_brand)) OR s_name = p_name OR contains(s_suppkey::VARCHAR, (p_size + 40)::VARCHAR)""")
 def or_join(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey % 40 = 0").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("vendor"), F.col("p_name").alias("host"), (F.col("p_size") + 40).cast("string").alias("port"))
+    p = table(spark, sf, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("vendor"), F.col("p_name").alias("host"), (F.col("p_size") + 40).cast("string").alias("port"))
     s = table(spark, sf, "supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), F.col("s_name").alias("image"), F.array(F.col("s_suppkey").cast("string")).alias("ports"))
     return derive.provided_by(p, s)
 
 
-@query("SELECT c_custkey AS src, r_regionkey AS dst FROM customer CROSS JOIN region WHERE c_custkey <= 50 AND r_name IS NOT NULL")
+@query("SELECT c_custkey AS src, r_regionkey AS dst FROM customer CROSS JOIN region WHERE r_name IS NOT NULL")
 def hosts_cross(spark, sf):
-    ds = table(spark, sf, "customer").where("c_custkey <= 50").select(F.lit("p").alias("project"), F.col("c_custkey").alias("id"))
+    ds = table(spark, sf, "customer").select(F.lit("p").alias("project"), F.col("c_custkey").alias("id"))
     t = table(spark, sf, "region").where("r_name is not null").select(F.lit("p").alias("project"), F.col("r_regionkey").alias("id"), F.lit("Table").alias("label"))
     return derive.hosts(ds, t)
 
@@ -350,10 +349,10 @@ def search_fallback(spark, sf):
     return search.search_fallback(n, "AR")
 
 
-@query("SELECT doc_id AS id, left(array_to_string(string_split(text, chr(10))[2:4], chr(10)), 200) AS source FROM documents WHERE doc_id % 3 = 0")
+@query("SELECT doc_id AS id, left(array_to_string(string_split(text, chr(10))[2:4], chr(10)), 20000) AS source FROM documents")
 def source_slice(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("filePath"), "text")
-    return docs_source.source_slice(d.select("filePath", "text"), d.select("id", "filePath", F.lit(3).alias("startLine"), F.lit(3).alias("endLine")), context=1, most=200)
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("filePath"), "text")
+    return docs_source.source_slice(d.select("filePath", "text"), d.select("id", "filePath", F.lit(3).alias("startLine"), F.lit(3).alias("endLine")), context=1)
 
 
 @query("SELECT page_id, h AS href FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS h FROM pages)")
@@ -368,10 +367,9 @@ def event_props(spark, sf):
 
 # Components, communities, sequences, layout
 
-@query(f"""WITH RECURSIVE {CTE}, e AS (SELECT src AS a, dst AS b FROM edges WHERE type = 'PLACED_BY' OR (type = 'SUPPLIED_BY' AND src LIKE '%7')), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-walk(id, r) AS (SELECT a, a FROM both_ways UNION SELECT w.id, x.b FROM walk w JOIN both_ways x ON x.a = w.r) SELECT id, min(r) AS component FROM walk GROUP BY id""")
+@query()
 def components(spark, sf):
-    e = testgraph.edges(spark, sf).where("type = 'PLACED_BY' or (type = 'SUPPLIED_BY' and src like '%7')")
+    e = testgraph.edges(spark, sf)
     return community.components(e.select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
@@ -385,7 +383,7 @@ def communities(spark, sf):
 def sequence_preorder(spark, sf):
     nodes, edges = _graph(spark, sf)
     calls = edges.withColumn("props", F.create_map(F.lit("line"), F.substring_index("dst", ":", -1))).withColumn("type", F.lit("CALLS"))
-    roots = nodes.where("label = 'order' and id like '%77'").select(F.col("id").alias("root"))
+    roots = nodes.where("label = 'order'").select(F.col("id").alias("root"))
     return sequence.sequence(nodes, calls, roots)
 
 

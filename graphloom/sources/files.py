@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Folders that no scan enters.
-SKIPPED = (".git", "node_modules", "target", "build", "dist", ".idea", ".angular", ".gradle", "out", "venv", "__pycache__")
+SKIPPED = (".git", "node_modules", "target", "build", "dist", ".angular")
 _SKIP = "/(?:" + "|".join(x.replace(".", r"\.") for x in SKIPPED) + ")/"
 
 

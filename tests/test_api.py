@@ -1,3 +1,4 @@
+import pytest
 from test_graph import smoke
 
 from graphloom.api import Graph
@@ -22,6 +23,35 @@ def test_surface(spark, tmp_path):
     assert g.delete_project("__smoke__")[1].first().deleted == 14
 
 
+def test_projects_keep_apart(spark, tmp_path):
+    from graphloom.plans.ontology import EDGES, NODES
+
+    node = lambda p, i: {"project": p, "id": i, "label": "Service", "name": i, "stack": "java"}
+    nodes = spark.createDataFrame([node("p1", "a"), node("p1", "x"), node("p2", "a"), node("p2", "y"), node("p 3/ä", "only")], NODES)
+    edge = lambda p, s, d: {"project": p, "src": s, "type": "CALLS", "dst": d}
+    edges = spark.createDataFrame([edge("p1", "x", "a"), edge("p2", "y", "a")], EDGES)
+    g = Graph(nodes, edges)
+    assert sorted(r.id for r in g.impact("a", project="p1")[0].collect()) == ["a", "x"]
+    with pytest.raises(ValueError):
+        g.impact("a")
+    assert [r.id for r in g.impact("only")[0].collect()] == ["only"]
+    assert g.query("MATCH (n) RETURN count(n) AS n, avg(DISTINCT 2) AS m", project="p2").first() == (2, 2.0)
+    path = str(tmp_path / "g")
+    g.save(path)
+    Graph.load(spark, path).delete_project("p2")[0].save(path)
+    back = Graph.load(spark, path)
+    assert sorted(r.id for r in back.nodes.collect()) == ["a", "only", "x"] and back.edges.count() == 1
+    Graph(back.nodes, back.edges.limit(0)).save(path)
+    assert Graph.load(spark, path).edges.count() == 0
+
+
+def test_imports(spark):
+    from graphloom.operators import derive
+
+    f = spark.createDataFrame([("A.java", "import com.x.A;\nimport com.y.*;\nimport foo\n  import static org.z.B.c ;\n")], "filePath string, text string")
+    assert sorted(r.name for r in derive.imports(f).collect()) == ["com.x.A", "org.z.B.c"]
+
+
 def test_stream(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()
