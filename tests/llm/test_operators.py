@@ -412,3 +412,28 @@ def test_url_branches_merge_upwards(spark):
     rows += [f"http://h.com/keep/r/{i}" for i in range(100, 130)]
     got = url_templates.judged(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), tuple(rules)).collect()
     assert {x.template for x in got} == {"/*/*/*", "/keep/r/*"}
+
+
+def test_machine_sums_all_pairs():
+    r = np.random.default_rng(13)
+    m = toxicity.Machine(np.arange(30, dtype=np.uint32), -0.7, r.normal(size=30), r.normal(size=(30, 4)))
+    texts = [sorted(r.choice(30, n, replace=False).tolist()) for n in (0, 1, 2, 9, 30)]
+    got, _ = m.raw(np.repeat(np.arange(5), [len(t) for t in texts]), np.array([c for t in texts for c in t], int), 5)
+    for y, t in zip(got, texts, strict=True):
+        want = -0.7 + sum(m.weight[i] for i in t) + sum(float(m.vector[i] @ m.vector[j]) for i in t for j in t if i < j)
+        assert y == pytest.approx(want)
+
+
+def test_profiles_bind_and_bundle_letters():
+    x, y, z = language_id._letters(64)
+    texts = ["Straße im Wald", "a", "", None, "12 - ab, ab!", "漢字 kana"]
+    symbols = language_id._symbols()
+    for text, got in zip(texts, language_id.profiles(texts, 64), strict=True):
+        marks = "".join(c if symbols[ord(c)] else " " for c in (text or "").lower())
+        words = [w for w in marks.split(" ") if w]
+        s = [0] + [k for w in words for k in [*(int(symbols[ord(c)]) for c in w), 0]]
+        sums = np.zeros(64)
+        for i in range(len(s) - 2):
+            for d in range(64):
+                sums[d] += int(x[s[i]][d]) * int(y[s[i + 1]][d]) * int(z[s[i + 2]][d])
+        assert got == pytest.approx(sums / max(1, len(s) - 2), abs=1e-5), text
