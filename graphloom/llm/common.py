@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.plans.scratch import discard, scratch_path, work_dir, written
 
-__all__ = ["Kept", "crc_mod", "discard", "released", "scratch_path", "shuffle_partitions", "table", "work_dir", "written"]
+__all__ = ["Kept", "bucketed", "crc_mod", "discard", "released", "scratch_path", "shuffle_partitions", "table", "work_dir", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bucketed(df: DataFrame, key: str, name: str = "buckets") -> DataFrame:
+    """df as a table in the shared folder, in as many buckets of key as a shuffle has
+    partitions: one shuffle of its rows, after which joins and aggregations by key move
+    none of them. The catalogue forgets the table at once; discard() deletes its files."""
+    spark = df.sparkSession
+    n, path, entry = shuffle_partitions(spark), scratch_path(spark, name), f"graphloom_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(entry)
+    out = spark.table(entry)
+    out.schema  # resolved while the catalogue knows it
+    spark.sql(f"DROP TABLE {entry}")
+    out._scratch = path
+    return out
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(doc_id.cast("string")) % n

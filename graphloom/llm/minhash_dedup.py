@@ -17,7 +17,9 @@ similarity from above. Only members with a partner that this bound lets through
 compared on the full sets, made anew from their texts.
 
 Nodes and sets grow with the documents: their joins ask for a shuffle at every size
-(hint "merge"), so that the plan on a small table is the plan on a large one.
+(hint "merge"), so that the plan on a small table is the plan on a large one. Texts are
+shuffled once, into buckets by doc_id; every later join that fetches some of them moves
+only the ids.
 
 Chance of missing a link of similarity 0.8: each of the 64 tokens agrees with probability
 0.8, and all trees share them. If a share s agrees, a level keeps the pair together with
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.community import components
 
-from .common import discard, released, written
+from .common import bucketed, discard, released, written
 
 POSITIONS = 64
 """Length of the minwise signature."""
@@ -343,13 +345,14 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(old.unionByName(fresh.join(labels, "id", "left_anti").withColumnRenamed("component", "label")), "labels")
 
 
-def _compared(docs: DataFrame, sets: DataFrame, cells: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) of members apart, for cells (rid, label, node, block, side)."""
+def _compared(texts: DataFrame, sets: DataFrame, cells: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) of members apart, for cells (rid, label, node, block, side); texts are
+    in buckets of doc_id."""
     sketched = cells.join(sets.select("rid", "n", "spread").hint("merge"), "rid").select(*cells.columns, "n", "spread")
     close = sketched.groupBy("node", "block").applyInArrow(lambda cell: _close(cell, percent), "rid long, label long, node long, block int, side int")
     packed = written(close.groupBy("rid", "label").agg(F.collect_list(F.struct("node", "block", "side")).alias("at")), "cells")
-    # Spark broadcasts packed if its table is small (spark.sql.autoBroadcastJoinThreshold), else both sides meet by a shuffle
-    rows = docs.join(packed, docs["doc_id"] == packed["rid"]).select("rid", "label", "text", F.explode("at").alias("at")).select("rid", "label", "text", "at.*")
+    # Spark broadcasts packed if its table is small (spark.sql.autoBroadcastJoinThreshold), else packed is shuffled to the buckets
+    rows = texts.join(packed, texts["doc_id"] == packed["rid"]).select("rid", "label", "text", F.explode("at").alias("at")).select("rid", "label", "text", "at.*")
     found = written(rows.groupBy("node", "block").applyInArrow(lambda cell: _compare(cell, width, percent), "a long, b long"), "found")
     discard(packed)
     return found
@@ -371,6 +374,14 @@ def near_duplicates(
     not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = bucketed(docs.where("doc_id is not null"), "doc_id", "texts")
+    out = _classes(docs, texts, width, percent, trees, small, depth, block)
+    discard(texts)
+    return out
+
+
+def _classes(docs: DataFrame, texts: DataFrame, width: int, percent: int, trees: int, small: int, depth: int, block: int) -> DataFrame:
+    """near_duplicates, given the rows that have a doc_id in buckets as well."""
     all_rows = written(sketches(docs, width), "sketches")
     one = F.min_by(F.struct("sig", "spread", F.col("n_shingles").alias("n")), "doc_id").alias("one")
     sets = written(all_rows.where("doc_id is not null and n_shingles > 0").groupBy("lo", "hi").agg(one, F.min("doc_id").alias("rid")).select("lo", "hi", "rid", "one.*"), "sets")
@@ -407,7 +418,7 @@ def near_duplicates(
         pivots = wide.groupBy("node", "blocks").agg(F.min_by("label", "rid").alias("label"), F.min("rid").alias("rid"))
         pivots = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
         keep = ["rid", "label", "node", "block", "side"]
-        found = _compared(docs, sets, whole.select(keep).unionByName(pivots.select(keep)), width, percent)
+        found = _compared(texts, sets, whole.select(keep).unionByName(pivots.select(keep)), width, percent)
         labels = _merged(labels, found.unionByName(again) if labels is None else found)
         for x in used:
             discard(x)
@@ -422,19 +433,25 @@ def near_duplicates(
             meet = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block", cell).withColumn("side", F.lit(0))
             hosts = wide.join(parts, "node").withColumn("part", F.explode("parts")).withColumn("other", F.pmod(F.xxhash64("rid", F.lit(3)), F.col("blocks")).cast("int"))
             hosts = hosts.withColumn("block", cell).withColumn("side", F.lit(1))
-            labels = _merged(labels, _compared(docs, sets, meet.select(keep).unionByName(hosts.select(keep)), width, percent))
+            labels = _merged(labels, _compared(texts, sets, meet.select(keep).unionByName(hosts.select(keep)), width, percent))
     named = _relabelled(sets.select("lo", "hi", "rid"), labels).select("lo", "hi", "label")
     out = all_rows.drop("sig", "spread").join(named, ["lo", "hi"], "left").withColumn("component_id", F.coalesce("label", "doc_id"))
     lone = F.col("doc_id").isNull()
     return out.select("doc_id", "n_shingles", F.when(~lone, F.col("component_id")).alias("component_id"), (lone | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, **how) -> DataFrame:
+def deduplicated(docs: DataFrame, *, width: int = 5, percent: int = 80, trees: int = 2, small: int = 1024, depth: int = 3, block: int = 512) -> DataFrame:
     """The documents that near_duplicates keeps, with all their columns: one of each
-    class (of rows that repeat a kept doc_id, one)."""
-    kept = near_duplicates(docs, **how).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = written(kept.select(F.col("doc_id").alias("d"), "n"), "kept")
-    found = docs["doc_id"].cast("long") == kept["d"]
-    once = docs.join(kept.where("n = 1"), found, "left_semi")
-    again = docs.join(kept.where("n > 1"), found, "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where("doc_id is null"))
+    class (of rows that repeat a kept doc_id, one). Other columns may have any names."""
+    names = docs.columns
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    id_, text = (f"c{names.index(x)}" for x in ("doc_id", "text"))
+    flat = flat.withColumn("doc_id", F.col(id_).cast("long"))
+    held = bucketed(flat.where("doc_id is not null"), "doc_id", "texts")
+    read = lambda df: df.select("doc_id", F.col(text).cast("string").alias("text"))
+    classes = _classes(read(flat), read(held), width, percent, trees, small, depth, block)
+    kept = classes.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    found = held.join(written(kept, "kept"), "doc_id")
+    once, again = found.where("n = 1"), found.where("n > 1").dropDuplicates(["doc_id"])
+    out = once.drop("n").unionByName(again.drop("n")).unionByName(flat.where("doc_id is null"))
+    return out.drop("doc_id").toDF(*names)
