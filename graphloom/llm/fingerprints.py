@@ -141,13 +141,15 @@ class _Document:
         self.name = _named(_least(self.mixed), whole, self.n) if self.n >= SPAN else fingerprint(text)
 
 
-def _edited(d: _Document, after: _Document) -> tuple[str, str]:
-    """The edited text, and its fingerprint: what both halves' prefix arrays tell of
-    their own spans is used again, only the spans over the seam are hashed anew."""
+def _edited(d: _Document, after: _Document) -> tuple[str, str, int]:
+    """The edited text, its fingerprint, and how far it begins as the text does: what both
+    halves' prefix arrays tell of their own spans is used again, only the spans over the
+    seam are hashed anew."""
     cut, take = d.n - d.n // 2, min(d.n // 2, after.n)
+    alike = cut + d.hashes.common(cut, 0, after.hashes)
     text = d.text[:cut] + after.text[:take]
     if len(text) < SPAN:
-        return text, fingerprint(text)
+        return text, fingerprint(text), alike
     lo, hi = max(0, cut - SPAN + 1), min(len(text), cut + SPAN - 1)
     seam = PrefixHash(text[lo:hi])
     parts = [d.mixed[: max(0, cut - SPAN + 1)], after.mixed[: max(0, take - SPAN + 1)], _mix(seam.spans(SPAN))]
@@ -155,10 +157,10 @@ def _edited(d: _Document, after: _Document) -> tuple[str, str]:
     for s, t, p in zip(d.hashes.sums, after.hashes.sums, _POWERS, strict=True):
         both = int(s[cut]) + int(t[take]) * int(p.get(0, cut + 1)[cut])
         whole = whole << 31 | both % PRIME
-    return text, _named(_least(np.concatenate(parts)), whole, len(text))
+    return text, _named(_least(np.concatenate(parts)), whole, len(text)), alike
 
 
-_COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+_COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_edited", "common_next"]
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,11 +171,11 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
 
     def row(d: _Document, after: _Document) -> tuple:
-        text, name = _edited(d, after)
-        return d.doc_id, d.n, hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), d.name, name, likeness(d.name, name), likeness(d.name, after.name)
+        text, name, alike = _edited(d, after)
+        return d.doc_id, d.n, hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), d.name, name, likeness(d.name, name), likeness(d.name, after.name), alike, d.hashes.common(0, 0, after.hashes)
 
     def batch() -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], _COLUMNS)
 
     for b in batches:
@@ -195,7 +197,9 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next for every row of docs (doc_id, text).
+    near_next, common_edited, common_next for every row of docs (doc_id, text); the last
+    two are the longest common extensions from the starts of the text and of its edited
+    text, and of the text and the next one, in code points.
 
     The next row is that of the next doc_id; rows of equal doc_id follow each other by
     text, rows without doc_id come last, and the first row follows the last. A null text
@@ -219,4 +223,4 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     from_ = d.drop("block").join(extra, d["doc_id"].eqNullSafe(extra["least"])).select("block", F.lit(True).alias("extra"), "doc_id", "text")
     rows = d.select("block", F.lit(False).alias("extra"), "doc_id", "text").unionByName(from_)
     rows = rows.repartitionById(len(cuts) + 2, F.col("block")).sortWithinPartitions("block", "extra", F.col("doc_id").asc_nulls_last(), "text")
-    return rows.mapInArrow(_rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.mapInArrow(_rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_edited long, common_next long")
