@@ -27,13 +27,22 @@ def rotation(dim: int, seed: int = 3) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def _directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of x at length 1, and their lengths. Rows are scaled by their largest
+    component first, so that squares neither overflow nor vanish."""
+    top = np.abs(x).max(axis=1)
+    x = x / top[:, None]
+    length = np.sqrt((x * x).sum(axis=1))
+    return x / length[:, None], top * length
+
+
 class Codes:
     """One-bit codes of the rows of x."""
 
     def __init__(self, x: np.ndarray, turn: np.ndarray):
         self.dim = x.shape[1]
-        self.length = np.sqrt((x * x).sum(axis=1))
-        o = (x @ turn) / self.length[:, None]
+        x, self.length = _directions(x)
+        o = x @ turn
         bits = o > 0
         self.words = list(np.ascontiguousarray(self.packed(bits).T))
         self.ones = bits.sum(axis=1)
@@ -46,9 +55,10 @@ class Codes:
         return np.packbits(wide, axis=1, bitorder="little").view(np.uint64)
 
     def bounds(self, query: np.ndarray, turn: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
-        """Estimates of the inner products of a query with all rows, and their error bounds."""
-        length = float(np.sqrt(query @ query))
-        q = (query @ turn) / length
+        """Estimates of the inner products of a query with all rows, and their error bounds;
+        infinite where doubles can't hold them."""
+        q, length = _directions(query[None, :])
+        q = q[0] @ turn
         low = float(q.min())
         step = (float(q.max()) - low) / ((1 << QUERY_BITS) - 1) or 1.0
         level = np.rint((q - low) / step).astype(np.int64)
@@ -62,8 +72,10 @@ class Codes:
         estimate = code / self.with_code
         spread = np.sqrt(np.maximum(0, 1 - self.with_code**2)) / self.with_code
         error = epsilon * spread / np.sqrt(max(1, self.dim - 1)) + step * root / 2 / self.with_code
-        scale = self.length * length
-        return estimate * scale, error * scale
+        scale = self.length * length[0]
+        estimate, error = estimate * scale, error * scale
+        sure = np.isfinite(estimate) & np.isfinite(error)
+        return np.where(sure, estimate, np.inf), np.where(sure, error, 0.0)
 
 
 def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -82,6 +94,11 @@ def _kth(scores: np.ndarray, k: int, real: np.ndarray | None = None) -> float:
 
 def _cell(queries: pa.Table, rows: pa.Table, k: int, epsilon: float) -> pa.Table:
     """The k nearest of the rows of one block for each query of one block."""
+    with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+        return _best(queries, rows, k, epsilon)
+
+
+def _best(queries: pa.Table, rows: pa.Table, k: int, epsilon: float) -> pa.Table:
     out: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
     if queries.num_rows and rows.num_rows:
         get = lambda t: np.array(t.column("v").combine_chunks().flatten(), dtype=float).reshape(t.num_rows, -1)
@@ -91,14 +108,18 @@ def _cell(queries: pa.Table, rows: pa.Table, k: int, epsilon: float) -> pa.Table
         found: list[list[np.ndarray]] = [[], [], []]
         for query, qid in zip(q, qids, strict=True):
             estimate, error = codes.bounds(query, turn, epsilon)
-            estimate[ids == qid] = -np.inf
+            own = ids == qid
+            estimate[own] = -np.inf
             # the k-th score among the best estimates; whatever may reach it is reranked
             head = np.argpartition(-estimate, 4 * k)[: 4 * k] if len(estimate) > 4 * k else np.arange(len(estimate))
-            pick = np.flatnonzero((estimate + error >= _kth(x[head] @ query, k, estimate[head])) & np.isfinite(estimate))
+            first = x[head] @ query
+            pick = np.flatnonzero((estimate + error >= _kth(first, k, first + estimate[head])) & ~own)
             rough = x[pick] @ query
-            pick = pick[rough >= _kth(rough, k) - 1e-9 * (1 + np.abs(rough).max(initial=0))]
+            sure = np.isfinite(rough)
+            near = _kth(rough, k, rough) - 1e-9 * (1 + np.abs(rough[sure]).max(initial=0))
+            pick = pick[~sure | (rough >= near)]
             score = inner(x[pick], query)
-            best = np.lexsort((ids[pick], -score))[:k]
+            best = np.lexsort((ids[pick], -score, ~np.isnan(score)))[:k]
             for c, v in zip(found, (np.full(len(best), qid), ids[pick][best], score[best]), strict=True):
                 c.append(v)
         out = [np.concatenate(c) for c in found]
@@ -111,7 +132,8 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, epsilon: float
 
     Nearness is the largest inner product in double precision; ties go to the smaller
     vec_id. Vectors that are null, zero or hold null or non-finite components take no
-    part, nor do rows without vec_id; of rows that repeat a vec_id the least vector
+    part, nor do rows without vec_id; finite components of any size do, and a product that
+    doubles can't hold is infinite, or not a number and ranks first, as in Spark's order; of rows that repeat a vec_id the least vector
     counts; vectors of different lengths don't meet. Every query block meets every row
     block in a task of its own, both of bounded size and dealt by a hash of the id, so
     that equal vectors gather nowhere. epsilon scales the error bound of the codes: at 5
