@@ -10,7 +10,9 @@ names of their own for each attempt at a task; the manifest names those that cou
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -30,6 +32,8 @@ SAMPLE_BYTES = 1_000_000
 ARCHIVE_BYTES = 128_000_000
 LEAST_REVISIT = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+# The types of records.
+TYPES = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation")
 BROADCAST_ROWS = 300_000
 _WINDOW = 32_768
 
@@ -42,17 +46,24 @@ def _safe(value: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
+def _record_id(*what) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join(map(str, what)))}>"
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    """A response record, or a revisit one if refers_to is given: that has the HTTP header only."""
+    """A response record, or a revisit one if refers_to is given: that has the HTTP header only.
+
+    A response's WARC-Record-ID follows from its page_id, and a revisit's WARC-Refers-To
+    names that of the page it refers to; rows that repeat a page_id share theirs."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest}')}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_record_id('page', page_id) if refers_to is None and page_id is not None else _record_id(page_id, url, digest, refers_to)}", f"WARC-Date: {date}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_safe(url)}")
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id('page', refers_to)}", f"X-Refers-To-Page: {refers_to}"]
     head += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -137,7 +148,7 @@ def frames(stream) -> Iterator[bytes]:
 
 def _headers(raw: bytes) -> dict[str, str]:
     out = {}
-    for line in raw.decode("utf-8", "surrogatepass").split("\r\n"):
+    for line in raw.decode("utf-8", "replace").split("\r\n"):
         name, colon, value = line.partition(":")
         if not colon or not name.strip():
             raise WarcError(f"a header line without a name: {line[:80]!r}")
@@ -145,35 +156,71 @@ def _headers(raw: bytes) -> dict[str, str]:
     return out
 
 
+def _number(headers: dict[str, str], name: str) -> int:
+    value = headers.get(name, "")
+    if not (value.isascii() and value.isdigit()):
+        raise WarcError(f"{name} is {value[:80]!r}, not a number")
+    return int(value)
+
+
+def _verify(data: bytes, digest: str) -> None:
+    """Checks data against a labelled digest in hex or base 32; a bare one is SHA-256.
+    Digests of algorithms that Python lacks can't be checked."""
+    name, _, value = digest.rpartition(":")
+    name = (name or "sha256").lower().replace("-", "")
+    if name in hashlib.algorithms_guaranteed and not name.startswith("shake"):
+        own = hashlib.new(name, data)
+        if value.lower() != own.hexdigest() and value.upper().rstrip("=") != base64.b32encode(own.digest()).decode().rstrip("="):
+            raise WarcError("a payload or block that differs from its digest")
+
+
 def parsed(raw: bytes) -> dict:
     """A frame's only record, checked: page_id, url, record_type, payload_bytes,
-    payload_digest, refers_to, payload (None for a revisit)."""
+    payload_digest, refers_to, payload.
+
+    Of a response or revisit the payload is what follows the HTTP header (None for a
+    revisit, whose payload_bytes is None if no Content-Length tells it); of any other type
+    of TYPES it is the block.
+    payload_digest is the payload's SHA-256 in hex, for a revisit the one it names.
+    page_id and refers_to are None in records of other writers. Whatever is malformed is
+    a WarcError."""
     head, blank, rest = raw.partition(b"\r\n\r\n")
     version, _, lines = head.partition(b"\r\n")
     if not blank or version not in (b"WARC/1.0", b"WARC/1.1"):
         raise WarcError("a frame doesn't begin with a record")
     h = _headers(lines)
-    for need in ("warc-type", "warc-record-id", "warc-date", "content-length", "warc-payload-digest"):
+    for need in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if need not in h:
             raise WarcError(f"a record without {need}")
-    if not h["content-length"].isdigit() or len(rest) != int(h["content-length"]) + 4 or rest[-4:] != b"\r\n\r\n":
+    if len(rest) != _number(h, "content-length") + 4 or rest[-4:] != b"\r\n\r\n":
         raise WarcError("a record's length isn't its Content-Length, or its frame holds more")
-    kind, digest = h["warc-type"], h["warc-payload-digest"].removeprefix("sha256:")
-    http, blank, payload = rest[:-4].partition(b"\r\n\r\n")
-    if not blank or not http.startswith(b"HTTP/"):
-        raise WarcError("a block without an HTTP header")
-    size = int(_headers(http.partition(b"\r\n")[2])["content-length"])
+    kind, block, digest = h["warc-type"].lower(), rest[:-4], h.get("warc-payload-digest")
+    if kind not in TYPES:
+        raise WarcError(f"a record of type {kind}")
+    if "warc-block-digest" in h:
+        _verify(block, h["warc-block-digest"])
+    payload: bytes | None = block
+    size: int | None = None
+    if kind in ("response", "revisit") and h.get("content-type", "application/http").startswith("application/http"):
+        http, blank, payload = block.partition(b"\r\n\r\n")
+        if not blank or not http.startswith(b"HTTP/"):
+            raise WarcError("a block without an HTTP header")
+        fields = _headers(http.partition(b"\r\n")[2]) if b"\r\n" in http else {}
+        if "content-length" in fields:
+            size = _number(fields, "content-length")
     refers = None
     if kind == "revisit":
-        if payload or "warc-refers-to" not in h or h.get("warc-profile") != PROFILE:
+        if payload or digest is None or "warc-profile" not in h:
             raise WarcError("a revisit that isn't one")
-        refers = int(h["warc-refers-to"].strip("<>").rpartition(":")[2])
-        payload = None
-    elif kind != "response":
-        raise WarcError(f"a record of type {kind}")
-    elif size != len(payload) or hashlib.sha256(payload).hexdigest() != digest:
-        raise WarcError("a payload that differs from its length or digest")
-    return {"page_id": int(h["x-page-id"]) if "x-page-id" in h else None, "url": h.get("warc-target-uri"), "record_type": kind, "payload_bytes": size, "payload_digest": digest, "refers_to": refers, "payload": payload}
+        refers = _number(h, "x-refers-to-page") if "x-refers-to-page" in h else None
+        payload, digest = None, digest.removeprefix("sha256:")
+    else:
+        if size not in (None, len(payload)):
+            raise WarcError("a payload that differs from its length")
+        if digest is not None:
+            _verify(payload, digest)
+        size, digest = len(payload), hashlib.sha256(payload).hexdigest()
+    return {"page_id": int(h["x-page-id"]) if re.fullmatch(r"-?\d+", h.get("x-page-id", "")) else None, "url": h.get("warc-target-uri"), "record_type": kind, "payload_bytes": size, "payload_digest": digest, "refers_to": refers, "payload": payload}
 
 
 def _archives(batches: Iterator[pa.RecordBatch], folder: str, date: str) -> Iterator[pa.RecordBatch]:

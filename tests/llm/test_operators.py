@@ -1,6 +1,8 @@
+import base64
 import collections
 import hashlib
 import io
+import os
 import random
 import re
 import zlib
@@ -76,6 +78,44 @@ def test_search_reaches_beyond_four_deviations(spark):
     assert [(g.vec_id, g.score) for g in got] == [(1, pytest.approx(true))]
 
 
+def test_search_of_extreme_components(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(200, 16))
+    x[3] *= 1e200
+    x[20] *= 1e-200
+    x[41] *= 1e150
+    x[60] *= 1e120
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = rabitq.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, row_block=64).orderBy("query_id", "rank").collect()
+    for q in range(0, 200, 20):
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = rabitq.inner(x, x[q])
+        want = sorted((i for i in range(200) if i != q), key=lambda i: (not np.isnan(score[i]), -score[i], i))[:5]
+        mine = [g for g in got if g.query_id == q]
+        assert [g.vec_id for g in mine] == want
+        np.testing.assert_array_equal([g.score for g in mine], score[want])
+
+
+def test_warc_of_other_writers():
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\nabc"
+    base = "WARC/1.0\r\nWARC-Type: {}\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Date: d\r\nContent-Length: {}\r\n{}\r\n"
+    made = lambda kind, block, more="": base.format(kind, len(block), more).encode() + block + b"\r\n\r\n"
+    sha1 = "WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"abc").digest()).decode() + "\r\n"
+    got = warc.parsed(made("response", http, sha1))
+    assert (got["payload"], got["payload_bytes"], got["page_id"], got["payload_digest"]) == (b"abc", 3, None, hashlib.sha256(b"abc").hexdigest())
+    assert warc.parsed(made("warcinfo", b"software: x\r\n"))["payload"] == b"software: x\r\n"
+    assert warc.parsed(made("request", b"GET / HTTP/1.1\r\n\r\n"))["record_type"] == "request"
+    for bad in (http.replace(b"Server: x", b"Content-Length: y"), http.replace(b"Server: x", b"Content-Length: 2"), b"no header"):
+        with pytest.raises(warc.WarcError):
+            warc.parsed(made("response", bad))
+    with pytest.raises(warc.WarcError):
+        warc.parsed(made("response", http.replace(b"abc", b"abd"), sha1))
+    one = warc.record(7, "http://x", b"p", "d", None, "t").decode()
+    other = warc.record(9, "http://y", b"p", "d", 7, "t").decode()
+    named = re.search("WARC-Record-ID: (.*)\r", one).group(1)
+    assert f"WARC-Refers-To: {named}\r" in other
+
+
 def test_warc_round_trip(spark, tmp_path):
     big, small = "ä<p>" + "z" * 200, "tiny"
     rows = [(5, "http://a/ü b\r\nX: 1", big), (2, None, big), (9, "u", big), (3, "u", small), (4, "u", small), (6, "u", None), (7, "u", ""), (None, "u", big), (2, "u", big)]
@@ -264,7 +304,7 @@ def test_fingerprints(spark):
     r = random.Random(10)
     words = ["lorem", "ipsum", "döl", "😀", "amet"]
     rows = [(i * 3, prose(r, words, r.choice([0, 1, 2, 30, 200])), "en", "s") for i in range(120)] + [(1000, None, None, None), (30, "tie b", None, None), (30, "tie a", None, None), (None, "no id", None, None)]
-    got = [tuple(x) for x in fingerprints.fingerprinted(docs_of(spark, rows)).collect()]
+    got = [tuple(x)[:7] for x in fingerprints.fingerprinted(docs_of(spark, rows)).collect()]
     order = sorted(((i is None, i or 0, t or "") for i, t, *_ in rows))
     want = []
     for k, (no, i, t) in enumerate(order):
@@ -279,6 +319,14 @@ def test_fingerprints(spark):
     assert fingerprints.fingerprinted(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_longest_common_extensions(spark):
+    texts = ["abcabcabd", "abcabx", "abc", "", "zz", "zz"]
+    got = fingerprints.fingerprinted(docs_of(spark, [(i, t, None, None) for i, t in enumerate(texts)])).orderBy("doc_id").collect()
+    for t, n, r in zip(texts, texts[1:] + texts[:1], got, strict=True):
+        e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        assert (r.common_edited, r.common_next) == tuple(len(os.path.commonprefix([t, x])) for x in (e, n))
+
+
 def test_license_base(spark):
     r = random.Random(11)
     phrases = ["Under the MIT License", "Apache license, version-2", "CC BY NC", "under the mit", "GPL v3 license", "Licensed under the Apache License, Version 2.0", "ÉCC", "cc by nc sa"]
