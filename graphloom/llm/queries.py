@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, license_scan, minhash_dedup, mixing, packing, rabitq, toxicity, url_templates, warc
+from . import centroids, fingerprints, language_id, license_scan, line_crf, minhash_dedup, mixing, packing, rabitq, spelling, toxicity, url_templates, warc
 from .common import table
 
 
@@ -67,14 +67,46 @@ def op10_url_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judged(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their more frequent forms and roots."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_partial_distance_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings in 40 clusters after five rounds."""
+    return centroids.clustered(table(spark, sf_dir, "embeddings"), k=40, rounds=5, salt="2")
+
+
+def op13_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a field fitted outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_crf.scored(docs, line_crf.trained(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_rabitq_search, op2_warc_round_trip, op3_pivotal_mixing, op4_toxicity_fm, op5_minhash_dedup,
         op6_residual_packing, op7_prefix_fingerprints, op8_hyperdimensional_language, op9_license_rules, op10_url_template_tree,
+        op11_spelling_variants, op12_partial_distance_clusters, op13_line_crf_quality,
     )
 }
 
+def _clusters_sql(k: int, rounds: int) -> str:
+    """Every round as two expressions: the assignment, and the next centroids."""
+    parts = [
+        "v AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e FROM embeddings WHERE len(embedding) = 64 AND list_bool_and([coalesce(isfinite(x), false) FOR x IN embedding]))",
+        f"c0 AS (SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1)::INT AS cluster, e AS c FROM v QUALIFY cluster < {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS (SELECT vec_id, any_value(e) AS e, min_by(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (SELECT vec_id, e, cluster, list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(e, c)])::BIGINT AS d FROM v, c{i}) GROUP BY vec_id)")
+        if i < rounds:
+            parts.append(f"s{i} AS (SELECT cluster, p, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(e) AS x, unnest(range(64)) AS p FROM a{i}) GROUP BY 1, 2)")
+            parts.append(f"c{i + 1} AS (SELECT c.cluster, coalesce(m.c, c.c) AS c FROM c{i} c LEFT JOIN (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY p) AS c FROM s{i} GROUP BY cluster) m USING (cluster))")
+    end = f"SELECT vec_id, a.cluster, distance, sum(distance) OVER (PARTITION BY a.cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c USING (cluster)"
+    return "WITH " + ", ".join(f"{p.split(' AS ', 1)[0]} AS MATERIALIZED {p.split(' AS ', 1)[1]}" for p in parts) + " " + end
+
+
 ORACLES = {
     "op1_rabitq_search": r"""
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE list_bool_or([x <> 0 FOR x IN embedding])),
@@ -112,4 +144,39 @@ reach AS (
 SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, r.c AS component_id, d.doc_id = r.c AS kept
 FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id
 """,
+    # crc32 is a fold over the bytes with the table of its polynomial, which the first two expressions compute
+    "op11_spelling_variants": r"""
+WITH RECURSIVE crc_bits(i, c, k) AS (
+  SELECT i, i, 0 FROM range(256) t(i) UNION ALL
+  SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM crc_bits WHERE k = 8),
+runs AS (
+  SELECT doc_id, w, count(*) AS times FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents)
+  WHERE length(w) >= 6 GROUP BY 1, 2),
+bytes AS (
+  SELECT w, doc_id, times, flatten([CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [192 + (ord(c) >> 6)::BIGINT, 128 + ord(c)::BIGINT % 64] END FOR c IN string_split(doc_id::VARCHAR || ':' || w, '')]) AS b FROM runs),
+hashed AS (
+  SELECT w, times, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, x: xor(a >> 8, t[1 + xor(a, x) % 256])), 4294967295::BIGINT) AS h FROM bytes, crc),
+words AS (
+  SELECT word, sum(times)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, times FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+keys AS (
+  SELECT DISTINCT word, n, k FROM (
+    SELECT word, n, word AS k FROM words UNION ALL
+    SELECT word, n, left(word, i - 1) || substr(word, i + 1) FROM (SELECT word, n, unnest(range(1, 1 + length(word)))::INT AS i FROM words))),
+pairs AS (
+  SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS m FROM keys a JOIN keys b USING (k) WHERE a.word <> b.word AND CASE
+    WHEN abs(length(a.word) - length(b.word)) = 1 THEN k = CASE WHEN length(a.word) < length(b.word) THEN a.word ELSE b.word END
+    WHEN length(a.word) = length(b.word) THEN len([z FOR z IN list_zip(string_split(a.word, ''), string_split(b.word, '')) IF z[1] <> z[2]]) = 1 ELSE false END),
+best AS (SELECT word, count(*) AS n_near, max(m) AS top FROM pairs GROUP BY word),
+forms AS (SELECT p.word, min(near) AS form, any_value(m) AS form_n FROM pairs p JOIN best b ON b.word = p.word AND m = top WHERE m >= 5 * n GROUP BY p.word),
+up AS (
+  SELECT word, form AS last, 1 AS k FROM forms UNION ALL
+  SELECT up.word, forms.form, k + 1 FROM up JOIN forms ON forms.word = up.last)
+SELECT w.word, f.form, coalesce(r.root, w.word) AS root, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, f.form_n
+FROM words w LEFT JOIN forms f USING (word) LEFT JOIN best b USING (word) LEFT JOIN (SELECT word, max_by(last, k) AS root FROM up GROUP BY word) r USING (word)
+""",
+    "op12_partial_distance_clusters": _clusters_sql(40, 5),
 }
