@@ -7,25 +7,29 @@ a document walks down from the root: a node chooses one or two signature positio
 its own id, and the minwise tokens there name the children. Nodes of at most `small`
 members are compared exhaustively; larger ones branch further, down to `depth` levels.
 What is still large then (copies that stay alike all the way) is compared in blocks that
-share a pivot; if that leaves members apart, these meet every block of their node. So no
-pair of a node is skipped but pairs that are linked already.
+share a pivot; if that leaves members apart, these are compared with all that the wide
+nodes hold. So no pair of a node is skipped but pairs that are linked already.
 
-A comparison has two steps, neither of which loses a link. First the members of a node
-bring the spread of their sets: how many hashes lie in each of 64 or more equal ranges.
-Two sets share no more in a range than the smaller count there, which bounds their
-similarity from above. Only members with a partner that this bound lets through are
-compared on the full sets, made anew from their texts.
+A comparison has two steps. First the members of a node bring one byte of each of their 64
+tokens: only members with a partner of fitting size and another class that agrees in AGREE
+of them go on. These are compared on the full sets, made anew from their texts: of each
+set the shingles rarest in the node are looked up (two linked sets share one among them),
+and every pair that shares one is measured. So pairs that are alike below the threshold
+cost little, however many they are.
 
-Nodes and sets grow with the documents: their joins ask for a shuffle at every size
-(hint "merge"), so that the plan on a small table is the plan on a large one. Texts are
-shuffled once, into buckets by doc_id; every later join that fetches some of them moves
-only the ids.
+Members of nodes that stay wide and apart to the end are compared once, for all trees
+together, in the same way with Spark's joins: by their rarest shingles among such members.
+A shingle many have in common is split into blocks.
+
+Texts are shuffled once, into buckets by doc_id; every later join that fetches some of
+them moves only the ids.
 
 Chance of missing a link of similarity 0.8: each of the 64 tokens agrees with probability
 0.8, and all trees share them. If a share s agrees, a level keeps the pair together with
-probability 0.75 s + 0.25 (1 - (1 - s)^2). Taken over s, as many trees are grown as keep
-the chance below 1e-5 even for pairs that walk down all `depth` levels: 18 for three. The
-number doesn't depend on the data, so that work grows with the rows.
+probability 0.75 s + 0.25 (1 - (1 - s)^2); below AGREE tokens the pair counts as missed.
+Taken over s, as many trees are grown as keep the chance below 1e-5 even for pairs that
+walk down all `depth` levels: 18 for three. The number doesn't depend on the data, so that
+work grows with the rows.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.community import components
@@ -49,8 +53,10 @@ POSITIONS = 64
 """Length of the minwise signature."""
 MISS = 1e-5
 """Chance at most of missing a pair at the threshold."""
-NODE_SHINGLES = 4_000_000
-"""Most shingles (of 8 bytes) of the members that one task compares at once."""
+AGREE = 34
+"""Tokens of 64 in which members agree that are compared on their full sets; linked ones agree in fewer with a chance of 3.3e-7."""
+NODE_SHINGLES = 1_000_000
+"""Most shingles (of some 60 bytes, sorted and counted) of the members that one task compares at once."""
 
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -176,40 +182,33 @@ def signature(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def spread(h: np.ndarray) -> np.ndarray:
-    """How many elements of a set lie in each of 64 or more (about a quarter of its size,
-    a power of two) equal ranges; one entry of 255 if a count doesn't fit a byte."""
-    bits = max(6, min(16, (len(h) // 4).bit_length()))
-    counts = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return counts.astype(np.uint8) if counts.max(initial=0) < 255 else np.array([255], np.uint8)
-
-
 def _sketches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 64):
             b = whole.slice(at, 64)
-            n, lo, hi, sig, wide = [], [], [], [], []
+            n, lo, hi, sig, brief = [], [], [], [], []
             for h in shingle_sets(b.column("text").cast(pa.binary()).to_pylist(), width):
                 n.append(len(h))
                 if len(h):
                     d = xxhash.xxh3_128_intdigest(h.tobytes())
                     lo.append((d & (2**64 - 1)) - 2**63)
                     hi.append((d >> 64) - 2**63)
-                    sig.append(signature(h).tobytes())
-                    wide.append(spread(h).tobytes())
+                    tokens = signature(h)
+                    sig.append(tokens.tobytes())
+                    brief.append(tokens.astype(np.uint8).tobytes())
                 else:
-                    for c in (lo, hi, sig, wide):
+                    for c in (lo, hi, sig, brief):
                         c.append(None)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(sig, pa.binary()), pa.array(wide, pa.binary())],
-                ["doc_id", "n_shingles", "lo", "hi", "sig", "spread"],
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(sig, pa.binary()), pa.array(brief, pa.binary())],
+                ["doc_id", "n_shingles", "lo", "hi", "sig", "brief"],
             )
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, lo, hi (128-bit name of the set), sig, spread of every row."""
+    """doc_id, n_shingles, lo, hi (128-bit name of the set), sig, brief (its low bytes) of every row."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        lambda it: released(_sketches(it, width)), "doc_id long, n_shingles long, lo long, hi long, sig binary, spread binary"
+        lambda it: released(_sketches(it, width)), "doc_id long, n_shingles long, lo long, hi long, sig binary, brief binary"
     )
 
 
@@ -234,66 +233,67 @@ def _miss(levels: list[int], percent: int) -> float:
         kept = 0.75 * j + 0.25 * (1 - (1 - j) ** 2)
         chance = comb(POSITIONS, m) * likeness**m * (1 - likeness) ** (POSITIONS - m)
         for level in levels:
-            chance *= 1 - kept**level
+            chance *= 1 - kept**level if m >= AGREE else 1
         out += chance
     return out
 
 
-class Bound:
-    """An upper bound of the number of elements that two of some sets share."""
-
-    def __init__(self, size: np.ndarray, spreads: list[np.ndarray], percent: int):
-        self.size, self.percent = size, percent
-        self.order = np.argsort(size, kind="stable")
-        self.sorted = size[self.order]
-        self.spreads = [spreads[i] for i in self.order]
-        self.ranges = np.array([len(s) for s in self.spreads])
-        self.ready = (-1, 0, np.empty(0))  # ranges, first row, counts
-
-    def _counts(self, at: int, end: int) -> tuple[int, np.ndarray]:
-        """Counts of rows from a place on in as many ranges as row `at` has, and that place."""
-        r, lo, counts = self.ready
-        if r != self.ranges[at] or end > lo + len(counts):
-            r, lo = self.ranges[at], at
-            last = np.flatnonzero(self.ranges[at:] == r)[-1] + at  # far enough for all rows of so many ranges
-            end = max(end, int(np.searchsorted(self.sorted, 100 * self.sorted[last] // self.percent, "right")))
-            counts = np.array([s.reshape(r, -1).sum(axis=1, dtype=np.uint16) if r <= len(s) else np.full(r, 255, np.uint16) for s in self.spreads[at:end]])
-            self.ready = (r, lo, counts)
-        return lo, counts
-
-    def pairs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each set i: the sets j not smaller that come after it and may be similar
-        enough, and the bounds of what they share."""
-        ends = np.searchsorted(self.sorted, 100 * self.sorted // self.percent, "right")
-        for a in range(len(self.order) - 1):
-            end = int(ends[a])
-            if end <= a + 1:
-                continue
-            n, m = self.sorted[a], self.sorted[a + 1 : end]
-            if self.ranges[a] == 1:
-                both = np.full(len(m), n)
-            else:
-                lo, counts = self._counts(a, end)
-                both = np.minimum(counts[a + 1 - lo : end - lo], counts[a - lo]).sum(axis=1, dtype=np.int64)
-                both = np.where(self.ranges[a + 1 : end] == 1, n, both)
-            ok = np.flatnonzero(100 * both >= self.percent * (n + m - both))
-            if len(ok):
-                yield int(self.order[a]), self.order[a + 1 + ok], both[ok]
-
-
 def _close(cell: pa.Table, percent: int) -> pa.Table:
-    """The rows of a cell (rid, label, node, block, side, n, spread) with a partner apart
-    from them that the bound lets through."""
-    label, side = cell.column("label").to_numpy(), cell.column("side").to_numpy()
-    bound = Bound(cell.column("n").to_numpy(), [np.frombuffer(x, np.uint8) for x in cell.column("spread").to_pylist()], percent)
-    hit = np.zeros(len(label), bool)
-    for i, j, _ in bound.pairs():
-        j = j[(label[j] != label[i]) & ((side[j] == 0) | (side[i] == 0))]
-        if len(j):
-            hit[i] = hit[j] = True
+    """The rows of a cell (rid, label, node, block, side, n, brief) with a partner apart
+    from them that may be linked by size and tokens."""
+    cell = cell.sort_by("n")
+    label, side, n = (cell.column(c).to_numpy() for c in ("label", "side", "n"))
+    brief = np.frombuffer(b"".join(cell.column("brief").to_pylist()), np.uint8).reshape(-1, POSITIONS)
+    ends = np.searchsorted(n, 100 * n // percent, "right")
+    hit = np.zeros(len(n), bool)
+    for i in range(len(n)):
+        j = slice(i + 1, int(ends[i]))
+        ok = (brief[j] == brief[i]).sum(1) >= AGREE
+        ok &= (label[j] != label[i]) & ((side[j] == 0) | (side[i] == 0))
+        if ok.any():
+            hit[i] = True
+            hit[j] |= ok
     return cell.select(["rid", "label", "node", "block", "side"]).filter(pa.array(hit))
 
 
+def _prefix(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the first of n shingles, in any order common to all sets, a set must show
+    so that a linked set that isn't larger finds it, and one that isn't smaller: among
+    these two every link has a shingle in common."""
+    up = lambda a, b: -(-a // b)
+    return n - up(percent * n, 100) + 1, n - up(2 * percent * n, 100 + percent) + 1
+
+
+def prefix_pairs(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, others): for each set, by size, the sets before it with a shingle of theirs in
+    common with it among the rarest; every linked pair is one of these."""
+    size = np.array([len(x) for x in sets])
+    order = np.argsort(size, kind="stable")
+    n = size[order]
+    if len(n) < 2:
+        return
+    owner = np.repeat(np.arange(len(n)), n)
+    _, token, count = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+    by = np.lexsort((token, count[token], owner))
+    token = token[by]  # owner stays as it is
+    place = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+    probe, index = _prefix(n, percent)
+    kept = np.flatnonzero((place < probe[owner]) & (count[token] > 1))
+    token, owner, shown = token[kept].tolist(), owner[kept].tolist(), (place[kept] < index[owner[kept]]).tolist()
+    lists: dict[int, list[int]] = {}
+    k = 0
+    for i in range(len(n)):
+        first, near = k, set()
+        while k < len(owner) and owner[k] == i:
+            near.update(lists.get(token[k], ()))
+            k += 1
+        for at in range(first, k):
+            if shown[at]:
+                lists.setdefault(token[at], []).append(i)
+        if near:
+            yield int(order[i]), order[np.array(sorted(near))]
+
+
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -314,13 +314,12 @@ def _compare(cell: pa.Table, width: int, percent: int) -> pa.Table:
                 seen[key] = (label, side, h)
     keys = sorted(seen)
     sets = [seen[k][2] for k in keys]
-    side = np.array([seen[k][1] for k in keys])
+    side, size = np.array([seen[k][1] for k in keys]), np.array([len(x) for x in sets])
     first: dict[int, int] = {}
     top = np.array([first.setdefault(seen[k][0], i) for i, k in enumerate(keys)])  # of members joined so far
     before = top.copy()
-    for i, near, both in Bound(np.array([len(s) for s in sets]), [spread(s) for s in sets], percent).pairs():
-        apart = top[near] != top[i]
-        for j in near[apart][np.argsort(-both[apart], kind="stable")].tolist():
+    for i, near in prefix_pairs(sets, percent):
+        for j in near[(top[near] != top[i]) & (100 * size[near] >= percent * size[i])].tolist():
             if top[i] != top[j] and not (side[i] and side[j]) and _linked(sets[i], sets[j], percent):
                 top[top == top[j]] = top[i]
     moved = np.flatnonzero(top != before)  # a star for each class
@@ -348,7 +347,7 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 def _compared(texts: DataFrame, sets: DataFrame, cells: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) of members apart, for cells (rid, label, node, block, side); texts are
     in buckets of doc_id."""
-    sketched = cells.join(sets.select("rid", "n", "spread").hint("merge"), "rid").select(*cells.columns, "n", "spread")
+    sketched = cells.join(sets.select("rid", "n", "brief"), "rid").select(*cells.columns, "n", "brief")
     close = sketched.groupBy("node", "block").applyInArrow(lambda cell: _close(cell, percent), "rid long, label long, node long, block int, side int")
     packed = written(close.groupBy("rid", "label").agg(F.collect_list(F.struct("node", "block", "side")).alias("at")), "cells")
     # Spark broadcasts packed if its table is small (spark.sql.autoBroadcastJoinThreshold), else packed is shuffled to the buckets
@@ -358,6 +357,58 @@ def _compared(texts: DataFrame, sets: DataFrame, cells: DataFrame, width: int, p
     return found
 
 
+def _ranked(texts: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """(rid, label, token, shown) of members (rid, label): each text's shingles that a linked
+    text of them must share one of, the rarest among members first; shown: those that a
+    larger text finds."""
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
+                sets = shingle_sets(b.column("text").cast(pa.binary()).to_pylist(), width)
+                for h, rid, label in zip(sets, b.column("rid"), b.column("label"), strict=True):
+                    name = pa.scalar(int.from_bytes(xxhash.xxh3_64_digest(h.tobytes()), "big", signed=True))
+                    for lo in range(0, len(h), 1 << 16):
+                        tokens = pa.array(h[lo : lo + (1 << 16)].view(np.int64))
+                        same = lambda x, k=len(tokens): pa.repeat(x, k)
+                        yield pa.RecordBatch.from_arrays([same(rid), same(label), same(name), same(pa.scalar(len(h))), tokens], ["rid", "label", "name", "n", "token"])
+
+    rows = texts.join(members, texts["doc_id"] == members["rid"]).select("rid", "label", "text")
+    rows = written(rows.mapInArrow(lambda it: released(exploded(it)), "rid long, label long, name long, n long, token long"), "shingles")
+    often = written(rows.groupBy("token").agg(F.count("*").alias("count")).where("count > 1"), "often")
+    place = F.row_number().over(Window.partitionBy("rid", "name").orderBy(F.coalesce("count", F.lit(1)), "token"))
+    ranked = rows.join(often, "token", "left").withColumn("place", place)
+    up = lambda a, b: F.ceil(a / b).cast("long")
+    probe, index = F.col("n") - up(percent * F.col("n"), F.lit(100)) + 1, F.col("n") - up(2 * percent * F.col("n"), F.lit(100 + percent)) + 1
+    return ranked.where((F.col("place") <= probe) & (F.col("count") > 1)).select("rid", "label", "token", (F.col("place") <= index).alias("shown")).distinct()
+
+
+def _wide_compared(texts: DataFrame, sets: DataFrame, wide: DataFrame, labels: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """labels after the members of wide nodes (rid, node) that are still apart have met all
+    others of such nodes: cells are the shingles that they have in common."""
+    named = _relabelled(wide.select("rid", "node"), labels)
+    split = named.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("node")
+    members = written(named.join(split, "node", "left_semi").select("rid", "label").distinct(), "apart")
+    if members.isEmpty():
+        return labels
+    shown = written(_ranked(texts, members, width, percent).withColumnRenamed("token", "node"), "shown")
+    # the class with most members in a cell needn't be compared with itself
+    classes = shown.groupBy("node", "label").agg(F.count("*").alias("k"))
+    cells = written(classes.groupBy("node").agg(F.sum("k").alias("size"), F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("classes")).where("classes > 1"), "shared")
+    rows = shown.join(cells, "node").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    keep = ["rid", "label", "node", "block", "side"]
+    whole = rows.where("blocks = 1").withColumn("block", F.lit(0)).withColumn("side", F.when(F.col("shown"), 0).otherwise(1))
+    large = rows.where("blocks > 1").select("rid", "label", "node", "main", "blocks")
+    part, other = (F.pmod(F.xxhash64("rid", F.lit(k)), F.col("blocks")).cast("int") for k in (5, 3))
+    apart = large.where("label <> main").withColumn("part", part)
+    parts = apart.select("node", "part").distinct()
+    cell = (F.col("part") * F.col("blocks") + F.col("other")).alias("block")
+    meet = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("rid", "label", "node", cell, F.lit(0).alias("side"))
+    hosts = large.withColumn("other", other).join(parts, "node").select("rid", "label", "node", cell, F.lit(1).alias("side"))
+    return _merged(labels, _compared(texts, sets, whole.select(keep).unionByName(meet).unionByName(hosts), width, percent))
+
+
 def near_duplicates(
     docs: DataFrame, *, width: int = 5, percent: int = 80, trees: int = 2, small: int = 1024, depth: int = 3, block: int = 512
 ) -> DataFrame:
@@ -383,13 +434,13 @@ def near_duplicates(
 def _classes(docs: DataFrame, texts: DataFrame, width: int, percent: int, trees: int, small: int, depth: int, block: int) -> DataFrame:
     """near_duplicates, given the rows that have a doc_id in buckets as well."""
     all_rows = written(sketches(docs, width), "sketches")
-    one = F.min_by(F.struct("sig", "spread", F.col("n_shingles").alias("n")), "doc_id").alias("one")
+    one = F.min_by(F.struct("sig", "brief", F.col("n_shingles").alias("n")), "doc_id").alias("one")
     sets = written(all_rows.where("doc_id is not null and n_shingles > 0").groupBy("lo", "hi").agg(one, F.min("doc_id").alias("rid")).select("lo", "hi", "rid", "one.*"), "sets")
     # rows that share a doc_id belong together, whatever their sets
     ties = all_rows.where("n_shingles > 0").groupBy("doc_id").agg(F.min("lo").alias("x"), F.max("lo").alias("y")).where("x <> y").select("doc_id")
     again = all_rows.join(ties, "doc_id", "left_semi").select("doc_id", "lo", "hi").join(sets.select("lo", "hi", "rid"), ["lo", "hi"])
     again = again.select(F.col("doc_id").alias("a"), F.col("rid").alias("b"))
-    labels = None
+    labels, open_wide = None, []
     enough = next(k for k in range(trees, 10_000) if _miss([depth] * k, percent) <= MISS)
     large = (F.col("size") > small) | (F.col("length") > NODE_SHINGLES)
     for first, end in ((0, trees), (trees, enough)):
@@ -400,21 +451,24 @@ def _classes(docs: DataFrame, texts: DataFrame, width: int, percent: int, trees:
             slim = written(at.select("rid", "n", "node"), "nodes")
             named = _relabelled(slim, labels)
             nodes = named.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y"), F.sum("n").alias("length")).where("x <> y").select("node", "size", "length")
-            open_ = written(named.join(nodes.hint("merge"), "node"), "open")
+            # a table of its own, so that a node with many members can be split where it is joined
+            nodes = written(nodes, "sizes")
+            open_ = written(named.join(nodes, "node"), "open")
             discard(slim)
+            discard(nodes)
             used.append(open_)
             last = level == depth
             leaves.append(open_ if last else open_.where(~large))
             if last or open_.where(large).isEmpty():
                 break
-            at = _children(open_.where(large).select("rid", "n", "node").join(sets.select("rid", "sig").hint("merge"), "rid"), level)
+            at = _children(open_.where(large).select("rid", "n", "node").join(sets.select("rid", "sig"), "rid"), level)
         leaf = leaves[0]
         for x in leaves[1:]:
             leaf = leaf.unionByName(x)
         blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("length") / NODE_SHINGLES))
         leaf = leaf.withColumn("blocks", blocks.cast("int"))
         whole = leaf.withColumn("block", F.pmod(F.xxhash64("rid", F.lit(3)), F.col("blocks")).cast("int")).withColumn("side", F.lit(0))
-        wide = written(leaf.where("blocks > 1"), "wide")
+        wide = written(leaf.where("blocks > 1").select("rid", "label", "node", "blocks"), "wide")
         pivots = wide.groupBy("node", "blocks").agg(F.min_by("label", "rid").alias("label"), F.min("rid").alias("rid"))
         pivots = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
         keep = ["rid", "label", "node", "block", "side"]
@@ -422,20 +476,10 @@ def _classes(docs: DataFrame, texts: DataFrame, width: int, percent: int, trees:
         labels = _merged(labels, found.unionByName(again) if labels is None else found)
         for x in used:
             discard(x)
-        if not wide.isEmpty():
-            # members of wide nodes that are still apart from the node's main class meet every block
-            wide = written(_relabelled(wide.drop("label"), labels), "wide")
-            main = wide.groupBy("node", "label").count().groupBy("node").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
-            wide = wide.join(main, "node")
-            apart = wide.where("label <> main").withColumn("part", F.pmod(F.xxhash64("rid", F.lit(5)), F.col("blocks")).cast("int"))
-            parts = apart.groupBy("node").agg(F.collect_set("part").alias("parts"))
-            cell = F.col("part") * F.col("blocks") + F.col("other")
-            meet = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block", cell).withColumn("side", F.lit(0))
-            hosts = wide.join(parts, "node").withColumn("part", F.explode("parts")).withColumn("other", F.pmod(F.xxhash64("rid", F.lit(3)), F.col("blocks")).cast("int"))
-            hosts = hosts.withColumn("block", cell).withColumn("side", F.lit(1))
-            labels = _merged(labels, _compared(texts, sets, meet.select(keep).unionByName(hosts.select(keep)), width, percent))
+        open_wide.append(wide)
+    labels = _wide_compared(texts, sets, open_wide[0].unionByName(open_wide[1]), labels, width, percent, block)
     named = _relabelled(sets.select("lo", "hi", "rid"), labels).select("lo", "hi", "label")
-    out = all_rows.drop("sig", "spread").join(named, ["lo", "hi"], "left").withColumn("component_id", F.coalesce("label", "doc_id"))
+    out = all_rows.drop("sig", "brief").join(named, ["lo", "hi"], "left").withColumn("component_id", F.coalesce("label", "doc_id"))
     lone = F.col("doc_id").isNull()
     return out.select("doc_id", "n_shingles", F.when(~lone, F.col("component_id")).alias("component_id"), (lone | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
 

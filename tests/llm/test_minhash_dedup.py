@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -74,7 +75,7 @@ def test_nulls_ties_empty(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
-def test_bound_loses_no_pair():
+def test_prefixes_lose_no_pair():
     r = np.random.default_rng(3)
     pool = r.integers(0, 1 << 63, 6000).astype(np.uint64) * np.uint64(2)
     sets = []
@@ -82,11 +83,27 @@ def test_bound_loses_no_pair():
         base = r.choice(pool, n, replace=False)
         for cut in (0, n // 10, n // 5, n // 2):
             sets.append(np.unique(np.concatenate([base[: n - cut], r.choice(pool, cut // 3 + 1)])))
-    sets.append(np.unique(np.concatenate([np.arange(400, dtype=np.uint64), sets[-4]])))  # more in a range than a byte holds
-    assert len(minhash_dedup.spread(sets[-1])) == 1
-    want = {(i, j) for i in range(len(sets)) for j in range(i) if minhash_dedup._linked(sets[i], sets[j], 80)}
-    found = {(max(i, j), min(i, j)) for i, near, both in minhash_dedup.Bound(np.array([len(s) for s in sets]), [minhash_dedup.spread(s) for s in sets], 80).pairs() for j, b in zip(near.tolist(), both) if b >= len(np.intersect1d(sets[i], sets[j]))}
-    assert len(want) > 5 and want <= found and len(found) < len(sets) ** 2 / 4
+    for percent in (50, 80, 95, 100):
+        want = {(i, j) for i in range(len(sets)) for j in range(i) if minhash_dedup._linked(sets[i], sets[j], percent)}
+        found = {(max(i, j), min(i, j)) for i, near in minhash_dedup.prefix_pairs(sets, percent) for j in near.tolist()}
+        assert want <= found and len(found) < len(sets) ** 2 / 4
+        assert percent != 80 or len(want) > 5
+
+
+def _template(r, n, own=60, shared=300):
+    base = [f"b{k}" for k in range(shared)]
+    return [(i, " ".join([*base, *(f"w{r.randrange(10**9)}" for _ in range(own))])) for i in range(n)]
+
+
+def test_pages_of_a_template_cost_no_pairs(spark):
+    """2,000 documents alike at 0.7: no link, and no comparison of all pairs in each tree."""
+    rows = _template(random.Random(8), 2000)
+    rows += [(5000 + i, t) for i, t in rows[:20]] + [(6000, rows[0][1] + " one more"), (6001, rows[1][1].replace("b0 ", ""))]
+    df = spark.createDataFrame([(i, t, "en", "x") for i, t in rows], SCHEMA)
+    began = time.time()
+    got = {x.doc_id: x.component_id for x in near_duplicates(df, width=4).collect()}
+    assert time.time() - began < 90
+    assert got == {**{i: i for i in range(2000)}, **{5000 + i: i for i in range(20)}, 6000: 0, 6001: 1}
 
 
 def test_small_sets(spark):
