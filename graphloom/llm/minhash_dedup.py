@@ -37,6 +37,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from math import comb
 
 import numpy as np
@@ -238,22 +239,55 @@ def _miss(levels: list[int], percent: int) -> float:
     return out
 
 
-def _close(cell: pa.Table, percent: int) -> pa.Table:
-    """The rows of a cell (rid, label, node, block, side, n, brief) with a partner apart
-    from them that may be linked by size and tokens."""
-    cell = cell.sort_by("n")
-    label, side, n = (cell.column(c).to_numpy() for c in ("label", "side", "n"))
-    brief = np.frombuffer(b"".join(cell.column("brief").to_pylist()), np.uint8).reshape(-1, POSITIONS)
-    ends = np.searchsorted(n, 100 * n // percent, "right")
-    hit = np.zeros(len(n), bool)
-    for i in range(len(n)):
-        j = slice(i + 1, int(ends[i]))
-        ok = (brief[j] == brief[i]).sum(1) >= AGREE
-        ok &= (label[j] != label[i]) & ((side[j] == 0) | (side[i] == 0))
-        if ok.any():
-            hit[i] = True
-            hit[j] |= ok
-    return cell.select(["rid", "label", "node", "block", "side"]).filter(pa.array(hit))
+def _groups(label: np.ndarray, side: np.ndarray, n: np.ndarray, brief: np.ndarray, percent: int) -> np.ndarray:
+    """For each member of a cell, in order of size, a number of the group that pairs hold
+    together which may be linked by size and tokens; brief has the positions as rows."""
+    ends = np.searchsorted(n, 100 * n // percent, "right").tolist()
+    group = np.arange(len(n))
+    for i in range(len(n) - 1):
+        if ends[i] > i + 1:
+            # equal bytes are added up over whole rows of members
+            same = (brief[:, i + 1 : ends[i]] == brief[:, i, None]).view(np.uint8).sum(axis=0, dtype=np.uint8)
+            near = i + 1 + np.flatnonzero(same >= AGREE)
+            near = near[(label[near] != label[i]) & ((side[near] == 0) | (side[i] == 0))] if len(near) else near
+            if len(near):
+                joined = np.unique(group[np.append(near, i)])
+                group[np.isin(group, joined)] = joined[0]
+    return group
+
+
+def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (rid, label, node, block, side, n, brief) in order of cells (node and block):
+    those with a partner apart from them in their cell that may be linked, in groups. A
+    group is named by its members, so that trees which bring the same ones together ask for
+    one comparison. Holds a batch and a cell."""
+    names = ("rid", "label", "side", "n", "node", "block")
+    held: list[np.ndarray] = []
+    for b in chain(batches, [None]):
+        if b is not None:
+            new = [b.column(c).to_numpy() for c in names] + [np.frombuffer(b"".join(b.column("brief").to_pylist()), np.uint8).reshape(-1, POSITIONS)]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+        if not held or not len(held[0]):
+            continue
+        rid, label, side, n, node, block, brief = held
+        edges = np.flatnonzero((node[1:] != node[:-1]) | (block[1:] != block[:-1])) + 1
+        starts = [0, *edges.tolist()] + ([len(rid)] if b is None else [])  # the last cell may go on in the next batch
+        out: list[tuple] = []
+        for lo, hi in zip(starts, starts[1:], strict=False):
+            if hi - lo < 2:
+                continue
+            by = lo + np.argsort(n[lo:hi], kind="stable")
+            group = _groups(label[by], side[by], n[by], np.ascontiguousarray(brief[by].T), percent)
+            for g in np.flatnonzero(np.bincount(group) > 1):
+                members = by[group == g]
+                members = members[np.lexsort((side[members], rid[members]))]
+                key = np.stack([rid[members], side[members]]).astype("<i8").tobytes()
+                out.append((members, int.from_bytes(xxhash.xxh3_64_digest(key), "big", signed=True)))
+        if out:
+            rows = np.concatenate([m for m, _ in out])
+            cells = np.repeat([k for _, k in out], [len(m) for m, _ in out])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rid[rows], label[rows], cells, side[rows])], ["rid", "label", "node", "side"])
+        held = [x[starts[-1] :] for x in held]
 
 
 def _prefix(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -300,7 +334,7 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _compare(cell: pa.Table, width: int, percent: int) -> pa.Table:
-    """One cell (node and block): rows rid, label, side, text; links of members apart.
+    """One group: rows rid, label, side, text; links of members apart.
 
     side 0: compared with all; side 1: with side 0 only. A rid has several texts if
     rows repeat a doc_id."""
@@ -348,11 +382,13 @@ def _compared(texts: DataFrame, sets: DataFrame, cells: DataFrame, width: int, p
     """Links (a, b) of members apart, for cells (rid, label, node, block, side); texts are
     in buckets of doc_id."""
     sketched = cells.join(sets.select("rid", "n", "brief"), "rid").select(*cells.columns, "n", "brief")
-    close = sketched.groupBy("node", "block").applyInArrow(lambda cell: _close(cell, percent), "rid long, label long, node long, block int, side int")
-    packed = written(close.groupBy("rid", "label").agg(F.collect_list(F.struct("node", "block", "side")).alias("at")), "cells")
+    # cells are many and small: whole partitions of them, in order
+    dealt = sketched.repartition("node", "block").sortWithinPartitions("node", "block", "rid", "side")
+    close = dealt.mapInArrow(lambda it: released(_close(it, percent)), "rid long, label long, node long, side int")
+    packed = written(close.groupBy("rid", "label").agg(F.collect_set(F.struct("node", "side")).alias("at")), "cells")
     # Spark broadcasts packed if its table is small (spark.sql.autoBroadcastJoinThreshold), else packed is shuffled to the buckets
     rows = texts.join(packed, texts["doc_id"] == packed["rid"]).select("rid", "label", "text", F.explode("at").alias("at")).select("rid", "label", "text", "at.*")
-    found = written(rows.groupBy("node", "block").applyInArrow(lambda cell: _compare(cell, width, percent), "a long, b long"), "found")
+    found = written(rows.groupBy("node").applyInArrow(lambda cell: _compare(cell, width, percent), "a long, b long"), "found")
     discard(packed)
     return found
 
@@ -410,7 +446,7 @@ def _wide_compared(texts: DataFrame, sets: DataFrame, wide: DataFrame, labels: D
 
 
 def near_duplicates(
-    docs: DataFrame, *, width: int = 5, percent: int = 80, trees: int = 2, small: int = 1024, depth: int = 3, block: int = 512
+    docs: DataFrame, *, width: int = 5, percent: int = 80, trees: int = 2, small: int = 1024, depth: int = 3, block: int = 1024
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
@@ -484,7 +520,7 @@ def _classes(docs: DataFrame, texts: DataFrame, width: int, percent: int, trees:
     return out.select("doc_id", "n_shingles", F.when(~lone, F.col("component_id")).alias("component_id"), (lone | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, *, width: int = 5, percent: int = 80, trees: int = 2, small: int = 1024, depth: int = 3, block: int = 512) -> DataFrame:
+def deduplicated(docs: DataFrame, *, width: int = 5, percent: int = 80, trees: int = 2, small: int = 1024, depth: int = 3, block: int = 1024) -> DataFrame:
     """The documents that near_duplicates keeps, with all their columns: one of each
     class (of rows that repeat a kept doc_id, one). Other columns may have any names."""
     names = docs.columns
