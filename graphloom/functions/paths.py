@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WILD = "{*}"
+# Fixed value: a segment that is a parameter.
 PARAMETER = r"^(\{[^}]*\}|:[A-Za-z_]\w*|\*)$"
 
 
@@ -50,6 +51,37 @@ def segments(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda s: s != "")
 
 
+def folded(parts: Column) -> Column:
+    """Segments without empty ones, . and .., which takes the one before away (at the top: none)."""
+    step = lambda acc, s: F.when(s.isin("", "."), acc).when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s)))
+    return F.aggregate(parts, F.array().cast("array<string>"), step)
+
+
+def folder(path: Column) -> Column:
+    """What stands before the last slash; empty without one."""
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+
+
+def resolved(base: Column, reference: Column) -> Column:
+    """A reference of a document at base as an absolute path without . and ..: references that
+    begin with a slash start at the top."""
+    whole = F.when(reference.startswith("/"), reference).otherwise(F.concat(folder(base), F.lit("/"), reference))
+    return F.concat(F.lit("/"), F.array_join(folded(F.split(whole, "/")), "/"))
+
+
+def resolved_url(base: Column, reference: Column) -> Column:
+    """A reference as a url, by the url of the page it is on: absolute ones as they are, //host
+    in the page's scheme, else below the page's host. A reference of a fragment alone keeps
+    the page's path and query, one of a query alone its path."""
+    origin, scheme = F.regexp_extract(base, r"^([A-Za-z][\w+.-]*://[^/?#]*)", 1), F.regexp_extract(base, r"^([A-Za-z][\w+.-]*:)", 1)
+    path = F.regexp_replace(F.substring(base, F.length(origin) + 1, F.length(base)), r"[?#].*$", "")
+    bare, tail = F.regexp_extract(reference, r"^([^?#]*)", 1), F.regexp_extract(reference, r"^[^?#]*(.*)$", 1)
+    slash = F.when(bare.rlike(r"(?:^|/)\.{0,2}$") & (resolved(path, bare) != "/"), "/").otherwise("")
+    below = F.concat(origin, F.when(bare == "", path).otherwise(F.concat(resolved(path, bare), slash)), tail)
+    kept = F.concat(F.regexp_replace(base, r"#.*$", ""), reference)
+    return F.when(reference.rlike(r"^(?:#|$)"), kept).when(reference.rlike(r"^[A-Za-z][\w+.-]*:"), reference).when(reference.startswith("//"), F.concat(scheme, reference)).otherwise(below)
+
+
 def snake_case(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2"))
 

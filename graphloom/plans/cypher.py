@@ -1,23 +1,30 @@
 """A read-only subset of the graph query language, compiled to DataFrames.
 
 A row is a row: node and relationship variables are struct columns, patterns are joins.
-Relationships of one MATCH are pairwise different; variable-length parts are bounded and
-walk trails. OPTIONAL MATCH, pattern predicates and CALL {} subqueries run over the
-distinct bound variables they use and are joined back to them. Clauses that write are
-rejected by the parser, wherever they stand, and only there: words in strings are text.
+Relationships of one MATCH are pairwise different. Variable-length parts start at the ids
+bound so far and walk on until nothing new is found, whatever the number of hops: trails
+where their number or their relationships matter, else pairs of ends by a semi-naive
+closure. OPTIONAL MATCH, pattern predicates, EXISTS {}, COUNT {} and CALL {} subqueries run
+over the distinct bound variables they use and are joined back to them; a predicate that
+doesn't stand alone becomes a column (how often it matched) that any expression may use.
+Clauses that write are rejected by the parser, wherever they stand, and only there: words
+in strings are text.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MOST_HOPS = 8
+from graphloom.plans.scratch import written
+
+LAZY_HOPS = 4
+"""Longer walks write each level to the shared folder, so that plans stay flat and a walk ends when nothing is new."""
 _TOKEN = re.compile(
     r"\s+|//[^\n]*|/\*.*?\*/|(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<num>\d+\.\d+(?:[eE][+-]?\d+)?|\d+)|(?P<par>\$\w+)"
     r"|(?P<name>[A-Za-z_]\w*|`[^`]+`)|(?P<op><=|>=|<>|=~|\.\.|[-+*/%^=<>()\[\]{}:,.|;])",
@@ -53,7 +60,8 @@ def tokens(text: str) -> list[Tok]:
 @dataclass
 class NodePart:
     var: str | None
-    labels: list[str]
+    labels: list[tuple[str, ...]]
+    """All of these must hold; of each the node has one label at least."""
     props: dict
 
 
@@ -63,7 +71,8 @@ class RelPart:
     types: list[str]
     props: dict
     direction: str
-    span: tuple[int, int] | None
+    span: tuple[int, int | None] | None
+    """Fewest and most hops (None: any number) of a variable-length part."""
 
 
 @dataclass
@@ -71,6 +80,7 @@ class Pattern:
     name: str | None
     nodes: list[NodePart]
     rels: list[RelPart]
+    shortest: bool = False
 
 
 @dataclass
@@ -123,10 +133,7 @@ class Parser:
             if self.at("MATCH", "OPTIONAL"):
                 optional = self.take("OPTIONAL")
                 self.need("MATCH")
-                patterns = [self.pattern()]
-                while self.take(","):
-                    patterns.append(self.pattern())
-                out.append(Clause("match", {"optional": optional, "patterns": patterns, "where": self.expr() if self.take("WHERE") else None}))
+                out.append(Clause("match", {"optional": optional, "patterns": self.patterns(), "where": self.expr() if self.take("WHERE") else None}))
             elif self.take("UNWIND"):
                 e = self.expr()
                 self.need("AS")
@@ -191,6 +198,13 @@ class Parser:
         if self.i + 1 < len(self.t) and self.t[self.i].kind == "name" and self.t[self.i + 1].text == "=":
             name = self.name()
             self.need("=")
+        if self.take("SHORTESTPATH"):
+            self.need("(")
+            inner = self.pattern()
+            self.need(")")
+            if len(inner.rels) != 1 or inner.rels[0].span is None or inner.rels[0].span[0] > 1:
+                raise CypherError("shortestPath takes one variable-length part of 0 or 1 hops and more")
+            return replace(inner, name=name, shortest=True)
         nodes, rels = [self.node()], []
         while self.at("-", "<"):
             rels.append(self.rel())
@@ -202,11 +216,24 @@ class Parser:
         var = self.name() if self.i < len(self.t) and self.t[self.i].kind == "name" else None
         labels = []
         while self.take(":"):
-            labels.append(self.name())
+            labels.append(self.label_group())
         props = self.map() if self.at("{") else {}
         self.need(")")
         return NodePart(var, labels, props)
 
+    def label_group(self) -> tuple[str, ...]:
+        group = [self.name()]
+        while self.take("|", "OR"):
+            self.take(":")
+            group.append(self.name())
+        return tuple(group)
+
+    def patterns(self) -> list[Pattern]:
+        out = [self.pattern()]
+        while self.take(","):
+            out.append(self.pattern())
+        return out
+
     def rel(self) -> RelPart:
         left = self.take("<")
         self.need("-")
@@ -222,9 +249,7 @@ class Parser:
             if self.take("*"):
                 lo = self.integer()
                 hi = self.integer() if self.take("..") else lo
-                span = (1 if lo is None else lo, MOST_HOPS if hi is None else hi)
-                if span[1] > MOST_HOPS:
-                    raise CypherError(f"at most {MOST_HOPS} hops")
+                span = (1 if lo is None else lo, hi)
             if self.at("{"):
                 props = self.map()
             self.need("]")
@@ -301,6 +326,8 @@ class Parser:
         while True:
             if self.take("."):
                 e = ("prop", e, self.name())
+            elif e[0] == "var" and self.take(":"):
+                e = ("labelled", e, self.name())
             elif self.take("["):
                 lo = None if self.at("..") else self.expr()
                 if self.take(".."):
@@ -327,7 +354,7 @@ class Parser:
             try:
                 p = self.pattern()
                 if p.rels:
-                    return ("pattern", p)
+                    return ("pattern", [p], None)
             except CypherError:
                 pass
             self.i = lo + 1
@@ -359,12 +386,10 @@ class Parser:
             return ("lit", {"TRUE": True, "FALSE": False, "NULL": None}[word.upper()])
         if word.upper() in ("EXISTS", "COUNT") and self.take("{"):
             self.take("MATCH")
-            p = self.pattern()
+            patterns = self.patterns()
             where = self.expr() if self.take("WHERE") else None
             self.need("}")
-            if word.upper() == "COUNT":
-                raise CypherError("COUNT {} isn't in the subset")
-            return ("pattern", p, where)
+            return ("pattern" if word.upper() == "EXISTS" else "matches", patterns, where)
         if self.take("("):
             f = word.lower()
             if f in ("any", "all", "none", "single"):
@@ -407,6 +432,27 @@ def _walk(e):
                     yield from _walk(z)
 
 
+def _marks(e) -> list:
+    """The pattern predicates and counts in an expression, not those inside them."""
+    if e[0] in ("pattern", "matches"):
+        return [e]
+    parts = [y for x in e[1:] for y in (x.values() if isinstance(x, dict) else x if isinstance(x, list) else [x])]
+    parts = [z for y in parts for z in (y if isinstance(y, tuple) and y and isinstance(y[0], tuple) else [y])]
+    return [m for z in parts if isinstance(z, tuple) and z and isinstance(z[0], str) for m in _marks(z)]
+
+
+def _repeats_matter(d: dict) -> bool:
+    """Whether a projection tells apart how often a row comes in."""
+    if d["distinct"]:
+        return any(_is_aggregate(x) and not _same_for_repeats(x) for e, _ in d["items"] for x in _walk(e))
+    found = [x for e, _ in d["items"] for x in _walk(e) if _is_aggregate(x)]
+    return not found or not all(map(_same_for_repeats, found))
+
+
+def _same_for_repeats(e) -> bool:
+    return e[2] or e[1] in ("min", "max")
+
+
 def _is_aggregate(e) -> bool:
     return e[0] == "call" and e[1] in AGGREGATES
 
@@ -525,6 +571,8 @@ class Engine:
             return (go(e[1]) / go(e[2])).cast("long") if whole else go(e[1]) / go(e[2])
         if op == "^":
             return F.pow(go(e[1]), go(e[2]))
+        if op == "labelled":
+            return self.has_label(go(e[1]), (e[2],))
         if op == "list":
             return F.array(*[go(x) for x in e[1]])
         if op == "map":
@@ -563,6 +611,12 @@ class Engine:
             return self.function(e, go, schema, local)
         raise CypherError(f"{op} can't stand here")
 
+    def has_label(self, node: Column | None, group: tuple[str, ...]) -> Column:
+        at = (lambda c: F.col(c)) if node is None else (lambda c: node[c])
+        if "labels" in self.node_fields:
+            return F.arrays_overlap(at("labels"), F.array(*[F.lit(x) for x in group]))
+        return at("label").isin(*group)
+
     def identity(self, e, c: Column, schema, local) -> Column:
         """Nodes compare by id, relationships by their ends and type."""
         k = self.kind(e, schema, local)
@@ -620,8 +674,8 @@ class Engine:
     def scan(self, part: NodePart, df: DataFrame | None = None) -> DataFrame:
         """Nodes that fit a part, as one struct column x."""
         n = self.n
-        for label in part.labels:
-            n = n.where(F.array_contains("labels", label) if "labels" in self.node_fields else F.col("label") == label)
+        for group in part.labels:
+            n = n.where(self.has_label(None, group))
         return self.with_props(n.select(F.struct(*self.node_fields).alias("x")), part.props)
 
     def with_props(self, n: DataFrame, props: dict) -> DataFrame:
@@ -639,55 +693,141 @@ class Engine:
         back = e.select(F.col("x.dst").alias("a"), F.col("x.src").alias("b"), "x")
         return {"out": out, "in": back, "both": out.unionByName(back.where("a <> b"))}[rel.direction]
 
-    def trails(self, rel: RelPart) -> DataFrame:
-        """(a, b, x, via): walks of a variable-length part; x is the array of its
-        relationships, via the ids on the way. A walk starts at every node for length 0."""
+    def trails(self, rel: RelPart, starts: DataFrame) -> DataFrame:
+        """(a, b, x, via): walks of a variable-length part from starts (a); x is the array of
+        its relationships, all different, via the ids on the way."""
         h = self.hops(rel)
-        key = lambda c: F.transform(c, lambda r: F.concat_ws("|", r["src"], r["type"], r["dst"]))
-        at = self.n.select(F.col("id").alias("a"), F.col("id").alias("b"), F.array().cast(T.ArrayType(h.schema["x"].dataType)).alias("x"), F.array().cast("array<string>").alias("via"))
-        out = at if rel.span[0] == 0 else None
-        for k in range(1, rel.span[1] + 1):
-            step = h.select(F.col("a").alias("b"), F.col("b").alias("to"), F.col("x").alias("r"))
-            at = at.join(step, "b").where(~F.array_contains(key(F.col("x")), F.concat_ws("|", F.col("r.src"), F.col("r.type"), F.col("r.dst"))))
+        step = h.select(F.col("a").alias("b"), F.col("b").alias("to"), F.col("x").alias("r"))
+        lo, hi = rel.span
+        flat = hi is None or hi > LAZY_HOPS
+        key = lambda r: F.concat_ws("|", r["src"], r["type"], r["dst"])
+        at = starts.select("a", F.col("a").alias("b"), F.array().cast(T.ArrayType(h.schema["x"].dataType)).alias("x"), F.array().cast("array<string>").alias("via"))
+        out = at if lo == 0 else at.limit(0)
+        k = 0
+        while hi is None or k < hi:
+            k += 1
+            at = at.join(step, "b").where(~F.array_contains(F.transform("x", key), key(F.col("r"))))
             at = at.select("a", F.col("to").alias("b"), F.concat("x", F.array("r")).alias("x"), F.concat("via", F.array("to")).alias("via"))
-            if k >= rel.span[0]:
-                out = at if out is None else out.unionByName(at)
+            if flat:
+                at = written(at, "trails")
+                if at.isEmpty():
+                    break
+            if k >= lo:
+                out = out.unionByName(at)
         return out
 
-    def match(self, df: DataFrame, patterns: list[Pattern], where) -> DataFrame:
+    def reachable(self, rel: RelPart, starts: DataFrame) -> DataFrame:
+        """(a, b): the pairs of ends that trails from starts (a) have, each once: every round
+        goes on from the pairs that the round before found."""
+        h = self.hops(rel).select(F.col("a").alias("b"), F.col("b").alias("to")).distinct()
+        lo, hi = rel.span
+        new = starts.select("a", F.col("a").alias("b"))
+        # a start is reached in 0 hops, or around a cycle
+        seen = new if lo == 0 else new.limit(0)
+        k = 0
+        while hi is None or k < hi:
+            k += 1
+            new = new.join(h, "b").select("a", F.col("to").alias("b")).distinct()
+            new = written(new.join(seen, ["a", "b"], "left_anti"), "pairs")
+            if new.isEmpty():
+                break
+            seen = seen.unionByName(new)
+        return seen
+
+    def shortest(self, rel: RelPart, starts: DataFrame, ends: DataFrame) -> DataFrame:
+        """(a, b, x, via): one shortest walk from each of starts (a) to each of ends (b) that it
+        reaches. Every pair keeps the relationship it was first reached by (of several the
+        least by the node before, type and ends), and walks are put together from the end."""
+        h = self.hops(rel).select(F.col("a").alias("b"), F.col("b").alias("to"), F.col("x").alias("r"))
+        lo, hi = rel.span
+        new = starts.select("a", F.col("a").alias("b"))
+        seen, levels, k = new, [], 0
+        while hi is None or k < hi:
+            k += 1
+            came = F.struct(F.col("b").alias("p"), F.col("r.type").alias("t"), F.col("r.src").alias("s"), F.col("r.dst").alias("d"))
+            new = new.join(h, "b").groupBy("a", "to").agg(F.min_by(F.struct("b", "r"), came).alias("last")).withColumnRenamed("to", "b")
+            new = written(new.join(seen, ["a", "b"], "left_anti"), "levels")
+            if new.isEmpty():
+                break
+            levels.append(new)
+            seen, new = seen.unionByName(new.select("a", "b")), new.select("a", "b")
+        rels, ids = T.ArrayType(self.hops(rel).schema["x"].dataType), "array<string>"
+        none = starts.select("a", F.col("a").alias("b"), F.array().cast(rels).alias("x"), F.array().cast(ids).alias("via"))
+        out = none.join(ends, "b", "left_semi") if lo == 0 else none.limit(0)
+        open_ = None  # walks (a, at, b, x, via) from a node on the way to their end
+        for level in reversed(levels):
+            reached = level.join(ends, "b", "left_semi").select("a", F.col("b").alias("at"), "b", F.array().cast(rels).alias("x"), F.array().cast(ids).alias("via"))
+            open_ = reached if open_ is None else open_.unionByName(reached)
+            last = level.select("a", F.col("b").alias("at"), "last")
+            open_ = written(open_.join(last, ["a", "at"]).select("a", F.col("last.b").alias("at"), "b", F.concat(F.array("last.r"), "x").alias("x"), F.concat(F.array("at"), "via").alias("via")), "walks")
+        return out if open_ is None else out.unionByName(open_.select("a", "b", "x", "via"))
+
+    def match(self, df: DataFrame, patterns: list[Pattern], where, repeats: bool = True) -> DataFrame:
+        """repeats: whether it matters how often a row is found."""
         used: list[tuple[str, bool]] = []  # columns of this MATCH's relationships, and whether they are arrays
+        every = [r for p in patterns for r in p.rels]
         for p in patterns:
-            df = self.chain(df, p, used)
+            # walks may stand for their ends where nothing can tell two of them apart
+            pairs = [] if repeats or p.name else [r for r in p.rels if self.ends_will_do(r, [x for x in every if x is not r])]
+            df = self.chain(df, p, used, [id(r) for r in pairs])
         if where is not None:
             df = self.filtered(df, where)
         return df.drop(*[c for c in df.columns if c.startswith("__v")])
 
-    def chain(self, df: DataFrame, p: Pattern, used: list) -> DataFrame:
+    def ends_will_do(self, rel: RelPart, others: list[RelPart]) -> bool:
+        """Whether reachable() stands for a part's trails, if repeats don't matter: no variable,
+        no other part that may use the same relationships, and every pair of ends with a walk
+        has a trail (not so for 2 hops and more, nor for undirected cycles)."""
+        apart = all(rel.types and o.types and not set(rel.types) & set(o.types) for o in others)
+        return rel.span is not None and rel.var is None and apart and rel.span[0] <= 1 and (rel.direction != "both" or rel.span[0] == 0)
+
+    def chain(self, df: DataFrame, p: Pattern, used: list, pairs: list[int] = ()) -> DataFrame:
         nodes, rels = list(p.nodes), list(p.rels)
-        flip = nodes[0].var not in df.columns and nodes[-1].var in df.columns
-        if flip:
-            nodes, rels = nodes[::-1], [RelPart(r.var, r.types, r.props, {"in": "out", "out": "in"}.get(r.direction, "both"), r.span) for r in rels[::-1]]
+        bound = lambda n: (n.var in df.columns, bool(n.props), bool(n.labels))
+        # from the end that is bound or narrower
+        if not p.shortest and bound(nodes[0]) < bound(nodes[-1]):
+            turned = [replace(r, direction={"in": "out", "out": "in"}.get(r.direction, "both")) for r in rels[::-1]]
+            pairs = [id(t) for t, r in zip(turned, rels[::-1], strict=True) if id(r) in pairs]
+            nodes, rels, flip = nodes[::-1], turned, True
+        else:
+            flip = False
         names = [n.var or self.new() for n in nodes]
         df = self.reach(df, nodes[0], names[0], None)
         at_rel: list[str] = []
+        vias: list[tuple[str, bool]] = []
         for k, rel in enumerate(rels):
             name = rel.var or self.new()
             a, b, x, via = (self.new() for _ in range(4))
-            walk = self.hops(rel).withColumn("via", F.array("b")) if rel.span is None else self.trails(rel)
+            if rel.span is None:
+                walk = self.hops(rel).withColumn("via", F.array("b"))
+            else:
+                starts = written(df.select(F.col(f"`{names[k]}`")["id"].alias("a")).where("a is not null").distinct(), "starts")
+                if p.shortest:
+                    end = nodes[k + 1].var
+                    ends = df.select(F.col(f"`{end}`")["id"].alias("b")) if end in df.columns else self.scan(nodes[k + 1]).select(F.col("x.id").alias("b"))
+                    walk = self.shortest(rel, starts, written(ends.distinct(), "ends"))
+                elif id(rel) in pairs:
+                    walk = self.reachable(rel, starts).withColumn("x", F.array().cast(T.ArrayType(T.StructType(self.e.schema.fields)))).withColumn("via", F.array().cast("array<string>"))
+                else:
+                    walk = self.trails(rel, starts)
             walk = walk.select(F.col("a").alias(a), F.col("b").alias(b), F.col("x").alias(x), F.col("via").alias(via))
             if rel.var and rel.var in df.columns:
                 raise CypherError(f"{rel.var} is bound already")
             df = df.join(walk, F.col(f"`{names[k]}`")["id"] == F.col(a)).withColumnRenamed(x, name)
-            for other, many in used:
-                df = df.where(self.disjoint(name, rel.span is not None, other, many))
-            used.append((name, rel.span is not None))
+            if id(rel) not in pairs:
+                for other, many in used:
+                    df = df.where(self.disjoint(name, rel.span is not None, other, many))
+                used.append((name, rel.span is not None))
             at_rel.append(name)
+            vias.append((via, rel.span is not None))
             df = self.reach(df, nodes[k + 1], names[k + 1], b)
         if p.name:
             arrays = [F.col(f"`{n}`") if r.span else F.array(F.col(f"`{n}`")) for n, r in zip(at_rel, rels, strict=True)]
-            ids = [F.array(F.struct(F.col(f"`{n}`")["id"].alias("id"))) for n in names]
-            both = F.struct(F.concat(*ids).alias("nodes"), (F.concat(*arrays) if arrays else F.array()).alias("rels"))
-            df = df.withColumn(p.name, both)
+            some = F.col(f"`{names[0]}`")["id"]
+            ids = F.concat(F.array(some), *[F.col(via) for via, _ in vias])
+            walked = F.concat(*arrays) if arrays else F.array()
+            ids, walked = (F.reverse(ids), F.reverse(walked)) if flip else (ids, walked)
+            df = df.withColumn(p.name, F.struct(F.transform(ids, lambda i: F.struct(i.alias("id"))).alias("nodes"), walked.alias("rels")))
         return df
 
     def disjoint(self, a: str, many_a: bool, b: str, many_b: bool) -> Column:
@@ -700,9 +840,8 @@ class Engine:
         if name in df.columns:
             if at is not None:
                 df = df.where(F.col(f"`{name}`")["id"] == F.col(at))
-            for label in part.labels:
-                c = F.col(f"`{name}`")
-                df = df.where(F.array_contains(c["labels"], label) if "labels" in self.node_fields else c["label"] == label)
+            for group in part.labels:
+                df = df.where(self.has_label(F.col(f"`{name}`"), group))
             for key, e in part.props.items():
                 df = df.where(self.col(("prop", ("var", name), key), df) == self.col(e, df))
             return df
@@ -717,16 +856,34 @@ class Engine:
         no = e[0] == "NOT"
         p = e[1] if no else e
         if p[0] == "pattern":
-            return self.semi(df, p[1], p[2] if len(p) > 2 else None, "left_anti" if no else "left_semi")
-        if any(x[0] == "pattern" for x in _walk(e)):
-            raise CypherError("a pattern predicate stands alone, after NOT or between ANDs")
-        return df.where(self.col(e, df))
-
-    def semi(self, df: DataFrame, p: Pattern, where, how: str) -> DataFrame:
-        vars_ = {n.var for n in p.nodes} | ({x[1] for x in _walk(where) if x[0] == "var"} if where else set())
-        keys = [c for c in df.columns if c in vars_]
-        found = self.match(self.distinct(df, keys), [p], where)
-        return self.back(df, found, keys, [], how)
+            keys, found = self.found(df, p, repeats=False)
+            return self.back(df, found, keys, [], "left_anti" if no else "left_semi")
+        cols = df.columns
+        df, given = self.marked(df, [e])
+        return df.where(self.col(e, df, given=given)).select(*[f"`{c}`" for c in cols])
+
+    def found(self, df: DataFrame, mark, repeats: bool) -> tuple[list[str], DataFrame]:
+        """The bound variables that a predicate uses, and what it matches for their values."""
+        _, patterns, where = mark
+        used = {n.var for p in patterns for n in p.nodes} | {x[1] for x in (_walk(where) if where else ()) if x[0] == "var"}
+        used |= {n.var for m in (_marks(where) if where else ()) for p in m[1] for n in p.nodes}
+        keys = [c for c in df.columns if c in used]
+        return keys, self.match(self.distinct(df, keys), patterns, where, repeats)
+
+    def marked(self, df: DataFrame, exprs: list) -> tuple[DataFrame, dict]:
+        """df with a column for each pattern predicate or count in some expressions, and the
+        columns that stand for them: how often each matches, by one left join each."""
+        given: dict = {}
+        for m in [m for e in exprs for m in _marks(e)]:
+            if repr(m) in given:
+                continue
+            keys, found = self.found(df, m, repeats=m[0] == "matches")
+            n, names = self.new(), [self.new() for _ in keys]
+            counts = found.groupBy(*[self.key(found, c).alias(k) for c, k in zip(keys, names, strict=True)]) if keys else found
+            counts = counts.agg(*[F.any_value(F.col(f"`{c}`")).alias(c) for c in keys], F.count(F.lit(1)).alias(n)).drop(*names)
+            df = self.back(df, counts, keys, [n], "left")
+            given[repr(m)] = F.coalesce(F.col(n), F.lit(0)) if m[0] == "matches" else F.coalesce(F.col(n), F.lit(0)) > 0
+        return df, given
 
     def key(self, df: DataFrame, c: str) -> Column:
         return self.identity(("var", c), F.col(f"`{c}`"), df.schema, {})
@@ -753,14 +910,16 @@ class Engine:
 
     def run(self, clauses: list[Clause], df: DataFrame | None = None) -> DataFrame:
         df = self.spark.range(1).select(F.col("id").alias("__v")) if df is None else df
-        for c in clauses:
+        for at, c in enumerate(clauses):
             d = c.data
+            then = next((x for x in clauses[at + 1 :] if x.kind != "match"), None)
+            repeats = then is None or then.kind != "project" or _repeats_matter(then.data)
             if c.kind == "match" and not d["optional"]:
-                df = self.match(df, d["patterns"], d["where"])
+                df = self.match(df, d["patterns"], d["where"], repeats)
             elif c.kind == "match":
                 vars_ = {x for p in d["patterns"] for x in [*(n.var for n in p.nodes), *(r.var for r in p.rels)]} | ({x[1] for x in _walk(d["where"]) if x[0] == "var"} if d["where"] else set())
                 keys = [x for x in df.columns if x in vars_]
-                found = self.match(self.distinct(df, keys), d["patterns"], d["where"])
+                found = self.match(self.distinct(df, keys), d["patterns"], d["where"], repeats)
                 df = self.back(df, found, keys, [x for x in found.columns if x not in df.columns], "left")
             elif c.kind == "unwind":
                 df = df.select("*", F.explode(self.col(d["expr"], df)).alias(d["as"]))
@@ -799,13 +958,14 @@ class Engine:
         items = ([(("var", c), c) for c in df.columns if not c.startswith("__v")] if d["star"] else []) + d["items"]
         order = [(e, down, self.new()) for e, down in d["order"]]
         names = {n for _, n in items}
+        df, marks = self.marked(df, [e for e, _ in items])
         grouped = any(_is_aggregate(x) for e, _ in items for x in _walk(e))
         if grouped:
             keys = [(e, self.new()) for e, _ in items if not any(_is_aggregate(x) for x in _walk(e))]
             calls = {repr(x): (x, self.new()) for e in [e for e, _ in items] + [e for e, _, _ in order] for x in _walk(e) if _is_aggregate(x)}
             given, by, more = {}, [], []
             for e, n in keys:
-                c = self.col(e, df)
+                c = self.col(e, df, given=marks)
                 k = self.kind(e, df.schema, {})
                 if isinstance(k, T.StructType) and ("id" in k.names or "src" in k.names):
                     by.append(self.identity(e, c, df.schema, {}).alias(n))
@@ -816,11 +976,11 @@ class Engine:
                     by.append(c.alias(n))
                     given[repr(e)] = F.col(n)
             for text, (e, n) in calls.items():
-                more.append(self.col(e, df).alias(n))
+                more.append(self.col(e, df, given=marks).alias(n))
                 given[text] = F.col(n)
             df = df.groupBy(*by).agg(*more) if by else df.agg(*more)
         else:
-            given = {}
+            given = marks
         out = [self.col(e, df, given=given).alias(n) for e, n in items]
         extra = [] if d["distinct"] else [self.col(e, df, given=given).alias(t) for e, _, t in order if not (e[0] == "var" and e[1] in names)]
         df = df.select(*out, *extra)

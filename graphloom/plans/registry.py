@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graphloom.functions import paths
 from graphloom.operators import community, derive, linker, search, sequence, traverse, upsert, views
 from graphloom.plans import cypher, testgraph
+from graphloom.plans.ontology import NODES
+from graphloom.plans.scratch import scratch_path
 from graphloom.plans.testgraph import CTE, table
 from graphloom.sources import documents as docs_source
 from graphloom.sources import files as file_source
@@ -277,6 +280,47 @@ def stale_nodes(spark, sf):
     return upsert.stale(old.withColumn("stack", F.lit("java")), new, "p", "java").select("id")
 
 
+def _saved_twice(spark, sf):
+    """A graph of documents that is saved, then loaded, brought up to date by a document of its
+    java stack and saved in the same place."""
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang", F.when(F.col("doc_id") % 3 == 0, "angular").otherwise("java").alias("stack"))
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def nodes(d, hash_, name, summary):
+        text = lambda c: c.cast("string")
+        rows = {"project": F.lit("p"), "id": text(F.col("doc_id")), "name": name, "label": F.lit("Class"), "labels": F.array(F.lit("Class")), "stack": F.col("stack"), "hash": hash_, "props": F.create_map(F.lit("lang"), F.coalesce("lang", F.lit(""))), "summary": summary}
+        return d.select(*[(rows[f.name] if f.name in rows else none(f.dataType)).alias(f.name) for f in StructType.fromDDL(NODES).fields])
+
+    def links(d, step):
+        e = d.select(F.lit("p").alias("project"), F.col("doc_id").cast("string").alias("src"), F.lit("CALLS").alias("type"), (F.col("doc_id") + step).cast("string").alias("dst"), none("map<string,string>").alias("props"))
+        return e.join(d.select(F.col("doc_id").cast("string").alias("dst")), "dst", "left_semi").select("project", "src", "type", "dst", "props")
+
+    path = scratch_path(spark, "graph")
+    docs_source.save_graph(nodes(d, F.sha2("text", 256), F.col("lang"), F.concat(F.lit("s"), F.col("doc_id"))), links(d, 1).unionByName(links(d, 3)), path)
+    new = d.where("stack = 'java' and doc_id % 5 <> 0")
+    changed = F.sha2(F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256)
+    e = new.select(F.lit("p").alias("project"), F.col("doc_id").cast("string").alias("src"), F.lit("CALLS").alias("type"), (F.col("doc_id") + 2).cast("string").alias("dst"), none("map<string,string>").alias("props"))
+    old = docs_source.load_graph(spark, path, "p")
+    n, e, _ = upsert.ingest(*old, nodes(new, changed, F.when(F.col("doc_id") % 2 == 0, F.upper("lang")), none("string")), e, "p", "java")
+    docs_source.save_graph(n, e, path, only="p")
+    return docs_source.load_graph(spark, path)
+
+
+_SAVED = """WITH d AS (SELECT doc_id AS i, *, doc_id % 3 <> 0 AS java FROM documents), kept AS (SELECT i FROM d WHERE java AND i % 5 <> 0) """
+
+
+@query(_SAVED + """SELECT i::VARCHAR AS id, CASE WHEN java AND i % 2 = 0 THEN upper(lang) ELSE lang END AS name, sha256(CASE WHEN java AND i % 4 = 0 THEN text || '!' ELSE text END) AS hash, CASE WHEN java AND i % 4 = 0 THEN NULL ELSE 's' || i END AS summary
+FROM d WHERE NOT java OR i IN (SELECT i FROM kept)""")
+def upsert_saved_nodes(spark, sf):
+    return _saved_twice(spark, sf)[0].select("id", "name", "hash", "summary")
+
+
+@query(_SAVED + """SELECT a.i::VARCHAR AS src, 'CALLS' AS type, b.i::VARCHAR AS dst FROM d a JOIN d b ON b.i = a.i + 3 WHERE NOT a.java
+UNION ALL SELECT a.i::VARCHAR, 'CALLS', b.i::VARCHAR FROM kept a JOIN kept b ON b.i = a.i + 2""")
+def upsert_saved_edges(spark, sf):
+    return _saved_twice(spark, sf)[1].select("src", "type", "dst")
+
+
 @query(f"WITH {CTE}, present AS (SELECT id FROM nodes WHERE label <> 'supplier' OR id LIKE '%1') SELECT src, type, dst FROM edges WHERE type = 'IN_REGION' OR src NOT IN (SELECT id FROM present) OR dst NOT IN (SELECT id FROM present)")
 def dangling_edges(spark, sf):
     nodes, edges = _graph(spark, sf)
@@ -335,14 +379,26 @@ def scenario_coverage_top3(spark, sf):
 # Search and source text
 
 
-@query("""WITH t AS (SELECT DISTINCT doc_id AS id, 'text' AS field, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS token FROM documents UNION SELECT DISTINCT doc_id, 'source', unnest(regexp_split_to_array(lower(source), '[^a-z0-9]+')) FROM documents),
+_PREFIX_AND = """WITH t AS (SELECT DISTINCT doc_id AS id, 'text' AS field, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS token FROM documents UNION SELECT DISTINCT doc_id, 'source', unnest(regexp_split_to_array(lower(source), '[^a-z0-9]+')) FROM documents),
 h AS (SELECT DISTINCT id, field, term FROM t JOIN (VALUES ('ther'), ('src1')) q(term) ON starts_with(token, term))
-SELECT id, score FROM (SELECT id, count(DISTINCT term) AS terms, count(*)::BIGINT AS score FROM h GROUP BY id) WHERE terms = 2 ORDER BY score DESC, id LIMIT 25""")
+SELECT id, score FROM (SELECT id, count(DISTINCT term) AS terms, count(*)::BIGINT AS score FROM h GROUP BY id) WHERE terms = 2 ORDER BY score DESC, id LIMIT 25"""
+
+
+@query(_PREFIX_AND)
 def search_prefix_and(spark, sf):
     n = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source")
     return search.search(n, "ther SRC1", 25, fields=("text", "source"))
 
 
+@query(_PREFIX_AND)
+def search_saved_index(spark, sf):
+    """The index of a half of the texts, brought up to date and searched."""
+    n = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    old = n.where("id % 2 = 0").unionByName(n.where("id % 10 = 1").withColumn("text", F.lit("thermal thermos")))
+    index = search.SavedIndex(spark, scratch_path(spark, "index")).update(old, ("text", "source"))
+    return index.update(n, ("text", "source")).search("ther SRC1", 25)
+
+
 @query("SELECT p_partkey AS id, 1e0 AS score FROM part WHERE contains(lower(p_name), 'ar') OR contains(lower(p_type), 'ar') ORDER BY p_partkey LIMIT 25")
 def search_fallback(spark, sf):
     n = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("fqn"))
@@ -412,8 +468,44 @@ _cypher("cypher_optional_coalesce", "MATCH (c:customer) OPTIONAL MATCH (o:order)
         f"WITH {CTE} SELECT c.id, count(o.id)::BIGINT AS orders, CASE WHEN count(o.id) > 10 THEN 'many' ELSE 'few' END AS size FROM nodes c LEFT JOIN (SELECT o.id, e.dst FROM nodes o JOIN edges e ON e.src = o.id AND e.type = 'PLACED_BY' WHERE o.name = 'F') o ON o.dst = c.id WHERE c.label = 'customer' GROUP BY c.id")
 _cypher("cypher_var_length", "MATCH (r:region {id: 'region:1'})<-[:IN_REGION|IN_NATION*1..2]-(x) RETURN x.label AS label, count(DISTINCT x.id) AS n",
         f"WITH {CTE}, w AS (SELECT src FROM edges WHERE dst = 'region:1' UNION SELECT b.src FROM edges a JOIN edges b ON b.dst = a.src AND b.type = 'IN_NATION' WHERE a.dst = 'region:1') SELECT n.label, count(*)::BIGINT AS n FROM w JOIN nodes n ON n.id = w.src GROUP BY n.label")
-_cypher("cypher_not_exists", "MATCH (c:customer) WHERE NOT (:order)-[:PLACED_BY]->(c) RETURN c.id AS id",
-        f"WITH {CTE} SELECT id FROM nodes c WHERE label = 'customer' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.type = 'PLACED_BY' AND e.dst = c.id)")
+_cypher("cypher_not_exists", "MATCH (c:customer) WHERE NOT (:order {name: 'P'})-[:PLACED_BY]->(c) RETURN c.id AS id",
+        f"WITH {CTE} SELECT id FROM nodes c WHERE label = 'customer' AND NOT EXISTS (SELECT 1 FROM edges e JOIN nodes o ON o.id = e.src WHERE e.type = 'PLACED_BY' AND o.name = 'P' AND e.dst = c.id)")
+_cypher("cypher_pattern_or", "MATCH (p:part) WHERE (p)-[:SUPPLIED_BY]->(:supplier {id: 'supplier:3'}) OR NOT (EXISTS { (o:order)-[:CONTAINS]->(p) WHERE o.name = 'O' } AND p.name CONTAINS 'a') RETURN p.id AS id, EXISTS { (p)-[:SUPPLIED_BY]->() } AS supplied",
+        f"""WITH {CTE} SELECT id, id IN (SELECT src FROM edges WHERE type = 'SUPPLIED_BY') AS supplied FROM nodes WHERE label = 'part' AND (id IN (SELECT src FROM edges WHERE type = 'SUPPLIED_BY' AND dst = 'supplier:3')
+  OR NOT (id IN (SELECT e.dst FROM edges e JOIN nodes o ON o.id = e.src WHERE e.type = 'CONTAINS' AND o.name = 'O') AND contains(name, 'a')))""")
+_cypher("cypher_count_block", "MATCH (s:supplier) WHERE COUNT { (s)<-[:SUPPLIED_BY]-(p) } % 2 = 0 OR COUNT { (s)-[:IN_NATION]->(n) WHERE n.name STARTS WITH 'A' } = 1 RETURN s.id AS id, COUNT { (s)<-[:SUPPLIED_BY]-(:part)<-[:CONTAINS]-(o:order) } AS orders",
+        f"""WITH {CTE}, parts AS (SELECT dst AS id, count(*) AS k FROM edges WHERE type = 'SUPPLIED_BY' GROUP BY dst), sold AS (SELECT a.dst AS id, count(*) AS k FROM edges a JOIN edges b ON b.dst = a.src AND b.type = 'CONTAINS' WHERE a.type = 'SUPPLIED_BY' GROUP BY a.dst)
+  SELECT s.id, coalesce(sold.k, 0)::BIGINT AS orders FROM nodes s LEFT JOIN parts ON parts.id = s.id LEFT JOIN sold ON sold.id = s.id WHERE s.label = 'supplier'
+  AND (coalesce(parts.k, 0) % 2 = 0 OR s.id IN (SELECT e.src FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.type = 'IN_NATION' AND starts_with(n.name, 'A')))""")
+_cypher("cypher_label_alternation", "MATCH (x:customer or supplier)-[:IN_NATION]->(n:nation|region) WHERE n:nation AND NOT x:region RETURN x.label AS label, n.name AS nation, count(*) AS k",
+        f"WITH {CTE} SELECT x.label, n.name AS nation, count(*)::BIGINT AS k FROM edges e JOIN nodes x ON x.id = e.src JOIN nodes n ON n.id = e.dst WHERE e.type = 'IN_NATION' GROUP BY ALL")
+_cypher("cypher_unbounded", "MATCH (r:region {id: 'region:1'})<-[*]-(x) RETURN x.label AS label, count(DISTINCT x.id) AS n, min(x.id) AS first",
+        f"WITH RECURSIVE {CTE}, w(id) AS (SELECT src FROM edges WHERE dst = 'region:1' UNION SELECT e.src FROM w JOIN edges e ON e.dst = w.id) SELECT n.label, count(*)::BIGINT AS n, min(n.id) AS first FROM w JOIN nodes n ON n.id = w.id GROUP BY n.label")
+_cypher("cypher_unbounded_trails", "MATCH (p:part)-[:SUPPLIED_BY|IN_NATION|IN_REGION*2..]->(x) WHERE p.name CONTAINS 'e' RETURN p.id AS id, x.id AS other, count(*) AS trails",
+        f"""WITH RECURSIVE {CTE}, steps AS (SELECT src, dst FROM edges WHERE type IN ('SUPPLIED_BY', 'IN_NATION', 'IN_REGION')), w(id, at, k) AS (SELECT id, id, 0 FROM nodes WHERE label = 'part' AND contains(name, 'e') UNION ALL SELECT w.id, s.dst, k + 1 FROM w JOIN steps s ON s.src = w.at)
+  SELECT id, at AS other, count(*)::BIGINT AS trails FROM w WHERE k >= 2 GROUP BY 1, 2""")
+
+
+def _shortest_sql(steps: int) -> str:
+    """Levels of a search from every part to the regions: the least node before wins."""
+    parts = ["l0 AS (SELECT id AS a, id AS b, NULL AS p FROM nodes WHERE label = 'part')"]
+    for k in range(1, steps + 1):
+        seen = " UNION ALL ".join(f"SELECT a, b FROM l{i}" for i in range(k))
+        parts.append(f"l{k} AS (SELECT l.a, e.dst AS b, min(l.b) AS p FROM l{k - 1} l JOIN edges e ON e.src = l.b AND e.type IN ('SUPPLIED_BY', 'IN_NATION', 'IN_REGION') WHERE (l.a, e.dst) NOT IN ({seen}) GROUP BY 1, 2)")
+    walks = []
+    for k in range(1, steps + 1):
+        joins = " ".join(f"JOIN l{i} ON l{i}.a = l{k}.a AND l{i}.b = l{i + 1}.p" for i in range(k - 1, -1, -1))
+        ids = ", ".join(f"l{i}.b" for i in range(k + 1))
+        walks.append(f"SELECT l{k}.a AS id, l{k}.b AS region, {k}::INT AS hops, array_to_string([{ids}], ' ') AS way FROM l{k} {joins} WHERE l{k}.b LIKE 'region:%'")
+    return f"WITH {CTE}, {', '.join(parts)} {' UNION ALL '.join(walks)}"
+
+
+@query(_shortest_sql(4))
+def cypher_shortest_path(spark, sf):
+    text = "MATCH w = shortestPath((p:part)-[:SUPPLIED_BY|IN_NATION|IN_REGION*]->(r:region)) RETURN p.id AS id, r.id AS region, length(w) AS hops, [n IN nodes(w) | n.id] AS way"
+    return cypher.run(spark, *_graph(spark, sf), text).withColumn("way", F.array_join("way", " "))
+
+
 _cypher("cypher_with_unwind", "MATCH (s:supplier)-[:IN_NATION]->(n) WITH n, collect(DISTINCT s.id) AS ids, count(*) AS k WHERE k >= 2 UNWIND ids AS id RETURN n.name AS nation, id, k",
         f"WITH {CTE}, g AS (SELECT n.name, list(DISTINCT e.src) AS ids, count(*)::BIGINT AS k FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.type = 'IN_NATION' AND starts_with(e.src, 'supplier') GROUP BY n.id, n.name HAVING count(*) >= 2) SELECT name AS nation, unnest(ids) AS id, k FROM g")
 _cypher("cypher_union", "MATCH (n:nation) WHERE n.name STARTS WITH 'A' RETURN n.name AS x UNION MATCH (r:region) RETURN r.name AS x",

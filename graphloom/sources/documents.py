@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from graphloom.plans.ontology import EDGES, LABELS, NODES, STACKS
+from graphloom.sources.store import BUCKETS, Store
 
 _NODE = "struct<id:string,label:string,fqn:string,name:string,filePath:string,startLine:int,endLine:int,hash:string,props:map<string,string>>"
 _EDGE = "struct<source:string,target:string,type:string,props:map<string,string>>"
@@ -44,33 +44,32 @@ def document_edges(documents: DataFrame, last_wins: bool = False) -> DataFrame:
     return e.groupBy("project", "src", "type", "dst").agg(pick(F.struct("props"), "ord").alias("r")).select("project", "src", "type", "dst", "r.props")
 
 
-def save_graph(nodes: DataFrame, edges: DataFrame, path: str, whole: bool = False) -> None:
-    """Writes a snapshot, partitioned by project. Only the projects at hand are replaced;
-    whole: partitions of projects that have no such rows any more are deleted too."""
-    spark = nodes.sparkSession
-    for name, df in (("nodes", nodes), ("edges", edges)):
-        kept = [r[0] for r in df.select("project").distinct().collect()] if whole else []  # one row a project
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(f"{path}/{name}")
-        if whole:
-            names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-            folders = {f"project={names.getPartitionPathString('project', p).split('=', 1)[1]}" for p in kept}
-            top = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-            fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-            for status in fs.listStatus(top):
-                if status.getPath().getName().startswith("project=") and status.getPath().getName() not in folders:
-                    fs.delete(status.getPath(), True)
+PROJECTS = "name string, lastIngestedAt string, javaRoot string, angularRoot string"
+TABLES = {
+    "nodes": (NODES, ["project", "id"], "project", ["id"]),
+    "edges": (EDGES, ["project", "src", "type", "dst"], "project", ["src"]),
+    "projects": (PROJECTS, ["name"], None, ["name"]),
+}
 
 
-def load_graph(spark: SparkSession, path: str, project: str | None = None) -> tuple[DataFrame, DataFrame]:
-    n, e = (spark.read.schema(kind).parquet(f"{path}/{name}").select(*StructType.fromDDL(kind).names) for name, kind in (("nodes", NODES), ("edges", EDGES)))
-    return (n, e) if project is None else (n.where(F.col("project") == project), e.where(F.col("project") == project))
+def graph_store(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Store:
+    """The saved graph at path; buckets: parts of a project, settled by the first commit."""
+    return Store(spark, path, TABLES, buckets)
+
 
+def save_graph(nodes: DataFrame, edges: DataFrame, path: str, projects: DataFrame | None = None, only: str | None = None) -> dict[str, dict[str, int]]:
+    """Makes nodes, edges and projects (if given) the live version at path in one step: only
+    buckets with rows that differ are written, and the plans may read what is saved there.
+    only: the rows are those of one project, others stay. Returns what was inserted,
+    updated and deleted in each table."""
+    new = {"nodes": nodes, "edges": edges.dropDuplicates(TABLES["edges"][1])} | ({} if projects is None else {"projects": projects})
+    return graph_store(nodes.sparkSession, path).commit(new, only)
 
-def load_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A saved table, empty where there is none yet."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+def load_graph(spark: SparkSession, path: str, project: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The live nodes and edges at path (none before the first save), of one project or of all."""
+    store = graph_store(spark, path)
+    return store.read("nodes", project), store.read("edges", project)
 
 
 def source_slice(files: DataFrame, spans: DataFrame, context: int = 0, most: int = 20_000, numbered: bool = False) -> DataFrame:

@@ -1,17 +1,16 @@
 """Project files: scans, stack detection, deployment and dependency descriptions.
 
-Files are read with Spark's binaryFile source, so that any store Spark reads will do. YAML
-needs a parser and runs in Arrow batches; the rest are column expressions.
+Files are read with Spark's binaryFile source, so that any store Spark reads will do. What
+they say is read by column expressions alone (YAML: functions/yaml_paths.py).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.yaml_paths import yaml_paths
+
 # Folders that no scan enters.
 SKIPPED = (".git", "node_modules", "target", "build", "dist", ".angular")
 _SKIP = "/(?:" + "|".join(x.replace(".", r"\.") for x in SKIPPED) + ")/"
@@ -49,82 +48,74 @@ def detect_stacks(files: DataFrame, depth: int = 4) -> DataFrame:
     return java.unionByName(angular).withColumn("level", level).where(F.col("level") <= depth).groupBy("stack").agg(F.min_by("root", F.struct("level", "root")).alias("root"))
 
 
-_SERVICE = "filePath string, name string, image string, ports array<string>, depends array<string>, kind string"
-
+def yaml_rows(files: DataFrame) -> DataFrame:
+    """filePath, doc, ord, path, value of every scalar in YAML files (filePath, text)."""
+    return files.select("filePath", F.posexplode(yaml_paths(F.col("text"))).alias("ord", "r")).select("filePath", "r.doc", "ord", "r.path", "r.value")
 
-def _compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import yaml
 
-    for b in batches:
-        rows = []
-        for path, text in zip(b["filePath"], b["text"], strict=True):
-            try:
-                services = (yaml.safe_load(text) or {}).get("services") or {}
-            except (yaml.YAMLError, AttributeError):
-                continue
-            for name, s in services.items():
-                s = s if isinstance(s, dict) else {}
-                rows.append((path, str(name), str(s.get("image") or ""), [str(p) for p in s.get("ports") or []], [str(d) for d in s.get("depends_on") or []], "service"))
-        yield pd.DataFrame(rows, columns=["filePath", "name", "image", "ports", "depends", "kind"])
+def _at(*keys: str | None) -> Column:
+    """path begins with these keys; None stands for any one."""
+    out = F.size("path") >= len(keys)
+    for i, k in enumerate(keys):
+        if k is not None:
+            out &= F.get("path", F.lit(i)) == k
+    return out
 
 
-def compose_services(files: DataFrame) -> DataFrame:
-    """Services of compose files: name, image, ports, depends. Files that don't parse give none."""
-    return files.where(F.col("filePath").rlike(r"(?:^|/)(?:docker-)?compose[^/]*\.ya?ml$")).mapInPandas(_compose, _SERVICE)
+def _first(when: Column) -> Column:
+    return F.min_by(F.when(when, F.col("value")), F.when(when, F.col("ord")))
 
 
-# Kinds that are deployments.
-KINDS = ("Deployment", "StatefulSet", "DaemonSet", "Service")
+def _all(when: Column, value: Column) -> Column:
+    """The values where when holds, in order."""
+    return F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("ord", value.alias("v"))))), lambda x: x["v"])
 
 
-def _k8s(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import yaml
+# Names of compose files, and folders whose YAML files are compose files.
+COMPOSE = r"(?:^|/)(?:docker-compose[^/]*|compose)\.ya?ml$|(?:^|/)docker/[^/]*\.ya?ml$"
 
-    for b in batches:
-        rows = []
-        for path, text in zip(b["filePath"], b["text"], strict=True):
-            try:
-                docs = list(yaml.safe_load_all(text))
-            except yaml.YAMLError:
-                continue
-            for d in docs:
-                if isinstance(d, dict) and d.get("kind") in KINDS:
-                    pod = ((d.get("spec") or {}).get("template") or {}).get("spec") or {}
-                    image = next((str(c.get("image") or "") for c in pod.get("containers") or []), "")
-                    rows.append((path, str((d.get("metadata") or {}).get("name") or ""), image, [], [], d["kind"]))
-        yield pd.DataFrame(rows, columns=["filePath", "name", "image", "ports", "depends", "kind"])
 
+def compose_services(files: DataFrame) -> DataFrame:
+    """filePath, name, image, container, ports, depends of the services in compose files. A
+    service has at least one key with a value."""
+    rows = yaml_rows(files.where(F.col("filePath").rlike(COMPOSE))).where(_at("services", None, None) & (F.col("doc") == 0))
+    key, deep = F.get("path", F.lit(2)), F.size("path")
+    # depends_on: a sequence of names, or a mapping whose keys are names
+    item = F.get("path", F.lit(3)).startswith("-") & (deep == 4)
+    got = rows.withColumn("name", F.get("path", F.lit(1))).groupBy("filePath", "name").agg(
+        _first((key == "image") & (deep == 3)).alias("image"), _first((key == "container_name") & (deep == 3)).alias("container"),
+        _all((key == "ports") & item, F.col("value")).alias("ports"), F.array_distinct(_all((key == "depends_on") & (deep > 3), F.when(item, F.col("value")).otherwise(F.get("path", F.lit(3))))).alias("depends"),
+    )
+    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return got.select("filePath", "name", empty("image"), empty("container"), "ports", "depends")
 
-def k8s_objects(files: DataFrame) -> DataFrame:
-    """Deployments and services of YAML manifests with the first container's image."""
-    return files.where(F.col("filePath").rlike(r"\.ya?ml$") & F.col("text").contains("kind:")).mapInPandas(_k8s, _SERVICE)
 
+# Kinds that are deployments.
+KINDS = ("Deployment", "StatefulSet", "DaemonSet", "Service")
 
-_SETTING = "filePath string, url string, username string, driver string, application string"
 
+def k8s_objects(files: DataFrame) -> DataFrame:
+    """filePath, doc, kind, name, image of deployments and services in YAML manifests, with the
+    image of the first container that has one. Compose and application files aren't manifests."""
+    other = F.col("filePath").rlike(COMPOSE) | F.col("filePath").rlike(r"docker-compose[^/]*$|(?:^|/)application[^/]*$")
+    rows = yaml_rows(files.where(F.col("filePath").rlike(r"\.ya?ml$") & ~other & F.col("text").contains("kind:")))
+    image = _at("spec", "template", "spec", "containers", None, "image") & (F.size("path") == 6)
+    got = rows.groupBy("filePath", "doc").agg(_first(_at("kind") & (F.size("path") == 1)).alias("kind"), _first(_at("metadata", "name") & (F.size("path") == 2)).alias("name"), _first(image).alias("image"))
+    return got.where(F.col("kind").isin(*KINDS)).select("filePath", "doc", "kind", F.coalesce("name", F.lit("unnamed")).alias("name"), F.coalesce("image", F.lit("")).alias("image"))
 
-def _spring(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import yaml
 
-    for b in batches:
-        rows = []
-        for path, text in zip(b["filePath"], b["text"], strict=True):
-            try:
-                spring = (yaml.safe_load(text) or {}).get("spring") or {}
-            except (yaml.YAMLError, AttributeError):
-                continue
-            ds = spring.get("datasource") or {}
-            rows.append((path, ds.get("url"), ds.get("username"), ds.get("driver-class-name"), (spring.get("application") or {}).get("name")))
-        yield pd.DataFrame(rows, columns=["filePath", "url", "username", "driver", "application"]).astype(object)
+# Settings that describe a datasource and its application.
+SETTINGS = {"url": "spring.datasource.url", "username": "spring.datasource.username", "driver": "spring.datasource.driver-class-name", "application": "spring.application.name"}
 
 
 def application_settings(files: DataFrame) -> DataFrame:
-    """Datasource url, user, driver and the application's name from application.yml and .properties."""
-    yml = files.where(F.col("filePath").rlike(r"(?:^|/)application[^/]*\.ya?ml$")).mapInPandas(_spring, _SETTING)
+    """filePath, url, username, driver, application from application.yml and .properties."""
+    rows = yaml_rows(files.where(F.col("filePath").rlike(r"(?:^|/)application[^/]*\.ya?ml$"))).where("doc = 0")
+    name = F.array_join("path", ".")
+    yml = rows.groupBy("filePath").agg(*[_first(name == key).alias(n) for n, key in SETTINGS.items()])
     p = files.where(F.col("filePath").rlike(r"(?:^|/)application[^/]*\.properties$"))
     value = lambda key: F.nullif(F.trim(F.regexp_extract("text", rf"(?m)^\s*{key}\s*=(.*)$", 1)), F.lit(""))
-    keys = {"url": r"spring\.datasource\.url", "username": r"spring\.datasource\.username", "driver": r"spring\.datasource\.driver-class-name", "application": r"spring\.application\.name"}
-    return yml.unionByName(p.select("filePath", *[value(k).alias(n) for n, k in keys.items()]))
+    return yml.unionByName(p.select("filePath", *[value(k.replace(".", r"\.")).alias(n) for n, k in SETTINGS.items()]))
 
 
 def proxy_targets(files: DataFrame) -> DataFrame:
