@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.plans.scratch import written
+
 COVERED = (("route", "Route"), ("component", "Component"), ("apicall", "API"), ("endpoint", "Endpoint"), ("entity", "Entity"), ("table", "Table"))
 
 
-def closure(starts: DataFrame, hops: DataFrame, most: int) -> DataFrame:
-    """(a, b): b is reached from a start a over 0 to most hops (a, b)."""
-    at = starts.select(F.col("id").alias("a"), F.col("id").alias("b")).distinct()
-    out, front = at, at
+def _follow(rows: DataFrame, step: DataFrame) -> DataFrame:
+    """(route, id) one step (a, b) further."""
+    return rows.join(step.select(F.col("a").alias("id"), F.col("b").alias("next")), "id").select("route", F.col("next").alias("id")).distinct()
+
+
+def walked(rows: DataFrame, step: DataFrame, most: int) -> DataFrame:
+    """(route, id) of rows and of what 0 to most steps (a, b) reach from there; a round goes on
+    from what the round before found."""
+    seen = front = rows
     for _ in range(most):
-        front = front.join(hops.select(F.col("a").alias("b"), F.col("b").alias("next")), "b").select("a", F.col("next").alias("b")).distinct()
-        out = out.unionByName(front)
-    return out.distinct()
+        front = written(_follow(front, step).join(seen, ["route", "id"], "left_anti"), "walk")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
 
 
 def trace(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -27,23 +36,19 @@ def trace(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         e = edges.where(F.col("type") == t).select(F.col("src").alias("a"), F.col("dst").alias("b"))
         return e.join(of(a).withColumnRenamed("id", "a"), "a", "left_semi").join(of(b).withColumnRenamed("id", "b"), "b", "left_semi")
 
-    def follow(rows: DataFrame, step: DataFrame) -> DataFrame:
-        return rows.join(step.select(F.col("a").alias("id"), F.col("b").alias("next")), "id").select("route", F.col("next").alias("id")).distinct()
-
+    leg = lambda rows, *types: written(_follow(rows, hop(*types)), "leg")  # noqa: E731  each is read again by the next and by the result
     routes = of("Route").select(F.col("id").alias("route"), "id")
-    first = follow(routes, hop("NAVIGATES_TO", "Route", "Component"))
-    comps = follow(first, closure(of("Component"), hop("RENDERS", "Component", "Component"), 2))
+    comps = walked(leg(routes, "NAVIGATES_TO", "Route", "Component"), hop("RENDERS", "Component", "Component"), 2)
     calls = hop("CALLS", "Method", "Method")
-    methods = follow(follow(comps, hop("DECLARES", "Component", "Method")), closure(of("Method"), calls, 3))
-    api = follow(methods, hop("MAKES_CALL", "Method", "ApiCall"))
-    endpoints = follow(api, hop("INVOKES_API", "ApiCall", "Endpoint"))
-    server = follow(follow(endpoints, hop("HANDLED_BY", "Endpoint", "Method")), closure(of("Method"), calls, 4))
+    api = leg(walked(leg(comps, "DECLARES", "Component", "Method"), calls, 3), "MAKES_CALL", "Method", "ApiCall")
+    endpoints = leg(api, "INVOKES_API", "ApiCall", "Endpoint")
+    server = walked(leg(endpoints, "HANDLED_BY", "Endpoint", "Method"), calls, 4)
     owned = hop("DECLARES", "Repository", "Method").select(F.col("b").alias("a"), F.col("a").alias("b"))
-    entities = follow(follow(server, owned), hop("MANAGES", "Repository", "Entity"))
     maps = hop("MAPS_TO", "Entity", "Table")
-    entities = entities.join(maps.select(F.col("a").alias("id")), "id", "left_semi")  # an entity counts with its table
+    entities = _follow(_follow(server, owned), hop("MANAGES", "Repository", "Entity")).join(maps.select(F.col("a").alias("id")), "id", "left_semi")  # an entity counts with its table
+    entities = written(entities, "leg")
     out = None
-    for role, part in (("route", routes), ("component", comps), ("apicall", api), ("endpoint", endpoints), ("entity", entities), ("table", follow(entities, maps))):
+    for role, part in (("route", routes), ("component", comps), ("apicall", api), ("endpoint", endpoints), ("entity", entities), ("table", _follow(entities, maps))):
         part = part.select("route", F.lit(role).alias("role"), "id")
         out = part if out is None else out.unionByName(part)
     return out

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from graphloom.functions import paths
-from graphloom.operators import community, derive, linker, search, sequence, traverse, upsert, views
+from graphloom.operators import community, derive, linker, resolve, scenarios, search, sequence, traverse, upsert, views
 from graphloom.plans import cypher, testgraph
 from graphloom.plans.ontology import NODES
 from graphloom.plans.scratch import scratch_path
-from graphloom.plans.testgraph import CTE, table
+from graphloom.plans.testgraph import APP_CTE, CTE, table
 from graphloom.sources import documents as docs_source
 from graphloom.sources import files as file_source
 
@@ -359,21 +359,61 @@ def hosts_cross(spark, sf):
 
 # Scenarios
 
-@query("""SELECT r_regionkey, count(DISTINCT n_nationkey)::BIGINT AS nations, count(DISTINCT c_custkey)::BIGINT AS customers, count(DISTINCT o_orderkey)::BIGINT AS orders
-FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY r_regionkey""")
+def _app(spark, sf):
+    return testgraph.app_nodes(spark, sf), testgraph.app_edges(spark, sf)
+
+
+def _follow(frm: str, to: str, kind: str, more: str = "") -> str:
+    return f"{to} AS (SELECT DISTINCT f.route, e.dst AS id FROM {frm} f JOIN edges e ON e.src = f.id AND e.type = '{kind}'{more})"
+
+
+def _closed(frm: str, to: str, kind: str, most: int) -> str:
+    steps = []
+    for k in range(1, most + 1):
+        steps.append(_follow(frm if k == 1 else f"{to}{k - 1}", f"{to}{k}", kind))
+    return ", ".join([*steps, f"{to} AS ({' UNION '.join(f'SELECT route, id FROM {x}' for x in [frm, *(f'{to}{k}' for k in range(1, most + 1))])})"])
+
+
+_TRACE = f"""WITH {APP_CTE}, routes AS (SELECT id AS route, id FROM nodes WHERE label = 'Route'), {_follow('routes', 'firsts', 'NAVIGATES_TO')}, {_closed('firsts', 'comps', 'RENDERS', 2)},
+{_follow('comps', 'own', 'DECLARES')}, {_closed('own', 'meths', 'CALLS', 3)}, {_follow('meths', 'apis', 'MAKES_CALL')}, {_follow('apis', 'ends', 'INVOKES_API')},
+{_follow('ends', 'handlers', 'HANDLED_BY')}, {_closed('handlers', 'servers', 'CALLS', 4)},
+repos AS (SELECT DISTINCT s.route, e.src AS id FROM servers s JOIN edges e ON e.dst = s.id AND e.type = 'DECLARES' AND e.src LIKE 'repo:%'), {_follow('repos', 'ents', 'MANAGES')}, {_follow('ents', 'tabs', 'MAPS_TO')},
+traced AS (SELECT route, 'route' AS role, id FROM routes UNION ALL SELECT route, 'component', id FROM comps UNION ALL SELECT route, 'apicall', id FROM apis UNION ALL SELECT route, 'endpoint', id FROM ends UNION ALL SELECT route, 'entity', id FROM ents UNION ALL SELECT route, 'table', id FROM tabs)
+"""
+
+
+@query(_TRACE + "SELECT route, role, count(*)::BIGINT AS n, min(id) AS first, max(id) AS last FROM traced GROUP BY route, role")
 def scenario_trace(spark, sf):
-    r, n, c, o = (table(spark, sf, t) for t in ("region", "nation", "customer", "orders"))
-    j = r.join(n, n["n_regionkey"] == r["r_regionkey"], "left").join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    # orders are counted by customer first: a leg is reduced before it multiplies the others
-    per = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count_distinct("o_orderkey").alias("k"))
-    return j.join(per, "c_custkey", "left").groupBy("r_regionkey").agg(F.count_distinct("n_nationkey").alias("nations"), F.count_distinct("c_custkey").alias("customers"), F.coalesce(F.sum("k"), F.lit(0)).alias("orders"))
+    return scenarios.trace(*_app(spark, sf)).groupBy("route", "role").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
+@query(_TRACE + "SELECT 'system:scenario:p:' || n.name AS src, t.id AS dst, t.role FROM traced t JOIN nodes n ON n.id = t.route WHERE t.role <> 'apicall'")
+def scenario_covers(spark, sf):
+    n, e = _app(spark, sf)
+    return scenarios.build_scenarios(n, scenarios.trace(n, e), "p")[1].where("role <> 'apicall'")
+
+
+_COLLAPSED = """hops AS (
+  SELECT DISTINCT o.src, 'CALLS' AS type, p.src AS dst FROM edges o JOIN edges c ON c.src = o.dst AND c.type = 'CALLS' JOIN edges p ON p.dst = c.dst AND p.type = 'DECLARES' WHERE o.type = 'DECLARES' AND o.src <> p.src
+  UNION SELECT DISTINCT o.src, 'MAKES_CALL', m.dst FROM edges o JOIN edges m ON m.src = o.dst AND m.type = 'MAKES_CALL' WHERE o.type = 'DECLARES')"""
+
+
+@query(f"""WITH {APP_CTE}, {_COLLAPSED}, n AS (SELECT id FROM nodes WHERE label IN ('Controller', 'Service', 'Component', 'Endpoint', 'Entity', 'DTO', 'Repository', 'ApiCall', 'Route', 'Dependency'))
+SELECT src, type, dst, false AS collapsed FROM edges WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)
+UNION ALL SELECT src, type, dst, true FROM hops WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n) AND (src, type, dst) NOT IN (SELECT (src, type, dst) FROM edges)""")
+def view_logical(spark, sf):
+    """The logical preset, whole: owner to owner and owner to call, through methods."""
+    return views.view_subgraph(*_app(spark, sf), "logical")[1]
+
+
+@query(f"WITH {APP_CTE} SELECT src, type, dst, false AS collapsed FROM edges WHERE type IN ('CALLS', 'HANDLED_BY', 'MAKES_CALL', 'INVOKES_API')")
+def view_callgraph(spark, sf):
+    return views.view_subgraph(*_app(spark, sf), "callgraph")[1]
 
 
 @query(f"WITH {CTE} SELECT src AS scenario, count(*)::BIGINT AS covered FROM edges WHERE type = 'CONTAINS' GROUP BY src ORDER BY covered DESC, src LIMIT 3")
 def scenario_coverage_top3(spark, sf):
-    from graphloom.operators.scenarios import top_scenarios
-
-    return top_scenarios(testgraph.edges(spark, sf).where("type = 'CONTAINS'"), 3)
+    return scenarios.top_scenarios(testgraph.edges(spark, sf).where("type = 'CONTAINS'"), 3)
 
 
 # Search and source text
@@ -482,8 +522,8 @@ _cypher("cypher_label_alternation", "MATCH (x:customer or supplier)-[:IN_NATION]
 _cypher("cypher_unbounded", "MATCH (r:region {id: 'region:1'})<-[*]-(x) RETURN x.label AS label, count(DISTINCT x.id) AS n, min(x.id) AS first",
         f"WITH RECURSIVE {CTE}, w(id) AS (SELECT src FROM edges WHERE dst = 'region:1' UNION SELECT e.src FROM w JOIN edges e ON e.dst = w.id) SELECT n.label, count(*)::BIGINT AS n, min(n.id) AS first FROM w JOIN nodes n ON n.id = w.id GROUP BY n.label")
 _cypher("cypher_unbounded_trails", "MATCH (p:part)-[:SUPPLIED_BY|IN_NATION|IN_REGION*2..]->(x) WHERE p.name CONTAINS 'e' RETURN p.id AS id, x.id AS other, count(*) AS trails",
-        f"""WITH RECURSIVE {CTE}, steps AS (SELECT src, dst FROM edges WHERE type IN ('SUPPLIED_BY', 'IN_NATION', 'IN_REGION')), w(id, at, k) AS (SELECT id, id, 0 FROM nodes WHERE label = 'part' AND contains(name, 'e') UNION ALL SELECT w.id, s.dst, k + 1 FROM w JOIN steps s ON s.src = w.at)
-  SELECT id, at AS other, count(*)::BIGINT AS trails FROM w WHERE k >= 2 GROUP BY 1, 2""")
+        f"""WITH RECURSIVE {CTE}, steps AS (SELECT src, dst FROM edges WHERE type IN ('SUPPLIED_BY', 'IN_NATION', 'IN_REGION')), w(id, last, k) AS (SELECT id, id, 0 FROM nodes WHERE label = 'part' AND contains(name, 'e') UNION ALL SELECT w.id, s.dst, k + 1 FROM w JOIN steps s ON s.src = w.last)
+  SELECT id, last AS other, count(*)::BIGINT AS trails FROM w WHERE k >= 2 GROUP BY 1, 2""")
 
 
 def _shortest_sql(steps: int) -> str:
@@ -514,13 +554,138 @@ _cypher("cypher_undirected", "MATCH (n:nation {id: 'nation:4'})-[r]-(m) RETURN t
         f"WITH {CTE} SELECT t, n.label, count(*)::BIGINT AS k FROM (SELECT type AS t, dst AS m FROM edges WHERE src = 'nation:4' UNION ALL SELECT type, src FROM edges WHERE dst = 'nation:4') JOIN nodes n ON n.id = m GROUP BY t, n.label")
 _cypher("cypher_aggregates", "MATCH (n) RETURN n.label AS label, min(n.id) AS first, max(size(n.name)) AS longest, avg(size(n.name)) AS mean",
         f"WITH {CTE} SELECT label, min(id) AS first, max(length(name))::INT AS longest, avg(length(name)) AS mean FROM nodes GROUP BY label")
-_cypher("cypher_list_ops", "UNWIND [1, 2, 3, 4] AS x WITH x WHERE x % 2 = 0 OR x IN [3] RETURN x, [y IN [x, x + 1, x * 2] WHERE y > 2 | y * 10][0] AS first, reduce(s = 0, y IN [x, x] | s + y) AS twice",
-        "SELECT x, CASE WHEN x > 2 THEN x * 10 WHEN x + 1 > 2 THEN (x + 1) * 10 END AS first, 2 * x AS twice FROM (VALUES (2), (3), (4)) v(x)")
+_cypher("cypher_list_ops", "MATCH (n:nation) WITH n.id AS id, size(n.name) AS x WHERE x % 2 = 0 OR x IN [5] RETURN id, x, [y IN [x, x + 1, x * 2] WHERE y > 8 | y * 10][0] AS first, reduce(s = 0, y IN [x, x] | s + y) AS twice",
+        f"WITH {CTE} SELECT id, x::INT AS x, (CASE WHEN x > 8 THEN x * 10 WHEN x + 1 > 8 THEN (x + 1) * 10 WHEN x * 2 > 8 THEN x * 20 END)::INT AS first, (2 * x)::BIGINT AS twice FROM (SELECT id, length(name) AS x FROM nodes WHERE label = 'nation') WHERE x % 2 = 0 OR x = 5")
 
 
-# Sources on the text tables
+# Sources on texts made from the tables
 
-@query()
+
+def _files(rows: DataFrame, path, text) -> DataFrame:
+    return rows.select(path.alias("filePath"), text.alias("text"))
+
+
+@query("""SELECT p_partkey || '/pom.xml' AS "filePath", 'org.' || lower(p_name) AS "groupId", p_brand AS "artifactId", CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size::VARCHAR END AS version, CASE WHEN p_partkey % 2 = 0 THEN 'test' END AS scope FROM part""")
 def maven_dependencies(spark, sf):
-    pom = "<project><dependencyManagement><dependencies><dependency><groupId>m</groupId><artifactId>x</artifactId></dependency></dependencies></dependencyManagement><dependencies><dependency><groupId>org.a</groupId><artifactId>b</artifactId><scope>test</scope></dependency></dependencies></project>"
-    return file_source.pom_dependencies(spark.createDataFrame([("pom.xml", pom)], "filePath string, text string"))
+    """A pom for every part: its own dependency beside managed and commented ones."""
+    p = table(spark, sf, "part")
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+    own = F.concat(tag("groupId", F.concat(F.lit("org."), F.lower("p_name"))), F.lit("\n  "), tag("artifactId", F.col("p_brand")), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(tag("version", F.col("p_size").cast("string"))), F.when(F.col("p_partkey") % 2 == 0, tag("scope", F.lit("test"))).otherwise(""))
+    other = "<dependencyManagement><dependencies><dependency><groupId>m</groupId><artifactId>x</artifactId></dependency></dependencies></dependencyManagement><!-- <dependency><groupId>c</groupId><artifactId>y</artifactId></dependency> -->"
+    text = F.concat(F.lit(f"<project>{other}<dependencies><dependency>"), own, F.lit("</dependency></dependencies></project>"))
+    return file_source.pom_dependencies(_files(p, F.concat(F.col("p_partkey").cast("string"), F.lit("/pom.xml")), text))
+
+
+@query("""SELECT s_suppkey || '/docker-compose.yml' AS "filePath", x.name, CASE WHEN x.name = 'db' THEN 'postgres:' || s_nationkey ELSE '' END AS image, CASE WHEN x.name = 'db' THEN 'c' || s_suppkey ELSE '' END AS container,
+  CASE WHEN x.name = 'db' THEN (5400 + s_nationkey) || ':5432,' || s_suppkey ELSE '' END AS ports, CASE WHEN x.name = 'db' THEN '' WHEN s_suppkey % 2 = 0 THEN 'db,q' ELSE 'db' END AS depends FROM supplier, (VALUES ('db'), ('api')) x(name)""")
+def compose_rows(spark, sf):
+    """A compose file for every supplier, in block and in flow form."""
+    s = table(spark, sf, "supplier")
+    n, k = F.col("s_nationkey").cast("string"), F.col("s_suppkey").cast("string")
+    needs = F.when(F.col("s_suppkey") % 2 == 0, "    depends_on: [db, 'q']").otherwise("    depends_on:\n      db:\n        condition: up")
+    text = F.concat(F.lit("version: 3\nservices:\n  db:  # one\n    image: postgres:"), n, F.lit("\n    container_name: \"c"), k, F.lit("\"\n    ports:\n    - "), (F.lit(5400) + F.col("s_nationkey")).cast("string"), F.lit(":5432\n    - "), k, F.lit("\n  api:\n"), needs, F.lit("\n"))
+    got = file_source.compose_services(_files(s, F.concat(k, F.lit("/docker-compose.yml")), text))
+    return got.withColumn("ports", F.array_join("ports", ",")).withColumn("depends", F.array_join("depends", ","))
+
+
+@query("""SELECT p_partkey || '/k8s.yaml' AS "filePath", x.doc, x.kind, CASE WHEN x.doc = 0 THEN p_brand ELSE 'unnamed' END AS name, CASE WHEN x.doc = 0 THEN lower(p_brand) || ':' || p_size ELSE '' END AS image FROM part, (VALUES (0, 'Deployment'), (2, 'Service')) x(doc, kind)""")
+def manifest_rows(spark, sf):
+    """A manifest file of three documents for every part."""
+    p = table(spark, sf, "part")
+    text = F.concat(F.lit("kind: Deployment\nmetadata: {name: "), F.col("p_brand"), F.lit("}\nspec:\n  template:\n    spec:\n      containers:\n        - name: a\n          image: "), F.lower("p_brand"), F.lit(":"), F.col("p_size").cast("string"), F.lit("\n---\nkind: ConfigMap\n---\nkind: Service\n"))
+    return file_source.k8s_objects(_files(p, F.concat(F.col("p_partkey").cast("string"), F.lit("/k8s.yaml")), text))
+
+
+@query("""SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'postgresql' WHEN 1 THEN 'h2' WHEN 2 THEN 'sqlserver' ELSE 'mysql' END AS vendor, CASE c_custkey % 4 WHEN 1 THEN '' ELSE 'h' || c_nationkey END AS host,
+  CASE c_custkey % 4 WHEN 0 THEN (5000 + c_nationkey)::VARCHAR WHEN 2 THEN '1433' ELSE '' END AS port, lower(c_mktsegment) || c_custkey AS dbname, 'app' || c_custkey AS application FROM customer""")
+def datasource_rows(spark, sf):
+    """Settings of every customer's application, half of them as properties, and their urls' parts."""
+    c = table(spark, sf, "customer")
+    k, n = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    db = F.concat(F.lower("c_mktsegment"), k)
+    url = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("${DB:jdbc:postgresql://h"), n, F.lit(":"), (F.lit(5000) + F.col("c_nationkey")).cast("string"), F.lit("/"), db, F.lit("?ssl=true}"))).when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("jdbc:h2:mem:"), db, F.lit(";MODE=x")))
+    url = url.when(F.col("c_custkey") % 4 == 2, F.concat(F.lit("jdbc:sqlserver://h"), n, F.lit(":1433;databaseName="), db)).otherwise(F.concat(F.lit("jdbc:mysql://u@h"), n, F.lit(",other/"), db))
+    yml = F.concat(F.lit("spring:\n  application:\n    name: app"), k, F.lit("\n  datasource: {url: \""), url, F.lit("\", username: u}\n"))
+    plain = F.concat(F.lit("# x\nspring.application.name = app"), k, F.lit("\nspring.datasource.url="), url, F.lit("\n"))
+    even = F.col("c_custkey") % 8 < 4
+    got = file_source.application_settings(_files(c, F.concat(k, F.lit("/application"), F.when(even, ".yml").otherwise(".properties")), F.when(even, yml).otherwise(plain)))
+    parts = derive.jdbc_parts(derive.resolve_placeholders(F.col("url")))
+    return got.select(F.substring_index("filePath", "/", 1).cast("long").alias("id"), parts.alias("p"), "application").select("id", "p.*", "application")
+
+
+# What references, routes and expressions stand for
+
+_PAGE = "regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) AS origin, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z]+://[^/?#]*', '') AS path"
+
+
+@query(f"""WITH p AS (SELECT page_id, html, {_PAGE}, url FROM pages), d AS (SELECT *, list_filter(string_split(path, '/')[:-2], lambda x: x <> '') AS dir FROM p),
+h AS (SELECT DISTINCT page_id, origin, dir, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS h FROM d)
+SELECT page_id, h AS reference, origin || h AS target FROM h
+UNION ALL SELECT page_id, '.' || h, origin || '/' || array_to_string(list_concat(dir, [h[2:]]), '/') FROM h
+UNION ALL SELECT page_id, '..' || h, origin || '/' || array_to_string(list_concat(dir[:-2], [h[2:]]), '/') FROM h""")
+def href_targets(spark, sf):
+    """Every reference of every page, as it is and made relative, against its page's url."""
+    p = table(spark, sf, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("h")).distinct()
+    r = p.select("page_id", "url", F.explode(F.array("h", F.concat(F.lit("."), "h"), F.concat(F.lit(".."), "h"))).alias("reference"))
+    return r.select("page_id", "reference", paths.resolved_url(F.col("url"), F.col("reference")).alias("target"))
+
+
+@query(rf"""WITH p AS (SELECT page_id, string_split(path, '/')[2] AS lang, regexp_extract(path, '^/[^/]*/(\d+)', 1) AS n, CASE WHEN ends_with(path, '.html') THEN regexp_replace(path, '\.html$', '.ts') WHEN ends_with(path, '/') THEN path || 'index.ts' ELSE path END AS f FROM (SELECT page_id, {_PAGE} FROM pages)),
+c AS (SELECT page_id, x.k, CASE x.k WHEN 1 THEN '/' || lang || '/' || n WHEN 2 THEN '/' || lang || '/' || n || '.ts' ELSE '/' || lang || '/' || n || '/index.ts' END AS f FROM p, (VALUES (1), (2), (3)) x(k))
+SELECT c.page_id AS ref, min_by(c.f, k) AS "filePath" FROM c WHERE f IN (SELECT f FROM p) GROUP BY c.page_id""")
+def page_specifiers(spark, sf):
+    """Pages as modules: each one's specifier, relative or by an alias, and the file it means."""
+    path = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"^[A-Za-z]+://[^/?#]*", "")
+    p = table(spark, sf, "pages").select("page_id", path.alias("path"))
+    lang, n = F.regexp_extract("path", "^/([^/]*)", 1), F.regexp_extract("path", r"^/[^/]*/(\d+)", 1)
+    name = F.when(F.col("path").endswith(".html"), F.regexp_replace("path", r"\.html$", ".ts")).when(F.col("path").endswith("/"), F.concat("path", F.lit("index.ts"))).otherwise(F.col("path"))
+    spec = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("./../x/../"), lang, F.lit("/"), n)).otherwise(F.concat(F.lit("@pages/"), lang, F.lit("/./"), n))
+    refs = p.select(F.col("page_id").alias("ref"), F.concat(F.lit("/"), lang, F.lit("/from")).alias("fromFile"), spec.alias("spec"))
+    return resolve.specifiers(refs, p.select(name.alias("filePath")).distinct(), spark.createDataFrame([("@pages/", "/"), ("@", "/none/")], "prefix string, target string"))
+
+
+@query("""WITH t AS (SELECT 'r' || r_regionkey AS id, r_name AS path, r_regionkey AS ord FROM region UNION ALL SELECT 'n' || n_nationkey, r_name || '/' || n_name, n_nationkey FROM nation JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT 'c' || c_custkey, r_name || '/' || n_name || '/' || lower(c_mktsegment), c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT 'o' || o_orderkey, r_name || '/' || n_name || '/' || lower(c_mktsegment) || '/' || o_orderkey, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
+k AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ord, id) AS n FROM t)
+SELECT id, path, 'route:' || path || CASE WHEN n > 1 THEN '#' || n ELSE '' END AS fqn, CASE WHEN id LIKE 'o%' AND ord % 10 = 0 THEN (SELECT x.id FROM k x WHERE x.n = 1 AND x.path = regexp_replace(k.path, '/[^/]*$', '')) END AS target FROM k""")
+def route_paths(spark, sf):
+    """Orders below customers, nations and regions as routes; every tenth redirects to its parent's path."""
+    t = lambda name: table(spark, sf, name)
+    row = lambda df, a, key, up, b, seg, to=F.lit(None): df.select(F.concat(F.lit(a), F.col(key).cast("string")).alias("id"), (F.concat(F.lit(up), F.col(b).cast("string")) if b else F.lit(None).cast("string")).alias("parent"), F.col(key).cast("long").alias("ord"), seg.cast("string").alias("segment"), to.cast("string").alias("redirect"))
+    routes = row(t("region"), "r", "r_regionkey", "", "", F.col("r_name")).unionByName(row(t("nation"), "n", "n_nationkey", "r", "n_regionkey", F.concat(F.lit("/"), "n_name")))
+    routes = routes.unionByName(row(t("customer"), "c", "c_custkey", "n", "c_nationkey", F.lower("c_mktsegment"))).unionByName(row(t("orders"), "o", "o_orderkey", "c", "o_custkey", F.col("o_orderkey"), F.when(F.col("o_orderkey") % 10 == 0, "./x/..")))
+    return resolve.route_tree(routes).select("id", "path", "fqn", "target")
+
+
+def _folded_sql(depth: int) -> str:
+    """Values of all expressions by the depth left: v0 knows texts alone."""
+    base = "SELECT page_id AS i, '/' || regexp_extract(url, '^[a-z]+://[^/]*/([^/?#]*)', 1) AS t, page_id % 5 = 4 AS unknown, page_id // 3 AS up FROM pages"
+    parts = [f"p AS ({base})", "v0 AS (SELECT i, NULL::VARCHAR AS v FROM p)"]
+    for k in range(1, depth + 1):
+        # a page's expression joins what the page a third as far stands for with a text of its own; every fifth names nothing
+        parts.append(f"v{k} AS (SELECT p.i, CASE WHEN unknown THEN NULL ELSE coalesce(u.v, '{{*}}') || t END AS v FROM p LEFT JOIN v{k - 2 if k >= 2 else 0} u ON u.i = p.up AND p.i > 2 AND {k} >= 2)")
+    return f"WITH {', '.join(parts)} SELECT i AS page_id, v AS value FROM v{depth}"
+
+
+@query(_folded_sql(8))
+def folded_urls(spark, sf):
+    """Expressions as long as chains of pages: each is what another stands for and a text."""
+    p = table(spark, sf, "pages").select("page_id", F.concat(F.lit("/"), F.regexp_extract("url", r"^[a-z]+://[^/]*/([^/?#]*)", 1)).alias("t"))
+    i = F.col("page_id")
+    made = F.array(
+        F.struct((i * 3).alias("id"), F.when(i % 5 == 4, "name").otherwise("join").alias("op"), F.lit("").alias("text")), F.struct((i * 3 + 1).alias("id"), F.lit("text").alias("op"), F.col("t").alias("text")),
+        F.struct((i * 3 + 2).alias("id"), F.lit("name").alias("op"), F.lit("base").alias("text")),
+    )
+    nodes = p.select(F.explode(made).alias("n")).select("n.*")
+    up = F.when(i > 2, F.floor(i / 3) * 3).otherwise(-1)
+    links = F.array(F.struct((i * 3).alias("id"), F.lit(0).alias("ord"), (i * 3 + 2).alias("part")), F.struct((i * 3).alias("id"), F.lit(1).alias("ord"), (i * 3 + 1).alias("part")), F.struct((i * 3 + 2).alias("id"), F.lit(0).alias("ord"), up.alias("part")))
+    parts = p.select(i.alias("page"), F.explode(links).alias("l")).select("page", "l.*").where("not (page % 5 = 4 and id = page * 3)").drop("page")
+    return resolve.folded_expressions(nodes, parts).where("id % 3 = 0").select((F.col("id") / 3).cast("long").alias("page_id"), "value")
+
+
+@query()
+def element_parents(spark, sf):
+    """How often each element stands in which, over all pages."""
+    e = table(spark, sf, "pages").select(F.explode(resolve.element_parents(F.col("html"))).alias("e"))
+    return e.groupBy(F.col("e.name").alias("name"), F.col("e.parent_name").alias("parent")).agg(F.count("*").alias("n"))
