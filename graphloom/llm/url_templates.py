@@ -120,6 +120,10 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, depth: int = 16
     """page_id, host, path, rule, verdict, template, purity, decided_by for every row of
     pages (page_id, url).
 
+    A template has at most `depth` segments: the tail of a longer path, whatever it holds, is
+    generalised into one last segment **, as a varying segment is into *; paths that agree
+    before it share a template, and all of them are judged.
+
     Urls that are null or lack :// have an empty host and path, which form a template
     like others. The verdict is the rule's, else block for a rejected template and allow
     for others. An empty table gives no rows; other columns, the html among them, aren't read.
