@@ -74,8 +74,16 @@ class PrefixHash:
         return int(self.spans(length, start, start + 1)[0]), length
 
     def equal(self, i: int, j: int, length: int, other: PrefixHash | None = None) -> bool:
-        """Whether the spans of a length at i here and at j (of other) are equal."""
-        return length == 0 or self.span(i, length) == (other or self).span(j, length)
+        """Whether the spans of a length at i here and at j (of other) are equal: the differences
+        of prefix sums, the one with the earlier start moved to the later one."""
+        for base, s, t in zip(BASES, self.sums, (other or self).sums, strict=True):
+            a, b = int(s[i + length]) - int(s[i]), int(t[j + length]) - int(t[j])
+            if i != j:
+                move = pow(base, abs(j - i), PRIME)
+                a, b = (a * move, b) if i < j else (a, b * move)
+            if (a - b) % PRIME:
+                return False
+        return True
 
     def common(self, i: int, j: int, other: PrefixHash | None = None) -> int:
         """Longest common extension of the suffixes at i and at j (of other), by binary search."""
