@@ -122,7 +122,9 @@ def enrich_candidates(nodes: DataFrame, edges: DataFrame, labels: tuple[str, ...
     todo = nodes.where(F.col("label").isin(*labels) & F.col("summary").isNull()).orderBy("id").limit(limit)
     both = edges.select(F.col("src").alias("id"), "type", F.col("dst").alias("other")).unionByName(edges.where("src <> dst").select(F.col("dst").alias("id"), "type", F.col("src").alias("other")))
     near = both.join(todo.select("id"), "id", "left_semi").join(nodes.select(F.col("id").alias("other"), F.col("name").alias("n")), "other")
-    near = near.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct("type", F.col("n").alias("name")))), 1, neighbours).alias("neighbours"))
+    # a hub's neighbours are cut before they are gathered
+    near = near.select("id", F.struct("type", F.col("n").alias("name")).alias("x")).distinct().withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("x"))).where(F.col("k") <= neighbours)
+    near = near.groupBy("id").agg(F.array_sort(F.collect_list("x")).alias("neighbours"))
     return todo.join(near, "id", "left").select("id", "label", "name", "neighbours")
 
 

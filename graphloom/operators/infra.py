@@ -108,6 +108,16 @@ def dependencies(nodes: DataFrame, project: str, files: DataFrame) -> tuple[Data
     return new, declared.unionByName(used).dropDuplicates(["project", "src", "type", "dst"])
 
 
+def scenario_slice(project: str, made: DataFrame, covers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scenario nodes and COVERS edges of build_scenarios(), in the graph's schema."""
+    fqn = F.substring_index(F.col("id"), "system:", -1)
+    n = _nodes(made, project, "system", "Scenario", F.col("id"), F.col("title"), fqn, F.lit(""), {c: F.col(c) for c in ("title", "routePath")}, {"steps": F.col("steps")})
+    n = n.drop("summary").join(made.select("id", "summary"), "id").select(*StructType.fromDDL(NODES).names)
+    # of several roles of one node the first by name
+    e = covers.groupBy("src", "dst").agg(F.min("role").alias("role"))
+    return n, edge_rows(e, project, "COVERS", role=F.col("role"))
+
+
 def replaced(nodes: DataFrame, edges: DataFrame, project: str, gone: Column, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The graph with one slice of a project (nodes where gone holds, and all edges that touch
     them) in the place of new nodes and edges. The same twice gives the same."""

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from graphloom.operators.traverse import induced
 from graphloom.plans.ontology import ARCHITECTURE_LABELS, VIEWS
@@ -84,9 +85,13 @@ def node_detail(nodes: DataFrame, edges: DataFrame, id_: str) -> DataFrame:
     return out.unionByName(in_).join(nodes.select(F.col("id").alias("other"), "label", "name"), "other").select("direction", "type", "other", "label", "name")
 
 
-def grouped_neighbours(detail: DataFrame) -> DataFrame:
-    """Neighbours by direction and type, sorted."""
-    return detail.groupBy("direction", "type").agg(F.array_sort(F.collect_list("other")).alias("others"))
+def grouped_neighbours(detail: DataFrame, most: int = 1_000) -> DataFrame:
+    """direction, type, n, others: neighbours by direction and type, how many there are, and the
+    first of them, at most so many: they are cut before anything is gathered."""
+    keys = ["direction", "type"]
+    first = detail.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("other"))).where(F.col("k") <= most)
+    lists = first.groupBy(*keys).agg(F.array_sort(F.collect_list("other")).alias("others"))
+    return detail.groupBy(*keys).agg(F.count("*").alias("n")).join(lists, keys).select(*keys, "n", "others")
 
 
 def by_path(nodes: DataFrame, path: str, ranks: tuple[str, ...]) -> DataFrame:
@@ -101,9 +106,26 @@ def edge_payload(edges: DataFrame) -> DataFrame:
     return edges.select(F.concat_ws("|", "src", "type", "dst").alias("id"), F.col("src").alias("source"), F.col("dst").alias("target"), "type").dropDuplicates(["id"])
 
 
+def _laid(old: Column, new: Column) -> Column:
+    """The entries of a map new, and those of old that it lacks."""
+    both = F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
+    return F.when(old.isNull(), new).when(new.isNull(), old).otherwise(both)
+
+
 def merged(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """Two results in one: rows of new replace those of old with the same key."""
-    return new.unionByName(old.join(new.select(key), key, "left_anti"), allowMissingColumns=True)
+    """Two results in one: of rows with the same key the values of new that aren't null are laid
+    over those of old, and maps key by key. Keys must not repeat."""
+    a = old.select(*[F.col(c).alias(f"o_{c}") for c in old.columns])
+    both = a.join(new, F.col(f"o_{key}").eqNullSafe(F.col(key)), "full")
+    out = []
+    for c in dict.fromkeys([*old.columns, *new.columns]):
+        if c not in old.columns or c not in new.columns:
+            out.append(F.col(f"o_{c}" if c in old.columns else c).alias(c))
+        elif isinstance(old.schema[c].dataType, MapType) and isinstance(new.schema[c].dataType, MapType):
+            out.append(_laid(F.col(f"o_{c}"), F.col(c)).alias(c))
+        else:
+            out.append(F.coalesce(c, f"o_{c}").alias(c))
+    return both.select(*out)
 
 
 def top_degree(nodes: DataFrame, edges: DataFrame, label: str, types: tuple[str, ...], k: int) -> DataFrame:

@@ -10,7 +10,7 @@ from graphloom.functions import paths
 from graphloom.operators import community, derive, linker, resolve, scenarios, search, sequence, traverse, upsert, views
 from graphloom.plans import cypher, testgraph
 from graphloom.plans.ontology import NODES
-from graphloom.plans.scratch import scratch_path
+from graphloom.plans.scratch import scratch_path, written
 from graphloom.plans.testgraph import APP_CTE, CTE, table
 from graphloom.sources import documents as docs_source
 from graphloom.sources import files as file_source
@@ -32,8 +32,12 @@ def query(sql: str | None = None):
 
 
 def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The graph; its edges are derived once and kept, since every hop joins them."""
-    return testgraph.nodes(spark, sf), testgraph.edges(spark, sf).persist()
+    return testgraph.nodes(spark, sf), testgraph.edges(spark, sf)
+
+
+def _walked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The graph with its edges as a table of its own, for walks: every hop joins them."""
+    return testgraph.nodes(spark, sf), written(testgraph.edges(spark, sf), "edges")
 
 
 def _ids(spark: SparkSession, *ids: str) -> DataFrame:
@@ -65,7 +69,7 @@ def overview_edges_by_type(spark, sf):
 # Traversal
 
 def _impact(spark, sf, start, direction, depth):
-    return traverse.impact(*_graph(spark, sf), start, direction, depth, types=None)
+    return traverse.impact(*_walked(spark, sf), start, direction, depth, types=None)
 
 
 @query(_reach("SELECT 'nation:7' AS id", "upstream", 3) + " SELECT r.id, n.label, n.name, r.distance FROM reach r JOIN nodes n ON n.id = r.id")
@@ -92,7 +96,7 @@ _BLAST = "SELECT 'supplier:3' AS id UNION ALL SELECT 'supplier:4' UNION ALL SELE
 
 
 def _blast(spark, sf):
-    nodes, edges = _graph(spark, sf)
+    nodes, edges = _walked(spark, sf)
     seeds = traverse.resolve_seeds(nodes, ["supplier:3", "part:9", "none:0"], cypher.run(spark, nodes, edges, "MATCH (s:supplier) WHERE s.id = 'supplier:4' RETURN s.id AS id"))
     return traverse.blast_radius(nodes, edges, seeds, 3, types=None, members="SUPPLIED_BY", structural=("part",), entries=("order",))
 
@@ -109,12 +113,12 @@ def blast_radius_by_label(spark, sf):
 
 @query(_reach("SELECT 'customer:5' AS id", "both", 2) + " SELECT r.id, n.label, r.distance FROM reach r JOIN nodes n ON n.id = r.id WHERE n.label IN ('order', 'part', 'nation') OR r.distance = 0")
 def neighborhood(spark, sf):
-    return traverse.neighbourhood(*_graph(spark, sf), "customer:5", 2, types=None, labels=("order", "part", "nation"))[0].select("id", "label", "distance")
+    return traverse.neighbourhood(*_walked(spark, sf), "customer:5", 2, types=None, labels=("order", "part", "nation"))[0].select("id", "label", "distance")
 
 
 @query(_reach("SELECT 'customer:5' AS id", "both", 2) + " SELECT id, distance FROM (SELECT id, distance, row_number() OVER (ORDER BY distance, id) AS k FROM reach) WHERE k <= 40")
 def neighborhood_limited(spark, sf):
-    return traverse.neighbourhood(*_graph(spark, sf), "customer:5", 2, types=None, limit=40)[0].select("id", "distance")
+    return traverse.neighbourhood(*_walked(spark, sf), "customer:5", 2, types=None, limit=40)[0].select("id", "distance")
 
 
 # Views
@@ -157,7 +161,7 @@ def node_detail(spark, sf):
   SELECT 'out' AS direction, type, dst AS other FROM edges WHERE src = 'nation:3' UNION ALL SELECT 'in', type, src FROM edges WHERE dst = 'nation:3') x GROUP BY 1, 2""")
 def neighbours_grouped(spark, sf):
     g = views.grouped_neighbours(views.node_detail(*_graph(spark, sf), "nation:3"))
-    return g.select("direction", "type", F.size("others").cast("long").alias("n"), F.col("others")[0].alias("first"))
+    return g.select("direction", "type", "n", F.col("others")[0].alias("first"))
 
 
 @query(f"""WITH {CTE} SELECT n.id, count(*)::BIGINT AS degree FROM nodes n JOIN (SELECT src AS id FROM edges WHERE type = 'IN_NATION' UNION ALL SELECT dst FROM edges WHERE type = 'IN_NATION') e ON e.id = n.id
@@ -321,6 +325,21 @@ def upsert_saved_edges(spark, sf):
     return _saved_twice(spark, sf)[1].select("src", "type", "dst")
 
 
+@query("SELECT doc_id::VARCHAR AS id, lang AS name, sha256(text) AS hash, '[\"' || coalesce(source, '') || '\"]' AS sources, doc_id // 2 || '' AS target FROM documents")
+def export_round_trip(spark, sf):
+    """A graph of documents written as exchange documents and read again."""
+    d = table(spark, sf, "documents")
+    i = F.col("doc_id").cast("string")
+    rows = {"project": F.lit("p"), "id": i, "name": F.col("lang"), "label": F.lit("Class"), "stack": F.when(F.col("doc_id") % 3 == 0, "java").otherwise("angular"), "hash": F.sha2("text", 256), "arr_props": F.create_map(F.lit("sources"), F.array(F.coalesce("source", F.lit(""))))}
+    n = d.select(*[rows.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(NODES).fields])
+    e = d.select(F.lit("p").alias("project"), i.alias("src"), F.lit("CALLS").alias("type"), F.floor(F.col("doc_id") / 2).cast("string").alias("dst"), F.lit(None).cast("map<string,string>").alias("props"))
+    path = scratch_path(spark, "export")
+    docs_source.save_documents(docs_source.exchange_documents(n, e, 100), path)
+    back = docs_source.read_documents(spark, [path])
+    got = docs_source.document_nodes(back).join(docs_source.document_edges(back).select(F.col("src").alias("id"), F.col("dst").alias("target")), "id")
+    return got.select("id", "name", "hash", F.to_json(F.col("arr_props")["sources"]).alias("sources"), "target")
+
+
 @query(f"WITH {CTE}, present AS (SELECT id FROM nodes WHERE label <> 'supplier' OR id LIKE '%1') SELECT src, type, dst FROM edges WHERE type = 'IN_REGION' OR src NOT IN (SELECT id FROM present) OR dst NOT IN (SELECT id FROM present)")
 def dangling_edges(spark, sf):
     nodes, edges = _graph(spark, sf)
@@ -360,7 +379,7 @@ def hosts_cross(spark, sf):
 # Scenarios
 
 def _app(spark, sf):
-    return testgraph.app_nodes(spark, sf), testgraph.app_edges(spark, sf)
+    return testgraph.app_nodes(spark, sf), written(testgraph.app_edges(spark, sf), "edges")
 
 
 def _follow(frm: str, to: str, kind: str, more: str = "") -> str:
@@ -463,7 +482,14 @@ def event_props(spark, sf):
 
 # Components, communities, sequences, layout
 
-@query()
+def _components_sql(rounds: int) -> str:
+    """The least id within so many hops, which is more than any two nodes of a component are apart."""
+    parts = ["n AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges)", "r0 AS (SELECT DISTINCT a AS id, a AS m FROM n)"]
+    parts += [f"r{k} AS MATERIALIZED (SELECT r.id, least(r.m, x.m) AS m FROM r{k - 1} r JOIN (SELECT n.a AS id, min(q.m) AS m FROM n JOIN r{k - 1} q ON q.id = n.b GROUP BY n.a) x USING (id))" for k in range(1, rounds + 1)]
+    return f"WITH {CTE}, {', '.join(parts)} SELECT id, m AS component FROM r{rounds}"
+
+
+@query(_components_sql(14))
 def components(spark, sf):
     e = testgraph.edges(spark, sf)
     return community.components(e.select(F.col("src").alias("a"), F.col("dst").alias("b")))
@@ -472,12 +498,12 @@ def components(spark, sf):
 @query()
 def communities(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return community.communities(community.projection(nodes, edges, ("region", "nation", "customer", "supplier"), None))
+    return community.communities(community.projection(nodes, edges, None, None))
 
 
 @query()
 def sequence_preorder(spark, sf):
-    nodes, edges = _graph(spark, sf)
+    nodes, edges = _walked(spark, sf)
     calls = edges.withColumn("props", F.create_map(F.lit("line"), F.substring_index("dst", ":", -1))).withColumn("type", F.lit("CALLS"))
     roots = nodes.where("label = 'order'").select(F.col("id").alias("root"))
     return sequence.sequence(nodes, calls, roots)
@@ -485,16 +511,14 @@ def sequence_preorder(spark, sf):
 
 @query()
 def layered_layout(spark, sf):
-    nodes, edges = _graph(spark, sf)
-    small = nodes.where(F.col("label").isin("region", "nation", "supplier"))
-    return views.layered_layout(small, traverse.induced(edges, small), "label")
+    return views.layered_layout(*_walked(spark, sf), "label")
 
 
 # The query language on the graph
 
 def _cypher(name: str, text: str, sql: str | None, **params):
     def run(spark, sf):
-        return cypher.run(spark, *_graph(spark, sf), text, **params)
+        return cypher.run(spark, *(_walked if "*]" in text or ".." in text else _graph)(spark, sf), text, **params)
 
     run.__name__ = name
     query(sql)(run)
@@ -543,7 +567,7 @@ def _shortest_sql(steps: int) -> str:
 @query(_shortest_sql(4))
 def cypher_shortest_path(spark, sf):
     text = "MATCH w = shortestPath((p:part)-[:SUPPLIED_BY|IN_NATION|IN_REGION*]->(r:region)) RETURN p.id AS id, r.id AS region, length(w) AS hops, [n IN nodes(w) | n.id] AS way"
-    return cypher.run(spark, *_graph(spark, sf), text).withColumn("way", F.array_join("way", " "))
+    return cypher.run(spark, *_walked(spark, sf), text).withColumn("way", F.array_join("way", " "))
 
 
 _cypher("cypher_with_unwind", "MATCH (s:supplier)-[:IN_NATION]->(n) WITH n, collect(DISTINCT s.id) AS ids, count(*) AS k WHERE k >= 2 UNWIND ids AS id RETURN n.name AS nation, id, k",

@@ -52,6 +52,37 @@ TABLES = {
 }
 
 
+def exchange_documents(nodes: DataFrame, edges: DataFrame, size: int = 2_000) -> DataFrame:
+    """The graph as exchange documents of some `size` nodes: rows in the documents' schema, in
+    order of project, stack and part, each with its nodes by id and its edges by ends.
+
+    A node is in the part that the hash of its id gives, an edge in that of its source; so
+    no document grows with the graph, and the same graph gives the same texts. Read back
+    together they give the graph: labels, hashes, lists and maps as they were. Edges
+    whose source isn't a node are left out, and so is what enrichment adds."""
+    nodes = nodes.withColumn("stack", F.coalesce("stack", F.lit("")))  # no stack is one of its own
+    count = nodes.groupBy("project", "stack").agg(F.ceil(F.count("*") / size).alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    n = nodes.join(count, ["project", "stack"]).withColumn("part", part)
+    both = F.map_concat(F.coalesce("props", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), F.coalesce(F.transform_values("arr_props", lambda k, v: F.to_json(v)), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
+    tidy = lambda m: F.map_from_entries(F.array_sort(F.map_entries(m)))
+    node = F.struct("id", "label", "fqn", "name", "filePath", "startLine", "endLine", "hash", tidy(both).alias("props"))
+    docs = n.groupBy("project", "stack", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.to_json(node).alias("json")))), lambda x: F.from_json(x["json"], _NODE)).alias("nodes"))
+    e = edges.join(n.select("project", F.col("id").alias("src"), "stack", "part"), ["project", "src"])
+    edge = F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "type", F.to_json(F.struct(tidy(F.col("props")).alias("p"))).alias("json"))
+    links = e.groupBy("project", "stack", "part").agg(F.array_sort(F.collect_list(edge)).alias("e"))
+    links = links.select("project", "stack", "part", F.transform("e", lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target"), x["type"].alias("type"), F.from_json(x["json"], "p map<string,string>")["p"].alias("props"))).alias("edges"))
+    empty = F.array().cast(f"array<{_EDGE}>")
+    out = docs.join(links, ["project", "stack", "part"], "left").orderBy("project", "stack", "part")
+    text = lambda v: F.lit(v).cast("string")
+    return out.select(text("1").alias("schemaVersion"), F.nullif("stack", F.lit("")).alias("stack"), "project", text("").alias("root"), text("").alias("extractedAt"), "nodes", F.coalesce("edges", empty).alias("edges"), F.array().cast("array<string>").alias("warnings"))
+
+
+def save_documents(docs: DataFrame, path: str) -> None:
+    """Exchange documents as JSON files below path, one document a file."""
+    docs.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
+
+
 def graph_store(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Store:
     """The saved graph at path; buckets: parts of a project, settled by the first commit."""
     return Store(spark, path, TABLES, buckets)

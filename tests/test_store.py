@@ -1,6 +1,7 @@
 """Versioned saves: load, change and save in one folder; crashes; conflicts."""
 
 import pytest
+from pyspark.sql import functions as F
 from test_graph import smoke
 
 from graphloom.api import Graph
@@ -102,3 +103,43 @@ def test_empty_graph(spark, tmp_path):
     _graph(spark, 2).save(path)
     Graph.empty(spark).save(path)
     assert Graph.load(spark, path).edges.count() == 0
+
+
+def test_export_reads_back_equal_and_the_same(spark, tmp_path):
+    g = _graph(spark, 50)
+    texts = []
+    for run in ("a", "b"):
+        g.export(str(tmp_path / run), size=9)
+        texts.append(sorted(f.read_text() for f in (tmp_path / run).glob("*.json")))
+    assert texts[0] == texts[1] and len(texts[0]) > 1
+    g = Graph(g.nodes.fillna("java", "stack").withColumn("stack", F.lit("java")), g.edges)
+    g.export(str(tmp_path / "c"), size=9)
+    back, stats = Graph.empty(spark).ingest([str(tmp_path / "c")], "p", "java")
+    keep = ["id", "label", "name", "props", "arr_props"]
+    rows = lambda df: sorted((r.id, r.label, r.name, sorted(r.props.items()), sorted(r.arr_props.items())) for r in df.select(*keep).collect())
+    assert rows(back.nodes) == rows(g.nodes) and stats.first().edges == 49
+    assert {(r.src, r.dst) for r in back.edges.collect()} == {(r.src, r.dst) for r in g.edges.collect()}
+
+
+def test_scenarios_and_communities_are_saved(spark, tmp_path):
+    def node(i, label, name, **props):
+        return {"project": "p", "id": i, "label": label, "name": name, "stack": "angular", "props": props}
+
+    nodes = [node("r", "Route", "orders", routePath="orders"), node("c", "Component", "List"), node("m", "Method", "load"), node("a", "ApiCall", "GET", httpMethod="GET", path="/o"), node("e", "Endpoint", "GET /o", httpMethod="GET", path="/o")]
+    edges = [("r", "NAVIGATES_TO", "c"), ("c", "DECLARES", "m"), ("m", "MAKES_CALL", "a"), ("a", "INVOKES_API", "e")]
+    g = Graph(spark.createDataFrame(nodes, NODES), spark.createDataFrame([{"project": "p", "src": s, "type": t, "dst": d} for s, t, d in edges], EDGES))
+    path = str(tmp_path / "g")
+    g.save_scenarios("p").save_communities("p").save(path)
+    back = Graph.load(spark, path)
+    s = back.list_scenarios("p").first()
+    assert (s.id, s.title, s.routePath, s.covered) == ("system:scenario:p:orders", "Screen: /orders", "orders", 4) and s.steps[0].startswith("Route")
+    again = back.save_scenarios("p").save(path)
+    assert not any(again["nodes"].values()) and not any(again["edges"].values())
+
+
+def test_results_are_merged_key_by_key(spark):
+    from graphloom.operators import views
+
+    old = spark.createDataFrame([("1", "a", {"x": "1", "y": "2"}), ("2", "b", None)], "id string, name string, props map<string,string>")
+    new = spark.createDataFrame([("1", None, {"y": "3"}, 7), ("3", "c", {}, 8)], "id string, name string, props map<string,string>, distance int")
+    assert sorted(tuple(r) for r in views.merged(old, new).collect()) == [("1", "a", {"x": "1", "y": "3"}, 7), ("2", "b", None, None), ("3", "c", {}, 8)]
