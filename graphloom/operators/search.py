@@ -86,7 +86,7 @@ class SavedIndex:
             changed = written(now.select("id", "h").join(known, F.col("id").eqNullSafe(F.col("old_id")), "full").where(~F.col("h").eqNullSafe(F.col("old_h")) | ~F.col("id").eqNullSafe(F.col("old_id"))), "changed")
             if changed.isEmpty():
                 return self
-            now_changed = now.join(changed.where("h is not null").select("id"), "id", "left_semi")
+            now_changed = now.join(changed.where("h is not null").select(F.col("id").alias("new_id")), F.col("id").eqNullSafe(F.col("new_id")), "left_semi")
         name, docs = f"tokens/{uuid.uuid4().hex}", f"docs/{uuid.uuid4().hex}"
         rows = inverted_index(now if whole else now_changed, fields, ("h",)).select("token", "id", "field", "h")
         rows.repartitionByRange("token").sortWithinPartitions("token", "id").write.option("compression", "zstd").parquet(f"{self.path}/{name}")
