@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.replies import reply
+from graphloom.operators.order import numbered
 from graphloom.plans.ontology import COMMUNITY_LABELS, COMMUNITY_TYPES
 from graphloom.plans.scratch import discard, written
 
@@ -108,8 +110,8 @@ def communities(graph: DataFrame, levels: int = 3, rounds: int = 6) -> DataFrame
         up = at.select(F.col("id").alias("a"), F.col("c").alias("ca"))
         walk = written(walk.join(up, "a").join(up.select(F.col("a").alias("b"), F.col("ca").alias("cb")), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "walk")
     size = of.groupBy("c").agg(F.count("*").alias("size"), F.min("id").alias("first"))
-    number = size.withColumn("community", F.row_number().over(Window.orderBy(F.desc("size"), "first")) - 1)
-    return of.join(number.select("c", "community"), "c").select("id", "community")
+    number = numbered(size, [F.desc("size"), F.col("first")], "community")
+    return of.join(number.select("c", F.col("community").cast("int").alias("community")), "c").select("id", "community")
 
 
 def community_sizes(members: DataFrame, least: int = 3) -> DataFrame:
@@ -117,6 +119,26 @@ def community_sizes(members: DataFrame, least: int = 3) -> DataFrame:
     return members.groupBy("community").agg(F.count("*").alias("size")).withColumn("summarised", F.col("size") >= least)
 
 
+def community_listing(nodes: DataFrame, members: DataFrame, least: int = 3, most: int = 60, said: int = 140) -> DataFrame:
+    """(community, size, listing) of communities (id, community) of at least so many members:
+    a line for each of the first members by id, at most so many, with label, name and
+    the beginning of the summary. Members are cut before they are gathered."""
+    sized = community_sizes(members, least).where("summarised").select("community", "size")
+    first = members.withColumn("k", F.row_number().over(Window.partitionBy("community").orderBy("id"))).where(F.col("k") <= most)
+    text = F.concat(F.lit("  - "), F.coalesce("label", F.lit("")), F.lit(" "), F.coalesce("name", F.lit("")), F.lit(": "), F.substring(F.coalesce("summary", F.lit("")), 1, said))
+    lines = first.join(nodes.select("id", "label", "name", "summary"), "id").groupBy("community").agg(F.array_sort(F.collect_list(F.struct("id", text.alias("line")))).alias("x"))
+    return sized.join(lines, "community").select("community", "size", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("listing"))
+
+
+def community_summaries(listing: DataFrame, answers: DataFrame) -> DataFrame:
+    """(community, size, title, summary) of listed communities by what was answered to them
+    (community, answer: text that holds a JSON object). Without a title it is the
+    number's; 120 and 2000 characters at most. Answers without an object give no row."""
+    a = answers.select("community", reply(F.col("answer"), "title string, summary string").alias("r")).where("r is not null")
+    title = F.coalesce("r.title", F.concat(F.lit("community-"), F.col("community").cast("string")))
+    return listing.join(a, "community").select("community", "size", F.substring(title, 1, 120).alias("title"), F.substring(F.coalesce("r.summary", F.lit("")), 1, 2000).alias("summary"))
+
+
 def enrich_candidates(nodes: DataFrame, edges: DataFrame, labels: tuple[str, ...] = COMMUNITY_LABELS, neighbours: int = 25, limit: int = 500) -> DataFrame:
     """Nodes of some labels without a summary, with at most so many neighbours (relType, name), by id."""
     todo = nodes.where(F.col("label").isin(*labels) & F.col("summary").isNull()).orderBy("id").limit(limit)

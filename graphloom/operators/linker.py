@@ -68,10 +68,10 @@ def relink(edges: DataFrame, links: DataFrame, project: str) -> DataFrame:
 
 
 def link_stats(calls: DataFrame, endpoints: DataFrame, links: DataFrame) -> DataFrame:
-    """One row: apiCalls, endpoints, linked, unmatched, exact, pattern."""
+    """One row: apiCalls, endpoints, linked, unmatched, exact, pattern, llm, llmUsed."""
     n = lambda df, name: df.agg(F.count("*").alias(name))
-    by = links.agg(F.count("*").alias("linked"), F.count_if(F.col("tier") == "exact").alias("exact"), F.count_if(F.col("tier") == "pattern").alias("pattern"))
-    return n(calls, "apiCalls").crossJoin(n(endpoints, "endpoints")).crossJoin(by).withColumn("unmatched", F.col("apiCalls") - F.col("linked"))
+    by = links.agg(F.count("*").alias("linked"), F.count_if(F.col("tier") == "exact").alias("exact"), F.count_if(F.col("tier") == "pattern").alias("pattern"), F.count_if(F.col("tier") == "llm").alias("llm"))
+    return n(calls, "apiCalls").crossJoin(n(endpoints, "endpoints")).crossJoin(by).withColumn("unmatched", F.col("apiCalls") - F.col("linked")).withColumn("llmUsed", F.col("llm") > 0)
 
 
 def controller_of(endpoint_fqn: Column) -> Column:

@@ -56,12 +56,18 @@ def impact(nodes: DataFrame, edges: DataFrame, id_: str, direction: str = "upstr
 
 
 def resolve_seeds(nodes: DataFrame, ids: list[str], found: DataFrame | None = None) -> DataFrame:
-    """(id) of the ids that exist and of a query's result: its column id, or the field id of a struct column."""
-    out = nodes.where(F.col("id").isin(*ids)).select("id") if ids else nodes.select("id").limit(0)
+    """(id, ord) of the ids that exist and of a query's result: its column id and the fields id
+    of its struct columns. ord tells their order: ids as given, then rows as they come,
+    columns from left to right; of an id's places the first counts."""
+    given = nodes.sparkSession.createDataFrame(list(enumerate(ids)), "ord long, id string")
     if found is not None:
-        of = "id" if "id" in found.columns else next(f"{f.name}.id" for f in found.schema.fields if f.dataType.typeName() == "struct" and "id" in f.dataType.names)
-        out = out.unionByName(found.select(F.col(of).cast("string").alias("id")).join(nodes.select("id"), "id", "left_semi"))
-    return out.where("id is not null").distinct()
+        named = [(F.col(f"`{f.name}`"), f) for f in found.schema.fields]
+        of = [c["id"] if f.dataType.typeName() == "struct" else c for c, f in named if f.name == "id" or f.dataType.typeName() == "struct" and "id" in f.dataType.names]
+        if of:
+            rows = found.select(F.monotonically_increasing_id().alias("row"), F.posexplode(F.array(*[c.cast("string") for c in of])).alias("pos", "id"))
+            given = given.unionByName(rows.select((F.lit(len(ids)) + F.col("row") * len(of) + F.col("pos")).alias("ord"), "id"))
+    first = given.where("id is not null and id <> ''").groupBy("id").agg(F.min("ord").alias("ord"))
+    return first.join(nodes.select("id"), "id", "left_semi")
 
 
 def blast_radius(
@@ -80,6 +86,13 @@ def blast_radius(
     return out.select(*nodes.columns, "distance", flag("isSeed"), flag("isMember"), F.col("label").isin(*entries).alias("isEntryPoint")).where(~F.col("isSeed") & ~F.col("isMember") & ~F.col("label").isin(*structural))
 
 
+def by_distance(reached: DataFrame) -> DataFrame:
+    """distance, n and label counts (map) of nodes with a distance, nearest first."""
+    n = reached.where("distance > 0").groupBy("distance", "label").agg(F.count("*").alias("n"))
+    entries = F.array_sort(F.collect_list(F.struct("label", "n")))
+    return n.groupBy("distance").agg(F.sum("n").alias("n"), F.map_from_entries(entries).alias("by_label")).orderBy("distance")
+
+
 def affected_by_label(affected: DataFrame) -> DataFrame:
     return affected.groupBy("label").agg(F.count("*").alias("n"))
 

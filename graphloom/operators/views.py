@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
+from graphloom.operators.order import numbered
 from graphloom.operators.traverse import induced
 from graphloom.plans.ontology import ARCHITECTURE_LABELS, VIEWS
 
@@ -27,6 +28,15 @@ def list_projects(projects: DataFrame, nodes: DataFrame, edges: DataFrame) -> Da
     return projects.join(fold(nodes, "label"), projects["name"] == F.col("project"), "left").drop("project").join(fold(edges, "type"), projects["name"] == F.col("project"), "left").drop("project").orderBy("name")
 
 
+def project_totals(projects: DataFrame) -> DataFrame:
+    """name, edges, labels of list_projects(): the number of all edges, and array<struct<n,label>>
+    with most nodes first, ties by label. Projects without any have 0 and none."""
+    total = F.coalesce(F.aggregate(F.map_values("by_type"), F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0))
+    pairs = F.transform(F.map_entries("by_label"), lambda e: F.struct((-e["value"]).alias("o"), e["key"].alias("label")))
+    labels = F.transform(F.array_sort(pairs), lambda x: F.struct((-x["o"]).alias("n"), x["label"].alias("label")))
+    return projects.select("name", total.cast("long").alias("edges"), F.coalesce(labels, F.array().cast("array<struct<n:bigint,label:string>>")).alias("labels"))
+
+
 def link_coverage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """calls and linked calls: one row."""
     calls = nodes.where("label = 'ApiCall'").select("id")
@@ -137,11 +147,18 @@ def top_degree(nodes: DataFrame, edges: DataFrame, label: str, types: tuple[str,
 
 
 def layered_layout(nodes: DataFrame, edges: DataFrame, tier: str, sweeps: int = 4) -> DataFrame:
-    """id, tier, position: barycenter sweeps over an undirected graph; ties by id."""
+    """id, tier, position: barycenter sweeps over an undirected graph; ties by id. A tier is
+    sorted by ranges, so that one may hold most nodes."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst")
-    order = lambda by: F.row_number().over(Window.partitionBy("tier").orderBy(*by, "id")) - 1
-    at = nodes.select("id", F.col(tier).alias("tier")).withColumn("position", order([]))
+
+    def placed(rows: DataFrame, *by: str) -> DataFrame:
+        """rows (id, tier) with their position in the tier: the place in the order of all less the tier's first."""
+        n = numbered(rows, ["tier", *by, "id"])
+        first = n.groupBy(F.col("tier").alias("t")).agg(F.min("number").alias("first"))
+        return n.join(first, F.col("tier").eqNullSafe(F.col("t"))).select("id", "tier", (F.col("number") - F.col("first")).cast("int").alias("position"))
+
+    at = placed(nodes.select("id", F.col(tier).alias("tier")))
     for _ in range(sweeps):
         near = both.join(at.select(F.col("id").alias("dst"), F.col("position").cast("double").alias("p")), "dst").groupBy("src").agg(F.avg("p").alias("center")).withColumnRenamed("src", "id")
-        at = at.join(near, "id", "left").withColumn("center", F.coalesce("center", F.col("position"))).withColumn("position", order(["center"])).drop("center")
+        at = placed(at.join(near, "id", "left").select("id", "tier", F.coalesce("center", F.col("position")).alias("center")), "center")
     return at

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from graphloom.functions import paths
-from graphloom.operators import community, derive, linker, resolve, scenarios, search, sequence, traverse, upsert, views
+from graphloom.functions import paths, replies
+from graphloom.operators import community, derive, linker, resolve, scenarios, search, sequence, tools, traverse, upsert, views
 from graphloom.plans import cypher, testgraph
 from graphloom.plans.ontology import NODES
 from graphloom.plans.scratch import scratch_path, written
@@ -252,7 +252,7 @@ def links_unmatched(spark, sf):
   count(*) FILTER (tier = 'pattern')::BIGINT AS pattern, (SELECT count(*) FROM calls0)::BIGINT - count(*)::BIGINT AS unmatched FROM links""")
 def links_stats(spark, sf):
     calls, ends = _link_tables(spark, sf)
-    return linker.link_stats(calls, ends, linker.link(calls, ends))
+    return linker.link_stats(calls, ends, linker.link(calls, ends)).drop("llm", "llmUsed")
 
 
 @query(f"SELECT page_id, {_sql_normalize('url')} AS path FROM pages")
@@ -501,7 +501,18 @@ def communities(spark, sf):
     return community.communities(community.projection(nodes, edges, None, None))
 
 
-@query()
+# A nation is called by customers and by suppliers; parents are expanded at their first step only.
+@query(f"""WITH {CTE}, c AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY line, dst) AS k FROM (SELECT src, dst, min(string_split(dst, ':')[2]::INT) AS line FROM edges GROUP BY src, dst)),
+s1 AS (SELECT n.id AS root, n.id AS a, c.dst AS b, [c.k] AS path FROM nodes n JOIN c ON c.src = n.id WHERE n.label = 'order'),
+s2 AS (SELECT s.root, s.b AS a, c.dst AS b, list_append(s.path, c.k) AS path FROM s1 s JOIN c ON c.src = s.b),
+first2 AS (SELECT root, b, min(path) AS path FROM s2 WHERE b LIKE 'supplier:%' GROUP BY root, b),
+s3 AS (SELECT s.root, s.b AS a, c.dst AS b, list_append(s.path, c.k) AS path FROM first2 s JOIN c ON c.src = s.b),
+first3 AS (SELECT root, b, min(path) AS path FROM (SELECT root, b, path FROM s2 WHERE b LIKE 'nation:%' UNION ALL SELECT root, b, path FROM s3) GROUP BY root, b),
+s4 AS (SELECT s.root, s.b AS a, c.dst AS b, list_append(s.path, c.k) AS path FROM first3 s JOIN c ON c.src = s.b),
+steps AS (SELECT root, a, b, path, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS step, count(*) OVER (PARTITION BY root) AS total
+  FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4))
+SELECT s.root, s.step::INT AS step, x.name AS caller, y.name AS callee, y.name AS message, (len(s.path) - 1)::INT AS depth, x.name = y.name AS self_call, s.total > 60 AS truncated
+FROM steps s JOIN nodes x ON x.id = s.a JOIN nodes y ON y.id = s.b WHERE s.step < 60""")
 def sequence_preorder(spark, sf):
     nodes, edges = _walked(spark, sf)
     calls = edges.withColumn("props", F.create_map(F.lit("line"), F.substring_index("dst", ":", -1))).withColumn("type", F.lit("CALLS"))
@@ -509,11 +520,72 @@ def sequence_preorder(spark, sf):
     return sequence.sequence(nodes, calls, roots)
 
 
-@query()
+def _layout_sql(sweeps: int) -> str:
+    parts = ["ends AS (SELECT src, dst FROM edges WHERE src <> dst UNION ALL SELECT dst, src FROM edges WHERE src <> dst)"]
+    parts += ["p0 AS MATERIALIZED (SELECT id, label AS tier, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS position FROM nodes)"]
+    for k in range(1, sweeps + 1):
+        near = f"SELECT e.src AS id, avg(q.position) AS center FROM ends e JOIN p{k - 1} q ON q.id = e.dst GROUP BY e.src"
+        parts.append(f"p{k} AS MATERIALIZED (SELECT p.id, p.tier, row_number() OVER (PARTITION BY p.tier ORDER BY coalesce(c.center, p.position), p.id) - 1 AS position FROM p{k - 1} p LEFT JOIN ({near}) c ON c.id = p.id)")
+    return f"WITH {CTE}, {', '.join(parts)} SELECT id, tier, position::INT AS position FROM p{sweeps}"
+
+
+@query(_layout_sql(4))
 def layered_layout(spark, sf):
     return views.layered_layout(*_walked(spark, sf), "label")
 
 
+# Answers, listings, totals
+
+@query(f"""WITH {CTE}, m AS (SELECT src AS id, string_split(dst, ':')[2]::BIGINT AS community FROM edges WHERE type = 'IN_NATION'),
+x AS (SELECT m.community, n.*, row_number() OVER (PARTITION BY m.community ORDER BY m.id) AS k, count(*) OVER (PARTITION BY m.community) AS size FROM m JOIN nodes n ON n.id = m.id)
+SELECT community, min(size)::BIGINT AS size, string_agg('  - ' || label || ' ' || name || ': ' || left(stack || name, 7), chr(10) ORDER BY id) AS listing FROM x WHERE k <= 60 AND size >= 3 GROUP BY community""")
+def community_listing(spark, sf):
+    """The parties of each nation as one community."""
+    nodes, edges = _graph(spark, sf)
+    members = edges.where("type = 'IN_NATION'").select(F.col("src").alias("id"), F.substring_index("dst", ":", -1).cast("long").alias("community"))
+    return community.community_listing(nodes.withColumn("summary", F.concat("stack", "name")), members, said=7)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN json_extract_string(props, '$.k')::BIGINT END AS k FROM events")
+def reply_blocks(spark, sf):
+    """Properties of events inside answers in prose and fences; every seventh is broken."""
+    said = F.when(F.col("event_id") % 7 != 0, F.concat(F.lit("So it is:\n```json\n"), "props", F.lit("\n```\nas said"))).otherwise(F.concat(F.lit("{ no: "), "props"))
+    return table(spark, sf, "events").select("event_id", replies.reply(said, "k bigint")["k"].alias("k"))
+
+
+@query(f"""WITH {APP_CTE} SELECT id, '{{' || concat_ws(',', '"id":' || to_json(id), '"label":' || to_json(label), '"name":' || to_json(nullif(name, 'ASIA'))) || '}}' AS json FROM nodes""")
+def tool_hits(spark, sf):
+    """Every node as an agent's tool shows it; what is null is left out."""
+    n = testgraph.app_nodes(spark, sf).select("id", "label", F.nullif("name", F.lit("ASIA")).alias("name"), F.lit(None).cast("string").alias("fqn"))
+    return tools.hits(n)
+
+
+@query("""SELECT doc_id AS id, left(array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: i || ': ' || x), chr(10)), 7000) AS source FROM documents""")
+def source_numbered(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("filePath"), "text")
+    return docs_source.source_slice(d.select("filePath", "text"), d.select("id", "filePath", F.lit(1).alias("startLine"), F.lit(2**30).alias("endLine")), most=tools.MOST_SOURCE, numbered=True)
+
+
+@query(_reach("SELECT 'nation:7' AS id", "upstream", 3) + """, x AS (SELECT r.distance, n.label, count(*) AS n FROM reach r JOIN nodes n ON n.id = r.id WHERE r.distance > 0 GROUP BY ALL)
+SELECT distance, sum(n)::BIGINT AS n, string_agg(label || '=' || n, ',' ORDER BY label) AS labels FROM x GROUP BY distance""")
+def impact_by_distance(spark, sf):
+    found = traverse.by_distance(_impact(spark, sf, "nation:7", "upstream", 3)[0])
+    pairs = F.transform(F.map_entries("by_label"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return found.select("distance", "n", F.array_join(F.array_sort(pairs), ",").alias("labels"))
+
+
+@query(f"""WITH {CTE}, p AS (SELECT DISTINCT stack AS name FROM nodes UNION ALL SELECT 'none'), c AS (SELECT stack AS name, label, count(*) AS n FROM nodes GROUP BY ALL),
+l AS (SELECT name, string_agg(label || '=' || n, ',' ORDER BY n DESC, label) AS labels FROM c GROUP BY name), e AS (SELECT n.stack AS name, count(*) AS edges FROM edges e JOIN nodes n ON n.id = e.src GROUP BY n.stack)
+SELECT p.name, coalesce(e.edges, 0)::BIGINT AS edges, coalesce(l.labels, '') AS labels FROM p LEFT JOIN e USING (name) LEFT JOIN l USING (name)""")
+def project_totals(spark, sf):
+    """The stacks as projects, and one without nodes."""
+    nodes, edges = _graph(spark, sf)
+    names = nodes.select(F.col("stack").alias("name")).distinct().unionByName(spark.createDataFrame([("none",)], "name string"))
+    of = edges.join(nodes.select(F.col("id").alias("src"), F.col("stack").alias("project")), "src")
+    got = views.project_totals(views.list_projects(names, nodes.withColumn("project", F.col("stack")), of))
+    return got.select("name", "edges", F.array_join(F.transform("labels", lambda x: F.concat_ws("=", x["label"], x["n"].cast("string"))), ",").alias("labels"))
+
+
 # The query language on the graph
 
 def _cypher(name: str, text: str, sql: str | None, **params):
