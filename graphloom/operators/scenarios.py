@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.plans.scratch import written
@@ -78,9 +78,15 @@ def build_scenarios(nodes: DataFrame, traced: DataFrame, project: str, names: Da
     return out.select(sid.alias("id"), title.alias("title"), F.lit("").alias("summary"), "routePath", "steps"), covers
 
 
-def coverage_by_label(covers: DataFrame, nodes: DataFrame) -> DataFrame:
-    """scenario, label, covered array<struct<id,name>>, sorted."""
-    return covers.join(nodes.select(F.col("id").alias("dst"), "label", "name"), "dst").groupBy(F.col("src").alias("scenario"), "label").agg(F.array_sort(F.collect_set(F.struct(F.col("dst").alias("id"), "name"))).alias("covered"))
+def coverage_by_label(covers: DataFrame, nodes: DataFrame, most: int = 1_000) -> DataFrame:
+    """scenario, label, n, covered array<struct<id,name>>: how many nodes of a label a scenario
+    covers, and the first of them by id, at most so many: they are cut before they are
+    gathered."""
+    keys = ["scenario", "label"]
+    rows = covers.select(F.col("src").alias("scenario"), F.col("dst").alias("id")).distinct().join(nodes.select("id", "label", "name"), "id")
+    first = rows.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("k") <= most)
+    lists = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("covered"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).join(lists, keys)
 
 
 def top_scenarios(covers: DataFrame, k: int = 3) -> DataFrame:
