@@ -1,12 +1,14 @@
 """What jobs over large tables may shuffle, keep on disk and hold in a task."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import community, order, views
+from graphloom.operators import community, derive, order, sequence, views
 from graphloom.plans import scratch
+from graphloom.sources import files
 
 
 @pytest.fixture
@@ -18,7 +20,7 @@ def tables(monkeypatch):
         made.append((name, scratch.written(df, name)))
         return made[-1][1]
 
-    for module in (community, views, order):
+    for module in (community, views, order, sequence):
         monkeypatch.setattr(module, "written", written)
     return made
 
@@ -66,3 +68,61 @@ def test_layout_sweeps_codes(spark, tables):
     got = {r.id: (r.tier, r.position) for r in views.layered_layout(nodes, edges, "tier", 1).collect()}
     assert got == {"a": ("t", 1), "b": ("t", 0), "c": (None, 1), "d": (None, 0)}
     assert {t.dataType.typeName() for name, df in tables if name == "walk" for t in df.schema.fields} == {"long"}
+
+
+def test_or_join_never_shuffles_pairs(spark, capsys):
+    vendors, hosts, ports = ["Red", "blue", "", None], ["h1", "h2", None], ["41", "5", "", None]
+    ds = [(f"d{i}", vendors[i % 4], hosts[i % 3], ports[(i // 3) % 4]) for i in range(40)]
+    images, names, opened = ["x/RED:1", "blueish-red", None, "q"], ["h1", "h2", None, "h9"], [["541", "41", "15"], [], None, ["7"]]
+    sv = [(f"s{i}", names[(i // 4) % 4], images[i % 4], opened[(i // 2) % 4]) for i in range(32)]
+    got = derive.provided_by(spark.createDataFrame(ds, "id string, vendor string, host string, port string"), spark.createDataFrame(sv, "id string, name string, image string, ports array<string>"))
+    want = [(d, s) for d, v, h, p in ds for s, n, i, o in sv if (v and v.lower() in (i or "").lower()) or (h is not None and h == n) or (p and any(p in x for x in o or []))]
+    assert sorted((r.src, r.dst) for r in got.collect()) == sorted(want)
+    capsys.readouterr()
+    got.explain()
+    assert not re.search(r"keys=\[src#\d+, dst#", capsys.readouterr().out)  # a distinct over all pairs
+    assert got.rdd.getNumPartitions() >= 3 * 4 * spark.sparkContext.defaultParallelism
+
+
+def test_yaml_is_read_by_many_tasks(spark):
+    few = spark.range(40).coalesce(1).select(F.concat("id", F.lit("/k8s.yaml")).alias("filePath"), F.lit("kind: Service\nmetadata: {name: a}\n").alias("text"))
+    rows = files.yaml_rows(few)
+    assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert rows.groupBy("value").count().orderBy("value").collect() == [("Service", 40), ("a", 40)]
+
+
+def test_sequences_carry_codes_and_cross_batches(spark, tables):
+    calls = [("r%d" % i, "x", i) for i in range(9)] + [("x", "y%02d" % j, j) for j in range(20)] + [("y03", "x", 1), ("y03", "r1", 2), ("r1", "r1", 9), ("y05", "gone", 1)]
+    nodes = spark.createDataFrame([(i, f"name of {i}") for i in sorted({e for a, b, _ in calls for e in (a, b)} - {"gone"})], "id string, name string")
+    edges = spark.createDataFrame(calls, "src string, dst string, line int").select("src", F.lit("CALLS").alias("type"), "dst", F.create_map(F.lit("line"), F.col("line").cast("string")).alias("props"))
+    out = {}
+    for a, b, k in sorted(calls, key=lambda c: (c[0], c[2], c[1])):
+        if b != "gone":
+            out.setdefault(a, []).append(b)
+
+    def walk(root):
+        steps, seen = [], {root}
+
+        def go(at, depth):
+            for b in out.get(at, []) if depth <= 8 else []:
+                steps.append((f"name of {at}", f"name of {b}", depth, at == b))
+                if b not in seen:
+                    seen.add(b)
+                    go(b, depth + 1)
+
+        go(root, 0)
+        return steps
+
+    roots = spark.createDataFrame([(f"r{i}",) for i in range(9)] + [("none",)], "root string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        for most in (60, 7):
+            got = {}
+            for r in sequence.sequence(nodes, edges, roots, most).orderBy("root", "step").collect():
+                got.setdefault(r.root, []).append((r.caller, r.callee, r.depth, r.self_call))
+                assert r.step == len(got[r.root]) - 1 and r.message == r.callee and r.truncated == (len(walk(r.root)) > most)
+            assert got == {f"r{i}": walk(f"r{i}")[:most] for i in range(9)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert {t.dataType.typeName() for name, df in tables if name == "reach" for t in df.schema.fields} == {"long"}
