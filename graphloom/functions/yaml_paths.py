@@ -16,12 +16,17 @@ ITEM = "-"
 _STATE = "struct<doc:int,stack:array<struct<indent:int,key:string>>,out:array<struct<doc:int,path:array<string>,value:string>>,n:int>"
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often it stands there."""
+    return F.transform(F.array(value), body)[0]
+
+
 def scalar(text: Column) -> Column:
     """A scalar without its quotes and trailing comment; null for an empty one and for null."""
     bare = F.trim(F.regexp_replace(text, r"\s+#.*$", ""))
     quoted = F.regexp_extract(text, r"""^\s*(?:"((?:[^"\\]|\\.)*)"|'((?:[^']|'')*)')""", 1)
     single = F.regexp_extract(text, r"^\s*'((?:[^']|'')*)'", 1)
-    plain = F.when(bare.isin("", "~", "null"), None).otherwise(bare)
+    plain = _let(bare, lambda b: F.when(~b.isin("", "~", "null"), b))
     return F.when(F.ltrim(text).startswith('"'), quoted).when(F.ltrim(text).startswith("'"), F.replace(single, F.lit("''"), F.lit("'"))).otherwise(plain)
 
 
@@ -69,31 +74,38 @@ def _emit(state: Column, stack: Column, text: Column) -> Column:
     path = F.transform(stack, lambda s: s["key"])
     row = lambda p, v: F.struct(state["doc"].alias("doc"), p.alias("path"), v.alias("value"))
     listed = F.transform(flow(F.regexp_replace(text, r"\s#.*$", "")), lambda x: row(F.concat(path, x["path"]), x["value"]))
-    value = scalar(text)
-    rows = F.when(text.rlike(r"^\s*[\[{]"), listed).when(value.isNotNull(), F.array(row(path, value))).otherwise(F.array().cast("array<struct<doc:int,path:array<string>,value:string>>"))
-    return F.concat(state["out"], rows)
+    one = _let(scalar(text), lambda v: F.when(v.isNotNull(), F.concat(state["out"], F.array(row(path, v)))).otherwise(state["out"]))
+    return F.when(text.rlike(r"^\s*[\[{]"), F.concat(state["out"], listed)).otherwise(one)
 
 
 def _line(state: Column, line: Column) -> Column:
     blank = line.rlike(r"^\s*(?:#.*)?$")
     fresh = line.rlike(r"^---(?:\s|$)")
     none = F.array().cast("array<struct<indent:int,key:string>>")
-    indent = F.length(F.regexp_extract(line, r"^( *)", 1))
     # "- " opens an item, which is a level of its own; what follows it stands deeper
     dash = line.rlike(r"^ *-(?:\s|$)")
-    after = F.regexp_replace(line, r"^ *-\s?", "")
-    item = _with(state, stack=_push(state, indent, F.concat(F.lit(ITEM), state["n"].cast("string"))), n=state["n"] + 1)
-    at = F.when(dash, item).otherwise(state)
-    text = F.when(dash, after).otherwise(line)
-    depth = F.when(dash, indent + 2 + F.length(F.regexp_extract(after, r"^( *)", 1))).otherwise(indent)
-    key = F.regexp_extract(text, r"""^\s*(?:"([^"]*)"|'([^']*)'|([^\s:#'"\[{][^:#]*?))\s*:(?:\s|$)""", 0)
+    read = _let(dash, lambda d: F.struct(d.alias("dash"), F.length(F.regexp_extract(line, r"^( *)", 1)).alias("indent"), F.when(d, F.regexp_replace(line, r"^ *-\s?", "")).otherwise(line).alias("text")))
+    return F.when(blank, state).when(fresh, _with(state, doc=state["doc"] + 1, stack=none)).otherwise(_let(read, lambda x: _opened(state, x)))
+
+
+def _opened(state: Column, read: Column) -> Column:
+    """The state after a line that was read into dash, indent and text."""
+    item = _with(state, stack=_push(state, read["indent"], F.concat(F.lit(ITEM), state["n"].cast("string"))), n=state["n"] + 1)
+    at = F.when(read["dash"], item).otherwise(state)
+    depth = F.when(read["dash"], read["indent"] + 2 + F.length(F.regexp_extract(read["text"], r"^( *)", 1))).otherwise(read["indent"])
+    key = F.regexp_extract(read["text"], r"""^\s*(?:"([^"]*)"|'([^']*)'|([^\s:#'"\[{][^:#]*?))\s*:(?:\s|$)""", 0)
+    return _let(F.struct(at.alias("at"), depth.alias("depth"), key.alias("key"), read["text"].alias("text"), read["dash"].alias("dash")), _placed)
+
+
+def _placed(x: Column) -> Column:
+    at, key, text = x["at"], x["key"], x["text"]
     name = F.regexp_replace(F.regexp_replace(F.trim(key), r"\s*:\s*$", ""), r"""^["']|["']$""", "")
-    rest = F.substring(text, F.length(key) + 1, F.length(text))
     # a sequence may stand as deep as the key it belongs to
-    pushed = _push(at, depth, name)
-    keyed = _with(at, stack=pushed, out=_emit(at, pushed, rest))
-    plain = F.when(dash, _with(at, out=_emit(at, at["stack"], after))).otherwise(at)
-    return F.when(blank, state).when(fresh, _with(state, doc=state["doc"] + 1, stack=none)).when(key != "", keyed).otherwise(plain)
+    rest = F.substring(text, F.length(key) + 1, F.length(text))
+    below = F.struct(_push(at, x["depth"], name).alias("stack"), rest.alias("rest"))
+    keyed = _let(below, lambda b: _with(at, stack=b["stack"], out=_emit(at, b["stack"], b["rest"])))
+    plain = F.when(x["dash"], _with(at, out=_emit(at, at["stack"], text))).otherwise(at)
+    return F.when(key != "", keyed).otherwise(plain)
 
 
 def yaml_paths(text: Column) -> Column:

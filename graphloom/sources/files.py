@@ -49,8 +49,12 @@ def detect_stacks(files: DataFrame, depth: int = 4) -> DataFrame:
 
 
 def yaml_rows(files: DataFrame) -> DataFrame:
-    """filePath, doc, ord, path, value of every scalar in YAML files (filePath, text)."""
-    return files.select("filePath", F.posexplode(yaml_paths(F.col("text"))).alias("ord", "r")).select("filePath", "r.doc", "ord", "r.path", "r.value")
+    """filePath, doc, ord, path, value of every scalar in YAML files (filePath, text). Reading
+    takes far longer than fetching the text, so that files are dealt to a set number of tasks
+    first, by path, as what gathers a file's rows needs them."""
+    spark = files.sparkSession
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return files.repartition(n, "filePath").select("filePath", F.posexplode(yaml_paths(F.col("text"))).alias("ord", "r")).select("filePath", "r.doc", "ord", "r.path", "r.value")
 
 
 def _at(*keys: str | None) -> Column:
