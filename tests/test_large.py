@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import community, derive, order, sequence, views
-from graphloom.plans import scratch
+from graphloom.plans import cypher, scratch
 from graphloom.sources import files
 
 
@@ -126,3 +126,34 @@ def test_sequences_carry_codes_and_cross_batches(spark, tables):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert {t.dataType.typeName() for name, df in tables if name == "reach" for t in df.schema.fields} == {"long"}
+
+
+def _small_graph(spark):
+    nodes = spark.createDataFrame([(f"{k}{i}", k) for k, n in (("s", 3), ("p", 4), ("o", 5)) for i in range(n)], "id string, label string")
+    edges = [("p0", "BY", "s0"), ("p1", "BY", "s0"), ("p2", "BY", "s1"), ("s0", "BY", "p3"), *[(f"o{i}", "HAS", f"p{j}") for i in range(5) for j in range(4) if (i + j) % 3], ("o0", "HAS", "gone"), ("s1", "HAS", "p2")]
+    return nodes, spark.createDataFrame(edges, "src string, type string, dst string"), edges
+
+
+def test_counts_are_summed_hop_by_hop(spark, monkeypatch):
+    nodes, e, edges = _small_graph(spark)
+    want = {s: sum(1 for a, t, b in edges if t == "BY" and b == s and a[0] == "p" for c, u, d in edges if u == "HAS" and d == a and c[0] == "o") for s in ("s0", "s1", "s2")}
+    both = {s: sum(1 for a, t, b in edges if t == "BY" and s in (a, b)) for s in want}
+    # no walk may be made for a count of parts without a type in common
+    monkeypatch.setattr(cypher.Engine, "found", lambda *a, **k: pytest.fail("walks were made"))
+    got = cypher.run(spark, nodes, e, "MATCH (s:s) RETURN s.id AS id, COUNT { (s)<-[:BY]-(:p)<-[:HAS]-(x:o) } AS n, COUNT { (s)-[:BY]-() } AS k")
+    assert {r.id: (r.n, r.k) for r in got.collect()} == {s: (want[s], both[s]) for s in want}
+
+
+def test_counts_of_parts_with_a_common_type_use_each_relationship_once(spark):
+    nodes, e, edges = _small_graph(spark)
+    got = cypher.run(spark, nodes, e, "MATCH (s:s) RETURN s.id AS id, COUNT { (s)<-[:BY]-(p)-[:BY]->(x) } AS n")
+    assert {r.id: r.n for r in got.collect()} == {"s0": 0, "s1": 0, "s2": 0}
+
+
+def test_closure_joins_edges_as_they_are(spark, monkeypatch):
+    nodes, e, _ = _small_graph(spark)
+    seen = []
+    monkeypatch.setattr(cypher, "written", lambda df, name="table": seen.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or scratch.written(df, name))
+    got = cypher.run(spark, nodes, e.unionByName(e), "MATCH (o:o {id: 'o1'})-[*]->(x) RETURN count(DISTINCT x.id) AS n").first().n
+    assert got == 4  # p0, p1, p3 and s0
+    assert all(plan.count("Aggregate") <= 1 for name, plan in seen if name == "pairs")
