@@ -131,3 +131,31 @@ def test_predicates_in_any_place(spark, small):
     both = {i: sum(s == i and t == "x" for s, t, _ in edges) * sum(s == i and t == "y" for s, t, _ in edges) for i in kept}
     assert got == sorted((x, sum(both[i] for i in kept if label[i] == x), sum(label[i] == x for i in kept)) for x in {label[i] for i in kept})
     assert _run(spark, small, "MATCH (n:A|C {name: 'c'}) RETURN count(n) AS n") == [(14,)]
+
+
+@pytest.mark.parametrize("arrow", ["-[:x|y*2..]->", "<-[*0..6]-", "-[:y*..5]-"])
+def test_counted_trails(spark, small, arrow):
+    both, types = ">" not in arrow and "<" not in arrow, "y" if ":y*" in arrow else "xy"
+    lo, hi = {"-[:x|y*2..]->": (2, None), "<-[*0..6]-": (0, 6), "-[:y*..5]-": (1, 5)}[arrow]
+    edges = [(d, t, s) for s, t, d in small[3]] if "<" in arrow else small[3]
+    want = {}
+    for i, label, _ in small[2]:
+        if label == "A":
+            for end, _k in _trails(edges, i, lo, hi, both, types):
+                want[i, end] = want.get((i, end), 0) + 1
+    assert _run(spark, small, f"MATCH (a:A){arrow}(b) RETURN a.id, b.id, count(*) AS n") == sorted((*k, n) for k, n in want.items())
+
+
+def test_trails_that_nothing_tells_apart_are_counted(spark, monkeypatch):
+    """Four diamonds in a row: 16 trails, and one row for each pair of ends."""
+    made = []
+    real = cypher.written
+    monkeypatch.setattr(cypher, "written", lambda df, name="table": made.append((name, real(df, name))) or made[-1][1])
+    edges = [e for i in range(4) for m in "lr" for e in ((f"d{i:02}", "x", f"{m}{i:02}"), (f"{m}{i:02}", "x", f"d{i + 1:02}"))]
+    ids = sorted({i for s, _, d in edges for i in (s, d)})
+    graph = spark.createDataFrame([(i, "A", i) for i in ids], NODES), spark.createDataFrame(edges, EDGES)
+    got = cypher.run(spark, *graph, "MATCH (a {id: 'd00'})-[*3..]->(b) RETURN b.id AS b, count(*) AS n").collect()
+    assert {(r.b, r.n) for r in got} == {(f"d{i:02}", 2**i) for i in range(2, 5)} | {(f"{m}{i:02}", 2**i) for i in range(1, 4) for m in "lr"}
+    rounds = [df for name, df in made if name == "trails"]
+    assert rounds and max(df.count() for df in rounds) <= 2
+    assert not {"x", "via"} & {c for df in rounds for c in df.columns}
