@@ -120,3 +120,10 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges with both ends among nodes."""
     ids = nodes.select(F.col("id").alias("end"))
     return edges.join(ids, edges["src"] == ids["end"], "left_semi").join(ids, edges["dst"] == ids["end"], "left_semi")
+
+
+def missing_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id) of the ends of edges that aren't among nodes, written: where few are, what joins them
+    moves no edge."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).where("id is not null").distinct()
+    return written(ends.join(nodes.select("id"), "id", "left_anti"), "missing")

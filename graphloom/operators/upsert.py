@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.traverse import missing_ends
 from graphloom.plans.ontology import KNOWN_EDGES
 
 KEY = ["project", "id"]
@@ -13,10 +14,10 @@ ENRICHED = ("summary", "tags", "community")
 
 def dangling(edges: DataFrame, nodes: DataFrame, known: tuple[str, ...] = KNOWN_EDGES) -> tuple[DataFrame, DataFrame]:
     """Edges to keep and edges to drop: of unknown type or with an end that isn't among nodes."""
-    ids = nodes.select(F.col("id").alias("end"), F.lit(True).alias("ok")).distinct()
-    both = edges.join(ids.select(F.col("end").alias("src"), F.col("ok").alias("src_ok")), "src", "left").join(ids.select(F.col("end").alias("dst"), F.col("ok").alias("dst_ok")), "dst", "left")
-    good = F.col("type").isin(*known) & F.col("src_ok").isNotNull() & F.col("dst_ok").isNotNull()
-    cols = edges.columns
+    none, both, cols = missing_ends(edges, nodes), edges, edges.columns
+    for end in ("src", "dst"):
+        both = both.join(none.select(F.col("id").alias(end), F.lit(True).alias(f"{end}_lost")), end, "left")
+    good = F.col("type").isin(*known) & F.col("src").isNotNull() & F.col("dst").isNotNull() & F.col("src_lost").isNull() & F.col("dst_lost").isNull()
     return both.where(good).select(cols), both.where(~good).select(cols)
 
 
