@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import community, derive, order, sequence, views
+from graphloom.operators import community, derive, order, sequence, upsert, views
 from graphloom.plans import cypher, scratch
 from graphloom.sources import files
 
@@ -157,3 +157,25 @@ def test_closure_joins_edges_as_they_are(spark, monkeypatch):
     got = cypher.run(spark, nodes, e.unionByName(e), "MATCH (o:o {id: 'o1'})-[*]->(x) RETURN count(DISTINCT x.id) AS n").first().n
     assert got == 4  # p0, p1, p3 and s0
     assert all(plan.count("Aggregate") <= 1 for name, plan in seen if name == "pairs")
+
+
+@pytest.mark.parametrize("what", ["counts", "dangling"])
+def test_edges_with_missing_ends_are_found_without_moving_edges(spark, what):
+    nodes = spark.range(5000).select(F.format_string("n%04d", "id").alias("id"))
+    edges = spark.range(6000).select(F.format_string("n%04d", F.col("id") % 5001).alias("src"), F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("type"), F.when(F.col("id") != 7, F.format_string("n%04d", (F.col("id") * 3) % 5002)).alias("dst"))
+    rows = [(i % 5001, "xy"[i % 2], i * 3 % 5002 if i != 7 else None) for i in range(6000)]
+    good = [r for r in rows if r[0] < 5000 and r[2] is not None and r[2] < 5000]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        if what == "counts":
+            got = views.edges_by_type(nodes, edges)
+            assert {r.type: r.n for r in got.collect()} == {t: sum(r[1] == t for r in good) for t in "xy"}
+        else:
+            keep, got = upsert.dangling(edges, nodes, ("x",))
+            assert keep.count() == sum(r[1] == "x" for r in good)
+            assert got.count() == 6000 - sum(r[1] == "x" for r in good)
+        plan = got._jdf.queryExecution().toString()
+        assert "hashpartitioning(src" not in plan and "hashpartitioning(dst" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
