@@ -179,3 +179,15 @@ def test_edges_with_missing_ends_are_found_without_moving_edges(spark, what):
         assert "hashpartitioning(src" not in plan and "hashpartitioning(dst" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_collapsed_hops_meet_edges_of_their_types_alone(spark):
+    edges = [(f"o{i % 3}", "DECLARES", f"m{i}") for i in range(9)] + [(f"m{i}", "CALLS", f"m{(i * 2 + 1) % 9}") for i in range(9)] + [(f"m{i}", "MAKES_CALL", f"c{i % 4}") for i in range(9)] + [("o0", "MAKES_CALL", "c0"), ("o1", "OTHER", "c1")]
+    present = [(i,) for i in ("o0", "o1", "c0", "c1", "c2")]
+    owner = {m: o for o, t, m in edges if t == "DECLARES"}
+    want = {(owner[a], t, owner[b] if t == "CALLS" else b) for a, t, b in edges if a in owner and t in ("CALLS", "MAKES_CALL")}
+    want = {e for e in want if {e[0], e[2]} <= {i for i, in present} and e[0] != e[2]} - set(edges)
+    all_ = spark.createDataFrame(edges, "src string, type string, dst string")
+    got = views.collapse_hops(spark.createDataFrame(present, "id string"), all_, all_)
+    assert sorted((r.src, r.type, r.dst) for r in got.collect()) == sorted(want)
+    assert re.search(r"IN \(CALLS, ?MAKES_CALL\)", got._jdf.queryExecution().optimizedPlan().toString())
