@@ -150,46 +150,62 @@ def route_tree(routes: DataFrame) -> DataFrame:
     path), null where they lead nowhere or round in a circle, or the route has none. Rows on or
     below a cycle of parents, or below a parent that isn't there, have no path."""
     clean = F.regexp_replace(F.coalesce("segment", F.lit("")), "^/+|/+$", "")
-    ids = routes.select(F.col("id").alias("parent"))
     base = written(routes.select("id", "parent", "ord", clean.alias("segment"), "redirect"), "routes")
-    lost = base.where("parent is not null").join(ids, "parent", "left_anti").select("id")
-    tree = base.select("id", F.col("parent"))
+    # walks go over rows that have rows below; all others take one step from those
+    inner = written(_met(base.select("id", "parent", "segment"), "parent"), "inner")
+    ids = inner.select(F.col("id").alias("parent"))
+    lost = inner.where("parent is not null").join(ids, "parent", "left_anti").select("id")
     # below what is lost: as below a cycle
-    looped = written(_tops(tree.join(lost, "id", "left_anti").unionByName(lost.select("id", F.col("id").alias("parent")))), "cyclic")
+    looped = written(_tops(inner.select("id", "parent").join(lost, "id", "left_anti").unionByName(lost.select("id", F.col("id").alias("parent")))), "cyclic")
     join = lambda a, b: F.when(a == "", b).when(b == "", a).otherwise(F.concat(a, F.lit("/"), b))
-    at = written(base.join(looped, "id", "left_anti").select("id", F.col("parent").alias("up"), F.col("segment").alias("path")), "paths")
+    at = written(inner.join(looped, "id", "left_anti").select("id", F.col("parent").alias("up"), F.col("segment").alias("path")), "paths")
     while not at.where("up is not null").isEmpty():
         above = at.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"))
         new = at.join(above, "up", "left").select("id", F.col("next").alias("up"), F.when(F.col("above").isNull(), F.col("path")).otherwise(join(F.col("above"), F.col("path"))).alias("path"))
         new = written(new, "paths")
         discard(at)
         at = new
-    number = F.row_number().over(Window.partitionBy("path").orderBy("ord", "id"))
-    named = at.select("id", "path").join(base.select("id", "parent", "ord", "redirect"), "id").withColumn("number", number)
-    named = written(named, "named")
-    above = named.select(F.col("id").alias("parent"), F.col("path").alias("above"))
-    to = named.where("redirect is not null and redirect <> ''").join(above, "parent", "left")
-    goal = F.when(F.col("redirect").startswith("/"), F.col("redirect")).otherwise(F.concat_ws("/", F.coalesce("above", F.lit("")), "redirect"))
-    to = to.select("id", F.array_join(paths.folded(F.split(goal, "/")), "/").alias("path"))
+    keys = ["id", "ord", "path", "goal"]
+    goal = F.when(F.col("redirect").startswith("/"), F.col("redirect")).when(F.col("redirect") != "", F.concat_ws("/", F.coalesce("above", F.lit("")), "redirect"))
+    goal = F.array_join(paths.folded(F.split(goal, "/")), "/").alias("goal")
+    below = base.where("parent is not null").join(at.select(F.col("id").alias("parent"), F.col("path").alias("above")), "parent", "left")
+    below = below.select("id", "ord", F.when(F.col("above").isNotNull(), join(F.col("above"), F.col("segment"))).alias("path"), goal)
+    roots = base.where("parent is null").withColumn("above", F.lit(None).cast("string")).select("id", "ord", F.col("segment").alias("path"), goal)
+    # rows without a path are dealt by their ids
+    number = F.row_number().over(Window.partitionBy("path", F.when(F.col("path").isNull(), F.col("id"))).orderBy("ord", "id"))
+    named = written(roots.unionByName(below).select(*keys, number.alias("number")), "named")
+    asked = named.where("path is not null and goal is not null").select("id", "goal")
     # of routes with that path the first
-    hop = to.join(named.where("number = 1").select("path", F.col("id").alias("up")), "path").select("id", "up")
-    ends = _ends(written(hop, "redirects"))
+    goals = written(asked.select("goal").distinct(), "goals")
+    firsts = written(named.where("number = 1 and path is not null").select(F.col("path").alias("goal"), F.col("id").alias("up")).join(goals, "goal"), "firsts")
+    ends = _ends(written(asked.join(firsts, "goal").select("id", "up"), "redirects"))
     fqn = F.when(F.col("path").isNotNull(), F.concat(F.lit("route:"), "path", F.when(F.col("number") > 1, F.concat(F.lit("#"), F.col("number"))).otherwise("")))
-    out = base.select("id").join(named.select("id", "path", "number"), "id", "left").join(ends, "id", "left")
-    return out.select("id", "path", fqn.alias("fqn"), "target", F.col("path").isNull().alias("cyclic"))
+    to = lambda rows, target: rows.select("id", "path", fqn.alias("fqn"), target.alias("target"), F.col("path").isNull().alias("cyclic"))
+    still = named.where("path is null or goal is null")
+    return to(still, F.lit(None).cast(base.schema["id"].dataType)).unionByName(to(named.where("path is not null and goal is not null").join(ends, "id", "left"), F.col("target")))
+
+
+def _met(rows: DataFrame, by: str) -> DataFrame:
+    """Those of rows whose id some row's column `by` names."""
+    return rows.join(rows.where(F.col(by).isNotNull()).select(F.col(by).alias("id")).distinct(), "id", "left_semi")
 
 
 def _ends(hops: DataFrame) -> DataFrame:
     """(id, target) at the end of hops (id, up), of those that have an end."""
-    back = written(_tops(hops.select("id", F.col("up").alias("parent"))), "circles")
-    at = written(hops.join(back, "id", "left_anti").select("id", F.col("up").alias("target")), "ends")
+    inner = written(_met(hops, "up"), "inner")
+    if inner.isEmpty():
+        return hops.select("id", F.col("up").alias("target"))
+    back = written(_tops(inner.select("id", F.col("up").alias("parent"))), "circles")
+    at = written(inner.join(back, "id", "left_anti").select("id", F.col("up").alias("target")), "ends")
     while True:
         step = at.select(F.col("id").alias("target"), F.col("target").alias("next"))
         new = written(at.join(step, "target", "left").select("id", F.coalesce("next", "target").alias("target"), F.col("next").isNotNull().alias("moved")), "ends")
         discard(at)
         at = new
         if at.where("moved").isEmpty():
-            return at.select("id", "target")
+            break
+    last = hops.join(back.withColumnRenamed("id", "up"), "up", "left_anti").join(at.select(F.col("id").alias("up"), "target"), "up", "left")
+    return last.select("id", F.coalesce("target", "up").alias("target"))
 
 
 def flat_routes(routes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import community, derive, order, sequence, upsert, views
+from graphloom.operators import community, derive, order, resolve, sequence, upsert, views
 from graphloom.plans import cypher, scratch
 from graphloom.sources import files
 
@@ -191,3 +191,22 @@ def test_collapsed_hops_meet_edges_of_their_types_alone(spark):
     got = views.collapse_hops(spark.createDataFrame(present, "id string"), all_, all_)
     assert sorted((r.src, r.type, r.dst) for r in got.collect()) == sorted(want)
     assert re.search(r"IN \(CALLS, ?MAKES_CALL\)", got._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_leaves_of_a_route_tree_take_one_step(spark, monkeypatch):
+    made = []
+
+    def written(df, name="table"):
+        made.append((name, scratch.written(df, name)))
+        return made[-1][1]
+
+    monkeypatch.setattr(resolve, "written", written)
+    monkeypatch.setattr(resolve, "discard", lambda df: None)
+    rows = [(0, None, "app", None), (1, 0, "/a/", None), (2, 1, "b", None), (3, 7, "lost", None)] + [(10 + i, i % 4, f"s{i}" if i % 4 != 1 else "same", "/app" if i % 10 == 0 else "../a" if i == 5 else None) for i in range(400)]
+    rows += [(1000, None, "x", "/y"), (1001, None, "y", "/z"), (1002, None, "z", "/app"), (1003, None, "u", "/v"), (1004, None, "v", "/u"), (1005, None, "w", "/v")]
+    got = {r.id: tuple(r)[1:] for r in resolve.route_tree(spark.createDataFrame(rows, "id int, parent int, segment string, redirect string").withColumn("ord", F.col("id"))).collect()}
+    assert len(got) == len(rows)
+    assert got[12] == ("app/a/b/s2", "route:app/a/b/s2", None, False) and got[13] == (None, None, None, True) and got[11][:2] == ("app/a/same", "route:app/a/same") and got[19][1] == "route:app/a/same#3"
+    assert [got[i][2] for i in (10, 20, 1000, 1001, 1002, 1003, 1004, 1005)] == [0, 0, 0, 0, 0, None, None, None] and got[15][2] == 1
+    assert max(df.count() for name, df in made if name in ("pointers", "cyclic", "paths", "ends")) <= 6  # of 410 rows
+    assert max(df.count() for name, df in made if name == "redirects") <= 47
