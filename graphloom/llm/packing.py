@@ -12,10 +12,11 @@ are fewer bins than twice the tokens by the capacity, and one more for each part
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import islice, pairwise
 from unicodedata import is_normalized
 
 import numpy as np
@@ -41,22 +42,52 @@ def _tokenizer(path: str):
     return t
 
 
+# A word of lower-case letters that no step before the vocabulary changes, and the marks at its end:
+# the tokenizer parts them there and nowhere else.
+_PLAIN = re.compile(rb"((?:[a-z]++|\xc3[\x9f-\xb6\xb8-\xbf])++)([!-/:-@\[-`{-~]*+)").fullmatch
+
+
+def _word_ids(path: str) -> Kept:
+    """Token ids of words, and of runs of marks, that the tokenizer takes as one each."""
+    t = _tokenizer(path)
+
+    def of(words: list[bytes]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(words), 1024):
+            part = words[i : i + 1024]
+            e = t.encode(b" ".join(part).decode("utf-8"), add_special_tokens=False)
+            raw = np.array(e.ids, dtype="<u4").tobytes()
+            cuts = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1))).tolist()
+            out += [raw[lo:hi] for lo, hi in pairwise(cuts)]
+        return out
+
+    return Kept(of, 64 << 20)
+
+
 def chunk_ids(path: str) -> Kept:
-    """Token ids, as little-endian unsigned 32-bit numbers, of chunks without white space."""
+    """Token ids, as little-endian unsigned 32-bit numbers, of chunks without white space.
+
+    Plain chunks are put together from their word and the marks behind it, so that a word
+    is tokenized once whatever follows it."""
     t = _tokenizer(path)
     pad = t.token_to_id(_PAD)
+    kept = _word_ids(path)
 
-    def of(chunks: list[bytes]) -> list[bytes]:
-        out: list[bytes] = []
+    def whole(chunks: list[bytes]) -> Iterator[bytes]:
         for i in range(0, len(chunks), 256):
             part = chunks[i : i + 256]
             ids = np.array(t.encode(_PAD.join(w.decode("utf-8") for w in part), add_special_tokens=False).ids, dtype="<u4")
             cuts = np.flatnonzero(ids == pad).tolist()
             raw = ids.tobytes()
-            out += [raw[4 * lo : 4 * hi] for lo, hi in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
-        return out
+            yield from (raw[4 * lo : 4 * hi] for lo, hi in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True))
 
-    return Kept(of, 64 << 20)
+    def of(chunks: list[bytes]) -> list[bytes]:
+        plain = [m.groups() if (m := _PLAIN(w)) else None for w in chunks]
+        ids = kept.all([x for m in plain if m for x in m if x])
+        rest = whole([w for w, m in zip(chunks, plain, strict=True) if not m])
+        return [next(rest) if m is None else next(ids) + next(ids) if m[1] else next(ids) for m in plain]
+
+    return Kept(of, 96 << 20)
 
 
 def _composed(x: str) -> bool:

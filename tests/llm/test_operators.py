@@ -501,3 +501,33 @@ def test_profiles_bind_and_bundle_letters():
             for d in range(64):
                 sums[d] += int(x[s[i]][d]) * int(y[s[i + 1]][d]) * int(z[s[i + 2]][d])
         assert got == pytest.approx(sums / max(1, len(s) - 2), abs=1e-5), text
+
+
+def test_a_word_is_tokenized_once_whatever_marks_follow(monkeypatch):
+    path = tokenizer_path()
+    real = packing._tokenizer(path)
+    seen = []
+
+    class Counted:
+        def token_to_id(self, w):
+            return real.token_to_id(w)
+
+        def encode(self, text, **how):
+            seen.append(text)
+            return real.encode(text, **how)
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzßäéèñüÿ÷µº", k=rng.randint(1, 12))) for _ in range(300)]
+    marks = ["", ".", ",", "$$$", "'", "'s", "'ll", "--", "́", "é́", "7", "42.", "_", " x", "̸", "≠", "<>", "É", "Q!"]
+    texts = [" ".join(rng.choice(["", "(", "'"] if rng.random() < 0.1 else [""]) + rng.choice(words) + rng.choice(marks) for _ in range(60)) for _ in range(80)]
+    want = [real.encode(x, add_special_tokens=False).ids for x in texts]
+    for most in (64 << 20, 9000):  # kept, and dropped time and again
+        kept = packing.chunk_ids(path)
+        kept.most = most
+        assert [np.frombuffer(b, "<u4").tolist() for n in range(0, 80, 20) for b in packing.token_bytes(texts[n : n + 20], path, kept)] == want
+    monkeypatch.setattr(packing, "_tokenizer", lambda path: Counted())
+    plain = sorted({w for w in words if w.isascii()})
+    texts = [" ".join(w + m for w in plain) for m in ("", ".", ",", "$$$", "...", "!")]
+    got = packing.token_bytes(texts, path, packing.chunk_ids(path))
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [real.encode(x, add_special_tokens=False).ids for x in texts]
+    assert sum(map(len, seen)) <= len(" ".join(plain)) + 20
