@@ -5,52 +5,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.order import numbered
 from graphloom.plans.scratch import written
 
 COVERED = (("route", "Route"), ("component", "Component"), ("apicall", "API"), ("endpoint", "Endpoint"), ("entity", "Entity"), ("table", "Table"))
 
 
-def _follow(rows: DataFrame, step: DataFrame) -> DataFrame:
-    """(route, id) one step (a, b) further."""
-    return rows.join(step.select(F.col("a").alias("id"), F.col("b").alias("next")), "id").select("route", F.col("next").alias("id")).distinct()
+def _follow(rows: DataFrame, step: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """(id, block, bits) one step (a, b) further, at ends (id) alone."""
+    far = rows.join(step.select(F.col("a").alias("id"), F.col("b").alias("next")), "id").select(F.col("next").alias("id"), "block", "bits")
+    return _merged(far if ends is None else far.join(ends, "id", "left_semi"))
 
 
-def walked(rows: DataFrame, step: DataFrame, most: int) -> DataFrame:
-    """(route, id) of rows and of what 0 to most steps (a, b) reach from there; a round goes on
-    from what the round before found."""
+def _merged(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("id", "block").agg(F.bit_or("bits").alias("bits"))
+
+
+def walked(rows: DataFrame, step: DataFrame, most: int, ends: DataFrame | None = None) -> DataFrame:
+    """(id, block, bits) of rows and of what 0 to most steps (a, b) reach from there, at ends (id)
+    alone; a round goes on from what the round before found."""
     seen = front = rows
     for _ in range(most):
-        front = written(_follow(front, step).join(seen, ["route", "id"], "left_anti"), "walk")
+        old = _merged(seen).withColumnRenamed("bits", "old")
+        new = _follow(front, step, ends).join(old, ["id", "block"], "left").select("id", "block", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long")))).alias("bits"))
+        front = written(new.where("bits <> 0"), "walk")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-    return seen
+    return _merged(seen)
 
 
 def trace(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(route, role, id): what a route reaches, each leg distinct before the next, so that
-    independent legs don't multiply."""
+    independent legs don't multiply. On the way 64 routes are the bits of one row. What a leg
+    starts from has its label already; only where it ends is looked at, after the step."""
     of = lambda *labels: nodes.where(F.col("label").isin(*labels)).select("id")
-
-    def hop(t: str, a: str, b: str) -> DataFrame:
-        e = edges.where(F.col("type") == t).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-        return e.join(of(a).withColumnRenamed("id", "a"), "a", "left_semi").join(of(b).withColumnRenamed("id", "b"), "b", "left_semi")
-
-    leg = lambda rows, *types: written(_follow(rows, hop(*types)), "leg")  # noqa: E731  each is read again by the next and by the result
-    routes = of("Route").select(F.col("id").alias("route"), "id")
-    comps = walked(leg(routes, "NAVIGATES_TO", "Route", "Component"), hop("RENDERS", "Component", "Component"), 2)
-    calls = hop("CALLS", "Method", "Method")
-    api = leg(walked(leg(comps, "DECLARES", "Component", "Method"), calls, 3), "MAKES_CALL", "Method", "ApiCall")
-    endpoints = leg(api, "INVOKES_API", "ApiCall", "Endpoint")
-    server = walked(leg(endpoints, "HANDLED_BY", "Endpoint", "Method"), calls, 4)
-    owned = hop("DECLARES", "Repository", "Method").select(F.col("b").alias("a"), F.col("a").alias("b"))
-    maps = hop("MAPS_TO", "Entity", "Table")
-    entities = _follow(_follow(server, owned), hop("MANAGES", "Repository", "Entity")).join(maps.select(F.col("a").alias("id")), "id", "left_semi")  # an entity counts with its table
+    hop = lambda t: edges.where(F.col("type") == t).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    into = lambda t, label: hop(t).join(of(label).withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
+    leg = lambda rows, t, label: written(_follow(rows, hop(t), of(label)), "leg")  # noqa: E731  each is read again by the next and by the result
+    bit = (F.col("number") % 64).cast("int")
+    routes = written(numbered(of("Route").distinct(), ["id"]).select(F.col("id").alias("route"), F.floor(F.col("number") / 64).alias("block"), bit.alias("bit")), "routes")
+    start = routes.select(F.col("route").alias("id"), "block", F.expr("shiftleft(1L, bit)").alias("bits"))
+    comps = walked(leg(start, "NAVIGATES_TO", "Component"), hop("RENDERS"), 2, of("Component"))
+    calls = written(into("CALLS", "Method"), "calls")
+    api = leg(walked(leg(comps, "DECLARES", "Method"), calls, 3), "MAKES_CALL", "ApiCall")
+    endpoints = leg(api, "INVOKES_API", "Endpoint")
+    server = walked(leg(endpoints, "HANDLED_BY", "Method"), calls, 4)
+    owned = hop("DECLARES").join(of("Repository").withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    maps = into("MAPS_TO", "Table")
+    entities = _follow(_follow(server, owned), hop("MANAGES"), of("Entity")).join(maps.select(F.col("a").alias("id")), "id", "left_semi")  # an entity counts with its table
     entities = written(entities, "leg")
-    out = None
-    for role, part in (("route", routes), ("component", comps), ("apicall", api), ("endpoint", endpoints), ("entity", entities), ("table", _follow(entities, maps))):
-        part = part.select("route", F.lit(role).alias("role"), "id")
-        out = part if out is None else out.unionByName(part)
+    out = routes.select("route", F.lit("route").alias("role"), F.col("route").alias("id"))
+    for role, part in (("component", comps), ("apicall", api), ("endpoint", endpoints), ("entity", entities), ("table", _follow(entities, maps))):
+        part = part.join(routes.withColumnRenamed("block", "of"), (F.col("block") == F.col("of")) & (F.getbit("bits", F.col("bit")) == 1))
+        out = out.unionByName(part.select("route", F.lit(role).alias("role"), "id"))
     return out
 
 

@@ -244,3 +244,33 @@ def test_files(spark, tmp_path):
     assert [(r.groupId, r.artifactId) for r in files.pom_dependencies(f).collect()] == [("g", "a")]
     s = documents.source_slice(spark.createDataFrame([("f", "1\n2\n3\n4")], "filePath string, text string"), spark.createDataFrame([("i", "f", 2, 3)], "id string, filePath string, startLine int, endLine int"), context=0, numbered=True)
     assert s.first().source == "2: 2\n3: 3"
+
+
+def test_a_trace_keeps_routes_as_bits(spark, monkeypatch):
+    made, real = [], scenarios.written
+
+    def written(df, name="table"):
+        made.append((name, real(df, name)))
+        return made[-1][1]
+
+    monkeypatch.setattr(scenarios, "written", written)
+    routes = [f"r{i:03d}" for i in range(130)]
+    n = nodes_of(spark, [(r, "Route", {"routePath": f"p{i // 2}" if i < 4 else f"q{i}"}) for i, r in enumerate(routes)] + [("C", "Component"), ("D", "Component"), *[(f"m{i}", "Method") for i in range(6)], *[(f"a{i}", "ApiCall") for i in range(40)], ("e", "Endpoint"), ("x", "Method")])
+    links = [(r, "NAVIGATES_TO", "C" if i % 3 else "D") for i, r in enumerate(routes) if i != 77] + [("C", "RENDERS", "D"), ("C", "DECLARES", "m0"), ("D", "DECLARES", "m2"), ("C", "DECLARES", "gone")]
+    links += [(f"m{i}", "CALLS", f"m{i + 1}") for i in range(5)] + [("m1", "CALLS", "m0"), ("m1", "CALLS", "C")] + [(f"m{i % 6}", "MAKES_CALL", f"a{i}") for i in range(40)] + [("m0", "MAKES_CALL", "e"), ("m0", "MAKES_CALL", "nowhere"), ("a3", "INVOKES_API", "e"), ("a4", "INVOKES_API", "x")]
+    traced = scenarios.trace(n, edges_of(spark, links))
+    want = set()
+    for i, r in enumerate(routes):
+        want.add((r, "route", r))
+        if i == 77:
+            continue
+        comps = {"C", "D"} if i % 3 else {"D"}
+        meths = {k for c in comps for k in (range(0, 4) if c == "C" else range(2, 6))}
+        want |= {(r, "component", c) for c in comps} | {(r, "apicall", f"a{k}") for k in range(40) if k % 6 in meths}
+        want |= {(r, "endpoint", "e")} if 3 in meths else set()
+    rows = [tuple(x) for x in traced.select("route", "role", "id").collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert max(df.count() for name, df in made if name in ("leg", "walk")) <= 3 * 40  # three rows of bits for an id, not 130
+    got = [tuple(x) for x in scenarios.build_scenarios(n, traced, "p")[1].select("src", "dst", "role").collect()]
+    path = {r: f"p{i // 2}" if i < 4 else f"q{i}" for i, r in enumerate(routes)}
+    assert len(got) == len(set(got)) and set(got) == {(f"system:scenario:p:{path[r]}", d, role) for r, role, d in want if r != "r077"}
