@@ -64,8 +64,8 @@ def trace(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def build_scenarios(nodes: DataFrame, traced: DataFrame, project: str, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Scenarios (id, title, summary, routePath, steps) and COVERS rows (src, dst, role)
-    of the routes that reach a component or an endpoint. traced: as of trace(), of these
-    nodes. names: routePath, title, summary from elsewhere; otherwise the title says the path. Routes of equal path share a
+    of the routes that reach a component or an endpoint, to what is a node. traced: as of
+    trace(). names: routePath, title, summary from elsewhere; otherwise the title says the path. Routes of equal path share a
     scenario: the last by id names its steps."""
     info = nodes.select("id", "name", F.col("props")["httpMethod"].alias("verb"), F.coalesce(F.col("props")["normalizedPath"], F.col("props")["path"]).alias("path"), F.col("props")["routePath"].alias("routePath"))
     rows = traced.join(info, "id")
@@ -75,8 +75,11 @@ def build_scenarios(nodes: DataFrame, traced: DataFrame, project: str, names: Da
     sid = F.concat(F.lit(f"system:scenario:{project}:"), F.when(F.col("routePath") == "", "root").otherwise(F.col("routePath")))
     # only routes that share a path can bring a row twice
     shared = paths.withColumn("routes", F.count("*").over(Window.partitionBy("routePath")))
-    covered = lambda some: traced.join(some, "route").select(sid.alias("src"), F.col("id").alias("dst"), "role")
-    covers = covered(shared.where("routes = 1")).unionByName(covered(shared.where("routes > 1")).distinct())
+    there = traced.join(nodes.select("id"), "id", "left_semi")
+    covered = lambda some: there.join(some, "route").select(sid.alias("src"), F.col("id").alias("dst"), "role")
+    covers, twice = covered(shared.where("routes = 1")), shared.where("routes > 1")
+    if not twice.isEmpty():
+        covers = covers.unionByName(covered(twice).distinct())
     order = F.array_position(F.array(*[F.lit(r) for r, _ in COVERED]), F.col("role"))
     kind = F.create_map(*[F.lit(x) for pair in COVERED for x in pair])[F.col("role")]
     said = F.when(F.col("role") == "route", F.concat(F.lit("/"), "p")).when(F.col("role").isin("apicall", "endpoint"), F.concat_ws(" ", "verb", "path")).otherwise(F.col("name"))

@@ -274,3 +274,16 @@ def test_a_trace_keeps_routes_as_bits(spark, monkeypatch):
     got = [tuple(x) for x in scenarios.build_scenarios(n, traced, "p")[1].select("src", "dst", "role").collect()]
     path = {r: f"p{i // 2}" if i < 4 else f"q{i}" for i, r in enumerate(routes)}
     assert len(got) == len(set(got)) and set(got) == {(f"system:scenario:p:{path[r]}", d, role) for r, role, d in want if r != "r077"}
+
+
+def test_scenarios_cover_calls_too_and_nodes_alone(spark):
+    from graphloom.plans import registry, testgraph
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.role: r.n for r in registry.QUERIES["scenario_covers"](spark, sf).groupBy("role").agg(F.count("*").alias("n")).collect()}
+    traced = scenarios.trace(testgraph.app_nodes(spark, sf), testgraph.app_edges(spark, sf))
+    assert got["apicall"] > 0 and got == {r.role: r.n for r in traced.groupBy("role").agg(F.count("*").alias("n")).collect()}
+    n = nodes_of(spark, [("r", "Route", {"routePath": "a"}), ("c", "Component")])
+    some = spark.createDataFrame([("r", "route", "r"), ("r", "component", "c"), ("r", "apicall", "gone")], "route string, role string, id string")
+    rows = scenarios.build_scenarios(n, some, "p")[1].collect()
+    assert sorted((x.src, x.dst, x.role) for x in rows) == [("system:scenario:p:a", "c", "component"), ("system:scenario:p:a", "r", "route")]
