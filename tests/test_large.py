@@ -210,3 +210,20 @@ def test_leaves_of_a_route_tree_take_one_step(spark, monkeypatch):
     assert [got[i][2] for i in (10, 20, 1000, 1001, 1002, 1003, 1004, 1005)] == [0, 0, 0, 0, 0, None, None, None] and got[15][2] == 1
     assert max(df.count() for name, df in made if name in ("pointers", "cyclic", "paths", "ends")) <= 6  # of 410 rows
     assert max(df.count() for name, df in made if name == "redirects") <= 47
+
+
+def test_layout_broadcasts_no_codes(spark, monkeypatch):
+    plans = []
+
+    def written(df, name="table"):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return scratch.written(df, name)
+
+    monkeypatch.setattr(views, "written", written)
+    nodes = spark.range(50).select(F.format_string("n%02d", "id").alias("id"), (F.col("id") % 2).alias("tier"))
+    edges = spark.range(50).select(F.format_string("n%02d", "id").alias("src"), F.format_string("n%02d", F.col("id") * 7 % 50).alias("dst"))
+    got = views.layered_layout(nodes, edges, "tier", 2)
+    assert got.count() == 50
+    plans.append(("layout", got._jdf.queryExecution().executedPlan().toString()))
+    joins = {name: (plan.count("ShuffledHashJoin"), re.search(r"BroadcastHashJoin \[(src|dst|code|id)#", plan)) for name, plan in plans if name != "places"}
+    assert set(joins) == {"walk", "centers", "layout"} and all(n and not broadcast for n, broadcast in joins.values())
