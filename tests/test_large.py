@@ -1,6 +1,7 @@
 """What jobs over large tables may shuffle, keep on disk and hold in a task."""
 
 import os
+import random
 import re
 
 import pytest
@@ -227,3 +228,42 @@ def test_layout_broadcasts_no_codes(spark, monkeypatch):
     plans.append(("layout", got._jdf.queryExecution().executedPlan().toString()))
     joins = {name: (plan.count("ShuffledHashJoin"), re.search(r"BroadcastHashJoin \[(src|dst|code|id)#", plan)) for name, plan in plans if name != "places"}
     assert set(joins) == {"walk", "centers", "layout"} and all(n and not broadcast for n, broadcast in joins.values())
+
+
+def test_roots_share_the_walks_of_their_callees(spark, tables):
+    rng = random.Random(5)
+    names = {i: f"name of {i}" for i in [f"r{i:02d}" for i in range(40)] + [f"m{i:02d}" for i in range(25)]}
+    calls = {(f"r{i:02d}", f"m{i % 6:02d}", 1) for i in range(40)} | {(f"r{i:02d}", f"m{rng.randrange(25):02d}", 2) for i in range(40)} | {("r07", "r07", 0), ("m03", "r09", 1), ("m20", "r08", 3)}
+    calls |= {(f"m{rng.randrange(25):02d}", f"m{rng.randrange(25):02d}", rng.randrange(9)) for _ in range(60)}
+    out, lines = {}, {}
+    for a, b, k in calls:
+        lines[a, b] = min(k, lines.get((a, b), k))
+    for a, b in sorted(lines, key=lambda e: (e[0], lines[e], e[1])):
+        out.setdefault(a, []).append(b)
+
+    def walk(root, deep):
+        steps, seen = [], {root}
+
+        def go(at, depth):
+            for b in out.get(at, []):
+                steps.append((names[at], names[b], depth, at == b))
+                if b not in seen:
+                    seen.add(b)
+                    if depth < deep:
+                        go(b, depth + 1)
+
+        go(root, 0)
+        return steps
+
+    nodes = spark.createDataFrame(list(names.items()), "id string, name string")
+    edges = spark.createDataFrame(sorted(calls), "src string, dst string, line int").select("src", F.lit("CALLS").alias("type"), "dst", F.create_map(F.lit("line"), F.col("line").cast("string")).alias("props"))
+    roots = [f"r{i:02d}" for i in range(40)]
+    for most, deep in ((6, 8), (1, 3), (9, 2), (60, 8), (4, 0)):
+        tables.clear()
+        got = {}
+        for r in sequence.sequence(nodes, edges, spark.createDataFrame([(i,) for i in [*roots, "r00"]], "root string"), most, deep).orderBy("root", "step").collect():
+            got.setdefault(r.root, []).append((r.caller, r.callee, r.depth, r.self_call))
+            assert r.step == len(got[r.root]) - 1 and r.message == r.callee and r.truncated == (len(walk(r.root, deep)) > most)
+        assert got == {r: walk(r, deep)[:most] for r in roots}
+        if most == 6:
+            assert [df.count() for name, df in tables if name == "roots"][-1] < 15  # of 40
