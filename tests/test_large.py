@@ -267,3 +267,20 @@ def test_roots_share_the_walks_of_their_callees(spark, tables):
         assert got == {r: walk(r, deep)[:most] for r in roots}
         if most == 6:
             assert [df.count() for name, df in tables if name == "roots"][-1] < 15  # of 40
+
+
+def test_a_large_walk_stays_in_its_buckets(spark, monkeypatch):
+    plans = []
+
+    def written(df, name="table"):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return scratch.written(df, name)
+
+    ring = _ring(spark, 60)
+    want = sorted(map(tuple, community.communities(ring).collect()))
+    monkeypatch.setattr(community, "written", written)
+    monkeypatch.setattr(community, "LARGE", 1, raising=False)
+    assert sorted(map(tuple, community.communities(ring).collect())) == want
+    moves = [plan for name, plan in plans if name == "moved" and "Join" in plan]
+    assert moves and all("Bucketed: true" in plan and "BroadcastHashJoin" not in plan for plan in moves)
+    assert community.communities(ring.where("a = 'none'")).count() == 0
